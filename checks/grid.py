@@ -320,13 +320,13 @@ def hillshade(spark, sf):
 
 
 @check("bilinear_sample", I.filled_oracle("""
-select pid, tile, round(sum(wt*f.z), 6) as sampled from (
+select pid, s.tile, round(sum(wt*f.z), 6) as sampled from (
   select pid, tile, rf, cf, least(floor(rf) + a.a, 15) as rr, least(floor(cf) + b.b, 159) as cc,
     (case when a.a=1 then rf-floor(rf) else 1-(rf-floor(rf)) end)*(case when b.b=1 then cf-floor(cf) else 1-(cf-floor(cf)) end) as wt
   from (select o_orderkey as pid, cast(t.tile as bigint) as tile,
           least(greatest((o_orderkey % 190)/1E1 - 1, 0), 15) as rf, least(greatest((o_custkey % 1640)/1E1 - 1, 0), 159) as cf
         from orders join (select distinct tile from fx_cells) t on t.tile = o_custkey % 10), range(2) a(a), range(2) b(b)) s
-join filled f on f.tile = s.tile and f.row = s.rr and f.col = s.cc group by pid, tile"""))
+join filled f on f.tile = s.tile and f.row = s.rr and f.col = s.cc group by pid, s.tile"""))
 def bilinear_sample(spark, sf):
     pts = I.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("pid"), (F.col("o_custkey") % 10).cast("bigint").alias("tile"),
@@ -356,7 +356,7 @@ def water_mask(spark, sf):
                    F.lit(1.0).alias("weight"))
     lab = lab.withColumn("weight", F.when(F.col("ignore_") > 0, 0.0).otherwise(F.col("weight")))
     out = FT.water_mask(d.select("tile", "row", "col", "z"), lab, _meta(spark, sf), 15, 25.0, ignore="ignore_")
-    return out.select("tile", "row", "col", "target", F.col("ignore_").cast("int").alias("ignore_"), "weight")
+    return out.select("tile", "row", "col", "target", F.col("ignore_").cast("bigint").alias("ignore_"), "weight")
 
 
 @check("water_mask_fraction", I.filled_oracle("""
@@ -398,12 +398,12 @@ def band_join(spark, sf):
     return FT.band_join(c.select("tile", "row", "col", "z"), c.select("tile", "row", "col", "y"), c.select("tile", "row", "col", "code"))
 
 
-@check("blocks_round_trip", I.oracle("select tile, row, col, z from fx_cells", "fx_cells"))
+@check("blocks_round_trip", I.oracle("select tile, row, col, z, cast(y as double) as y from fx_cells", "fx_cells"))
 def blocks_round_trip(spark, sf):
     from ridgeline.sources.rasters import blocks_to_cells, cells_to_blocks
 
-    blocks = cells_to_blocks(_cells(spark, sf), ["z"], 64)
-    return blocks_to_cells(blocks, 64).where(F.col("z").isNotNull()).select("tile", "row", "col", "z")
+    blocks = cells_to_blocks(_cells(spark, sf), ["z", "y"], 64)
+    return blocks_to_cells(blocks, ["z", "y"], 64)
 
 
 @check("cells_to_blocks", I.oracle("""

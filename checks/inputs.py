@@ -18,6 +18,7 @@ select cast(floor(l_suppkey/10) as bigint) as tile,
        cast(l_partkey % 16 as bigint) as row,
        cast((l_suppkey % 10)*16 + l_orderkey % 16 as bigint) as col,
        cast(sum(l_quantity) as double) as z,
+       cast(count(*) as bigint) as n,
        cast(floor(((sum(cast(round(l_discount*100) as bigint))*37) % 101)
                 * ((sum(cast(round(l_discount*100) as bigint))*37) % 101) / 1E2) as bigint) as prob_pct,
        cast(max(case when l_returnflag='R' and l_linestatus='O' and l_quantity>48 then 1 else 0 end) as bigint) as y,

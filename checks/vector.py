@@ -144,7 +144,7 @@ def clip_segments(spark, sf):
 
 @check("clipped_parts", I.ways_oracle("""
 select id, part, round(sum(len*(t1-t0)), 5) as part_m from (
-  select *, sum(fresh) over (partition by id order by seg) as part from (
+  select *, cast(sum(fresh) over (partition by id order by seg) as bigint) as part from (
     select *, case when lag(seg) over (partition by id order by seg) = seg-1
        and lag(t1) over (partition by id order by seg) = 1 and t0 = 0 then 0 else 1 end as fresh from clipped))
 group by id, part""", clipped=CLIPPED_SQL))
