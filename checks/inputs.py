@@ -74,14 +74,13 @@ select n_name as name, cast(n_nationkey*1000 + n_regionkey as bigint) as cnt,
        cast(-1194 + floor(n_nationkey/5)*3 as double)/1E1 as x0,
        cast(-1192 + floor(n_nationkey/5)*3 as double)/1E1 as x1
 from {nation}""",
-    # views to plan a fetch for, one per order
+    # map views to plan a fetch for, one per customer
     "fx_views": """
-select cast(o_orderkey as bigint) as view_id,
-       cast((o_custkey*31 % 4000)*10 as double) as x0,
-       cast((o_orderkey*17 % 4000)*10 as double) as y0,
-       cast((o_custkey*31 % 4000)*10 as double) + cast(1 + o_totalprice/5E1 as double) as x1,
-       cast((o_orderkey*17 % 4000)*10 as double) + cast(1 + o_custkey % 3000 as double) as y1
-from {orders}""",
+select cast(c_custkey as bigint) as view_id,
+       cast((c_custkey*31 % 4000)*10 as double) as x0, cast((c_custkey*17 % 4000)*10 as double) as y0,
+       cast((c_custkey*31 % 4000)*10 as double) + 1 + abs(cast(c_acctbal as double)) as x1,
+       cast((c_custkey*17 % 4000)*10 as double) + 1 + c_custkey % 3000 as y1
+from {customer}""",
     # elevation catalog: one square footprint per supplier, some coarse, some undated
     "fx_catalog": """
 select cast(s_suppkey as bigint) as object_id,

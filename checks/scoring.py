@@ -33,7 +33,7 @@ T7 = "(select unnest([20,30,40,50,60,70,80]) as tp)"
 COUNTS_SQL = f"""
 select n.tile, t.tp, n.code,
   sum(n.y) as y_sum, sum(case when n.p_near >= t.tp then n.y else 0 end) as tp_r
-from near n, {T7} t where n.y > 0 and n.code > 0 group by 1, 2, 3"""
+from near n, {T7} t where n.y > 0 group by 1, 2, 3"""
 
 POOLED_SQL = f"""
 select tile, t.tp, sum(case when prob_pct >= t.tp then 1 else 0 end) as pred,
@@ -76,7 +76,8 @@ def threshold_sweep(spark, sf):
 
 @check("stratified_counts", scored("""
 select tile, tp/1E2 as t, code, cast(y_sum as bigint) as y_sum, cast(pred as bigint) as pred, cast(tp_p as bigint) as tp_p,
-  cast(tp_r as bigint) as tp_r from counts join pooled using (tile, tp)"""))
+  cast(tp_r as bigint) as tp_r from (select * from counts union all
+    select distinct tile, tp, 0, 0, 0 from near, (select unnest([20,30,40,50,60,70,80]) as tp) where y = 0) join pooled using (tile, tp)"""))
 def stratified_counts(spark, sf):
     return S.stratified_counts(_cells(spark, sf), _meta(spark, sf), 1.0).withColumn("code", F.col("code").cast("bigint"))
 
@@ -94,7 +95,7 @@ select code, round(f1, 4) as f1, round(p, 4) as p, round(r, 4) as r, tp/1E2 as t
   select *, 2*p*r/(p+r+1e-6) as f1 from (
    select code, tp, y_sum, tp_p/(pred+1e-6) as p, tp_r/(y_sum+1e-6) as r
    from (select tp, code, sum(y_sum) as y_sum, sum(tp_r) as tp_r from counts group by 1, 2)
-   join (select tp, sum(pred) as pred, sum(tp_p) as tp_p from pooled where tile in (select tile from counts) group by tp) using (tp))))
+   join (select tp, sum(pred) as pred, sum(tp_p) as tp_p from pooled group by tp) using (tp))))
 where rk = 1"""))
 def stratified_corpus(spark, sf):
     """Counts summed over all tiles before dividing."""

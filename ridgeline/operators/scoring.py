@@ -86,7 +86,8 @@ def stratified_counts(cells: DataFrame, meta: DataFrame, res: float, keys: Seque
     """Counts per key, threshold and class.
 
     Recall counts are split by class; predicted and excused counts are pooled
-    over classes and repeated, since a predicted cell has no class.
+    over classes and repeated, since a predicted cell has no class. Code 0 is
+    the background row: it keeps the predictions of a tile without labels.
     """
     keys = list(keys)
     extra = [k for k in keys if k != "tile"]
@@ -97,11 +98,10 @@ def stratified_counts(cells: DataFrame, meta: DataFrame, res: float, keys: Seque
 
 
 def pool_counts(by_code: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Spread pooled prediction counts over the classes present."""
+    """Repeat the pooled prediction counts on every class row."""
     keys = list(keys)
     every = Window.partitionBy(*keys, "t")
-    d = by_code.withColumns({"pred": F.sum("pred").over(every), "tp_p": F.sum("tp_p").over(every)})
-    return d.where(F.col("code") > 0)
+    return by_code.withColumns({"pred": F.sum("pred").over(every), "tp_p": F.sum("tp_p").over(every)})
 
 
 def sum_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
