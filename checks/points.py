@@ -42,8 +42,8 @@ CLEAN_SQL = "select * from fx_points where cls not in (7, 18)"
 
 #: nearest ground point in plan, lowest first among equals
 HAG_SQL = """
-select p.event_id, p.tile, p.x, p.y, p.z, p.cls, p.z - arg_min(g.z, {d: (p.x-g.x)*(p.x-g.x)+(p.y-g.y)*(p.y-g.y), z: g.z}) as hag
-from clean p join (select * from clean where cls = 2) g using (tile) group by all"""
+select p.event_id, any_value(p.z) - arg_min(g.z, {d: (p.x-g.x)*(p.x-g.x)+(p.y-g.y)*(p.y-g.y), z: g.z}) as hag
+from clean p join (select * from clean where cls = 2) g using (tile) group by p.event_id"""
 
 
 def pts(body: str, **extra: str) -> str:
@@ -232,8 +232,7 @@ select view_id, best_m, title, coalesce(sources, 0) as sources, round(covered, 6
   case when best_m is null then 'no source' when best_m > 1.5 then 'source is resampled: ' || title
     when covered < 1 then 'only ' || cast(floor(covered*100+0.5) as bigint) || '% of this view is fine enough' end as reason
 from fx_views left join met using (view_id) join cov using (view_id)""",
-    "fx_views", "fx_catalog", samples=SAMPLES_SQL, cov=COVERED_SQL, met=MET_SQL).replace(
-    "select view_id, best_m, title, coalesce(sources", "select view_id, best_m, title, coalesce(sources"))
+    "fx_views", "fx_catalog", samples=SAMPLES_SQL, cov=COVERED_SQL, met=MET_SQL))
 def coverage_summary(spark, sf):
     d = PG.coverage_summary(_views(spark, sf), _catalog(spark, sf))
     return d.select("view_id", "best_m", "title", "sources", F.round("covered", 6).alias("covered"), "first", "last", "fine",

@@ -13,19 +13,27 @@ def rect_ring(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
 
 
-def contains(rings: Column, x: Column, y: Column) -> Column:
-    """Even-odd test over all rings, so an inner ring is a hole."""
-    def crossings(ring: Column) -> Column:
+def ring_edges(rings: Column) -> Column:
+    """Edges of all rings that a horizontal ray can cross, ready for the test.
+
+    Formed once per polygon: y range, one end point and the run per rise.
+    """
+    def edges(ring: Column) -> Column:
         n = F.size(ring)
         prev = F.concat(F.slice(ring, n, F.lit(1)), F.slice(ring, F.lit(1), n - 1))
-        hits = F.zip_with(ring, prev, lambda i, j: F.when(
-            ((i["y"] > y) != (j["y"] > y))
-            & (x < i["x"] + (y - i["y"]) * F.try_divide(j["x"] - i["x"], j["y"] - i["y"])), 1).otherwise(0))
-        return F.aggregate(hits, F.lit(0), lambda a, v: a + v)
+        return F.zip_with(ring, prev, lambda i, j: F.struct(
+            F.least(i["y"], j["y"]).alias("lo"), F.greatest(i["y"], j["y"]).alias("hi"),
+            i["x"].alias("x"), i["y"].alias("y"),
+            F.try_divide(j["x"] - i["x"], j["y"] - i["y"]).alias("run")))
+
+    usable = F.filter(rings, lambda r: F.size(r) >= 3)
+    return F.filter(F.flatten(F.transform(usable, edges)), lambda e: e["lo"] < e["hi"])
+
 
-    total = F.aggregate(
-        F.filter(rings, lambda r: F.size(r) >= 3), F.lit(0), lambda acc, r: acc + crossings(r))
-    return total % 2 == 1
+def contains(edges: Column, x: Column, y: Column) -> Column:
+    """Even-odd test over all rings, so an inner ring is a hole."""
+    crossed = F.filter(edges, lambda e: (y >= e["lo"]) & (y < e["hi"]) & (x < e["x"] + (y - e["y"]) * e["run"]))
+    return F.size(crossed) % 2 == 1
 
 
 def _bbox(rings: Column) -> dict[str, Column]:
@@ -39,6 +47,7 @@ def _poly_buckets(polys: DataFrame, cell: float, salts: int) -> DataFrame:
     d = polys.withColumns(_bbox(F.col("rings"))).where(F.col("_bx0").isNotNull())
     d = d.withColumn("_gx", F.explode(F.sequence(F.floor(F.col("_bx0") / cell), F.floor(F.col("_bx1") / cell))))
     d = d.withColumn("_gy", F.explode(F.sequence(F.floor(F.col("_by0") / cell), F.floor(F.col("_by1") / cell))))
+    d = d.withColumn("_edges", ring_edges(F.col("rings"))).drop("rings")
     return d.withColumn("_gs", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
@@ -56,7 +65,7 @@ def point_in_polygon_join(points: DataFrame, polys: DataFrame, cell: float, how:
     inside = (
         (F.col("p._gx") == F.col("q._gx")) & (F.col("p._gy") == F.col("q._gy")) & (F.col("p._gs") == F.col("q._gs"))
         & F.col("p.x").between(F.col("q._bx0"), F.col("q._bx1")) & F.col("p.y").between(F.col("q._by0"), F.col("q._by1"))
-        & contains(F.col("q.rings"), F.col("p.x"), F.col("p.y")))
+        & contains(F.col("q._edges"), F.col("p.x"), F.col("p.y")))
     j = p.alias("p").join(q.alias("q"), inside, how)
     cols = [F.col(f"p.{c}") for c in points.columns]
     if how != "left_semi":
@@ -102,23 +111,31 @@ def covered_fraction(views: DataFrame, footprints: DataFrame, cell: float = 1000
         "covered", F.coalesce("covered", F.lit(0.0)))
 
 
-def views_meeting(views: DataFrame, footprints: DataFrame, cell: float = 10000.0) -> DataFrame:
-    """(view, footprint) pairs whose boxes meet, each pair once.
+def boxes_meeting(a: DataFrame, b: DataFrame, a_box: tuple[str, str, str, str], b_box: tuple[str, str, str, str],
+                  cell: float) -> DataFrame:
+    """Pairs of rows whose boxes (x0, y0, x1, y1) meet, each pair once.
 
     Both boxes are spread over buckets; a pair is kept only in the bucket that
     holds the south-west corner of the overlap.
     """
-    def spread(d: DataFrame, x0: str, x1: str, y0: str, y1: str) -> DataFrame:
+    def spread(d: DataFrame, box: tuple[str, str, str, str]) -> DataFrame:
+        x0, y0, x1, y1 = box
         d = d.withColumn("_gx", F.explode(F.sequence(F.floor(F.col(x0) / cell), F.floor(F.col(x1) / cell))))
         return d.withColumn("_gy", F.explode(F.sequence(F.floor(F.col(y0) / cell), F.floor(F.col(y1) / cell))))
 
+    j = spread(a, a_box).join(spread(b, b_box), ["_gx", "_gy"])
+    return j.where(
+        (F.col(a_box[0]) <= F.col(b_box[2])) & (F.col(a_box[2]) >= F.col(b_box[0]))
+        & (F.col(a_box[1]) <= F.col(b_box[3])) & (F.col(a_box[3]) >= F.col(b_box[1]))
+        & (F.floor(F.greatest(a_box[0], b_box[0]) / cell) == F.col("_gx"))
+        & (F.floor(F.greatest(a_box[1], b_box[1]) / cell) == F.col("_gy"))).drop("_gx", "_gy")
+
+
+def views_meeting(views: DataFrame, footprints: DataFrame, cell: float = 10000.0) -> DataFrame:
+    """(view, footprint) pairs whose boxes meet."""
     f = footprints.withColumns(_bbox(F.col("rings"))).drop("rings").where(F.col("_bx0").isNotNull())
-    j = spread(views, "x0", "x1", "y0", "y1").join(spread(f, "_bx0", "_bx1", "_by0", "_by1"), ["_gx", "_gy"])
-    j = j.where((F.col("x0") <= F.col("_bx1")) & (F.col("x1") >= F.col("_bx0"))
-                & (F.col("y0") <= F.col("_by1")) & (F.col("y1") >= F.col("_by0"))
-                & (F.floor(F.greatest("x0", "_bx0") / cell) == F.col("_gx"))
-                & (F.floor(F.greatest("y0", "_by0") / cell) == F.col("_gy")))
-    return j.drop("_gx", "_gy", "_bx0", "_bx1", "_by0", "_by1")
+    j = boxes_meeting(views, f, ("x0", "y0", "x1", "y1"), ("_bx0", "_by0", "_bx1", "_by1"), cell)
+    return j.drop("_bx0", "_bx1", "_by0", "_by1")
 
 
 def coverage_summary(views: DataFrame, catalog: DataFrame, cell: float = 10000.0) -> DataFrame:
