@@ -39,3 +39,221 @@ def add_band_noise(cells: DataFrame, meta: DataFrame, sigma: float, scale_px: fl
     d = salted_join(d, sd, list(key), ["row", "col"])
     return d.withColumn(value, F.col(value) + F.col("_up") * (sigma / F.greatest(F.col("_sd"), F.lit(1e-9)))).drop(
         "_up", "_sd")
+
+
+def split_boundary(labels: DataFrame, meta: DataFrame, crop: int) -> DataFrame:
+    """Column of each tile that parts the training band from the validation band.
+
+    About a fifth of the labelled cells fall to its right; the clamp leaves
+    both bands more than one crop wide where the tile allows it.
+    """
+    per_col = labels.where(F.col("target") > 0).groupBy("tile", "col").agg(F.count("*").alias("_n"))
+    run = Window.partitionBy("tile").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy("tile")
+    cum = per_col.withColumns({"_cum": F.sum("_n").over(run), "_total": F.sum("_n").over(every)})
+    cut = cum.where(F.col("_cum") >= F.col("_total") * (1 - K.VAL_COL_FRAC)).groupBy("tile").agg(F.min("col").alias("_cut"))
+    d = meta.select("tile", "height", "width").join(cut, "tile", "left")
+    w = F.col("width")
+    lo = F.greatest(F.floor(w * K.BOUNDARY_RANGE[0]), F.lit(crop))
+    hi = F.least(F.floor(w * K.BOUNDARY_RANGE[1]), w - (3 * crop) // 2)
+    d = d.withColumns({"_lo": lo, "_hi": hi})
+    half = F.floor(w / 2)
+    d = d.withColumns({
+        "_lo2": F.when(F.col("_lo") > F.col("_hi"), half).otherwise(F.col("_lo")),
+        "_hi2": F.when(F.col("_lo") > F.col("_hi"), half).otherwise(F.col("_hi"))})
+    return d.select("tile", "height", "width", F.when(
+        F.col("_cut").isNull(), F.floor(w * (1 - K.VAL_COL_FRAC))).otherwise(
+        F.least(F.greatest(F.col("_cut"), F.col("_lo2")), F.col("_hi2"))).cast("bigint").alias("boundary"))
+
+
+def split_bands(boundary: DataFrame, crop: int, split: str) -> DataFrame:
+    """Column band of a split per tile; tiles that cannot hold one crop are dropped."""
+    c0 = F.lit(0).cast("bigint") if split == "train" else F.col("boundary")
+    c1 = F.col("boundary") if split == "train" else F.col("width")
+    d = boundary.select("tile", "height", c0.alias("col0"), c1.alias("col1"))
+    return d.where((F.col("col1") - F.col("col0") >= crop) & (F.col("height") >= crop))
+
+
+def legal_centres(labels: DataFrame, bands: DataFrame, crop: int) -> DataFrame:
+    """Labelled cells around which a whole crop stays inside the split band."""
+    half = crop // 2
+    d = salted_join(labels.where(F.col("target") > 0).select("tile", "row", "col", "class"), bands, ["tile"], ["row", "col"])
+    return d.where(
+        (F.col("row") >= half) & (F.col("row") < F.col("height") - half)
+        & (F.col("col") >= F.col("col0") + half) & (F.col("col") < F.col("col1") - half)
+    ).select("tile", "row", "col", "class")
+
+
+def cap_centres(centres: DataFrame, cap: int = K.MAX_CENTRES) -> DataFrame:
+    """Every n-th centre in reading order where a (tile, class) has more than ``cap``."""
+    n = centres.groupBy("tile", "class").agg(F.count("*").alias("_n"))
+    d = bucket_rank(centres, ["tile", "class"], "row", ["col"], "_rank")
+    d = salted_join(d, n, ["tile", "class"], ["row", "col"])
+    step = F.when(F.col("_n") > cap, F.floor(F.col("_n") / cap) + 1).otherwise(F.lit(1))
+    return d.where((F.col("_rank") - 1) % step == 0).drop("_rank", "_n")
+
+
+def class_mix(centres: DataFrame) -> DataFrame:
+    """Wanted share of each class that has centres, renormalised, with its centre count."""
+    d = centres.groupBy("class").agg(F.count("*").alias("centres"))
+    share = F.lit(None).cast("double")
+    for name, code in K.CLASS_CODE.items():
+        share = F.when(F.col("class") == code, F.lit(K.CLASS_MIX[name])).otherwise(share)
+    d = d.withColumn("_w", share)
+    # at most one row per class code, so this window is three rows
+    return d.withColumn("share", F.col("_w") / F.sum("_w").over(Window.partitionBy(F.lit(1)))).drop("_w")
+
+
+def draw_crops(centres: DataFrame, bands: DataFrame, n: int, crop: int, label_scale: int = 1,
+               positive_frac: float = 0.5, seed: int = 1234) -> DataFrame:
+    """A repeatable plan of ``n`` crops: class, then tile, then centre.
+
+    Every choice is a hash of the seed and the crop number, so the plan does
+    not depend on how the data is partitioned. The other share is uniform over
+    the split bands.
+    """
+    spark = centres.sparkSession
+    half = crop // 2
+    i = F.col("crop_id")
+    d = spark.range(n).select(F.col("id").alias("crop_id"))
+    d = d.withColumns({f"_u{k}": uniform(seed, i, F.lit(k)) for k in range(6)})
+    mix = class_mix(centres)
+    run = Window.partitionBy(F.lit(1)).orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
+    mix = mix.withColumn("_hi", F.sum("share").over(run)).withColumn("_lo", F.col("_hi") - F.col("share"))
+    last = mix.agg(F.max("class").alias("_last"))
+
+    pools = centres.groupBy("tile", "class").agg(F.count("*").alias("_nc"))
+    pools = hashed_rank(pools, ["class"], ["tile"], "_ti")
+    tiles = pools.groupBy("class").agg(F.count("*").alias("_nt"))
+    ranked = bucket_rank(centres, ["tile", "class"], "row", ["col"], "_ci")
+
+    pos = d.where(F.col("_u0") < positive_frac)
+    # three classes at most: this side is bounded by the class vocabulary
+    pick = F.broadcast(mix.join(tiles, "class").join(last).select("class", "_lo", "_hi", "_nt", "_last"))
+    pos = pos.join(pick, (F.col("_u1") >= F.col("_lo")) & ((F.col("_u1") < F.col("_hi")) | (F.col("class") == F.col("_last"))))
+    pos = pos.withColumn("_ti", below(F.col("_u2"), F.col("_nt")) + 1)
+    pos = pos.join(pools, ["class", "_ti"]).withColumn("_ci", below(F.col("_u3"), F.col("_nc")) + 1)
+    pos = pos.join(ranked, ["tile", "class", "_ci"]).join(bands, "tile")
+    jitter = 2 * (half // 2) + 1
+    r = F.col("row") + below(F.col("_u4"), jitter) - half // 2 - half
+    c = F.col("col") + below(F.col("_u5"), jitter) - half // 2 - half
+    pos = pos.select(
+        "crop_id", "tile", F.col("class").cast("bigint").alias("class"),
+        F.least(F.greatest(r, F.lit(0)), F.col("height") - crop).alias("row0"),
+        F.least(F.greatest(c, F.col("col0")), F.col("col1") - crop).alias("col0"))
+
+    numbered = hashed_rank(bands.withColumn("_g", F.lit(0)), ["_g"], ["tile"], "_ti")
+    total = numbered.groupBy("_g").agg(F.count("*").alias("_nt"))
+    rest = d.where(F.col("_u0") >= positive_frac).withColumn("_g", F.lit(0)).join(total, "_g")
+    rest = rest.withColumn("_ti", below(F.col("_u2"), F.col("_nt")) + 1).join(numbered, ["_g", "_ti"])
+    rest = rest.select(
+        "crop_id", "tile", F.lit(0).cast("bigint").alias("class"),
+        below(F.col("_u4"), F.col("height") - crop + 1).alias("row0"),
+        (F.col("col0") + below(F.col("_u5"), F.col("col1") - F.col("col0") - crop + 1)).alias("col0"))
+    snap = {c: (F.floor(F.col(c) / label_scale) * label_scale).cast("bigint") for c in ("row0", "col0")}
+    return pos.unionByName(rest).withColumns(snap)
+
+
+def crop_cells(plan: DataFrame, cells: DataFrame, crop: int, bands: list[str]) -> DataFrame:
+    """Cells of every planned crop, with crop-local ``row`` and ``col``.
+
+    Crops and cells meet on blocks one crop wide, so a crop looks at no more
+    than four blocks and a large tile is many keys.
+    """
+    p = plan.select("crop_id", "tile", "row0", "col0")
+    p = p.withColumn("_br", F.explode(F.sequence(F.floor(F.col("row0") / crop), F.floor((F.col("row0") + crop - 1) / crop))))
+    p = p.withColumn("_bc", F.explode(F.sequence(F.floor(F.col("col0") / crop), F.floor((F.col("col0") + crop - 1) / crop))))
+    c = cells.select("tile", "row", "col", *bands, F.floor(F.col("row") / crop).alias("_br"), F.floor(F.col("col") / crop).alias("_bc"))
+    j = p.join(c, ["tile", "_br", "_bc"])
+    r, k = F.col("row") - F.col("row0"), F.col("col") - F.col("col0")
+    j = j.where((r >= 0) & (r < crop) & (k >= 0) & (k < crop))
+    return j.select("crop_id", "tile", r.alias("row"), k.alias("col"), *bands)
+
+
+def extract_crops(plan: DataFrame, cells: DataFrame, crop: int, z_scale: int = 1, label_scale: int = 1) -> DataFrame:
+    """Body-grid table per crop: elevation, target, weight and class.
+
+    ``cells`` carries ``z`` (NULL nodata), ``target``, ``weight`` and ``class``
+    on the native grid. A body cell trains only where real ground covers it
+    entirely. ``z`` is on the body grid here when both scales agree.
+    """
+    raw = crop_cells(plan, cells, crop, ["z", "target", "weight", "class"])
+    keyed = raw.drop("tile").withColumnRenamed("crop_id", "tile").withColumn("valid", F.col("z").isNotNull().cast("double"))
+    size = plan.select(F.col("crop_id").alias("tile"), F.lit(crop).cast("bigint").alias("height"), F.lit(crop).cast("bigint").alias("width"))
+    lab = G.block_reduce(keyed, size, label_scale, {
+        "y": ("target", "max"), "w": ("weight", "mean"), "class": ("class", "min_nonzero"), "cover": ("valid", "mean")})
+    lab = lab.withColumn("w", F.when(F.col("cover") > 0.999, F.col("w")).otherwise(F.lit(0.0))).drop("cover")
+    z = G.block_reduce(keyed, size, z_scale, {"z": ("z", "nanmean")})
+    if z_scale == label_scale:
+        return z.join(lab, ["tile", "row", "col"]).withColumnRenamed("tile", "crop_id")
+    raise ValueError("elevation and labels need one scale here; reduce them separately")
+
+
+def crop_arrays(crops: DataFrame, bands: list[str]) -> DataFrame:
+    """One row-major array per crop and band, for a trainer; a crop is a bounded window."""
+    packed = F.array_sort(F.collect_list(F.struct("row", "col", *bands)))
+    d = crops.groupBy("crop_id").agg(packed.alias("_p"))
+    return d.select("crop_id", *[F.transform("_p", lambda s, b=b: s[b]).alias(b) for b in bands])
+
+
+def augment(crops: DataFrame, body: int, seed: int, noise_m: float = 0.05, band_noise_m: float = 0.05,
+            canopy_dropout: float = 0.15, jitter_m: float = 2.0, res: float = K.BODY_RES,
+            canopy: tuple[str, ...] = ()) -> DataFrame:
+    """Random view of each crop, every choice a hash of the seed and the crop.
+
+    A dihedral transform, white and band-limited noise of random strength,
+    canopy withheld now and then, and one rigid shift of the labels. Cells the
+    shift exposes have no known label, so their weight is 0.
+    """
+    i = F.col("crop_id")
+    u = {k: uniform(seed, i, F.lit(k)) for k in ("turn", "flip", "white", "band", "drop", "dr", "dc")}
+    d = crops.withColumns({"_k": below(u["turn"], 4), "_f": u["flip"] < 0.5})
+    n = body - 1
+    c1 = F.when(F.col("_f"), F.lit(n) - F.col("col")).otherwise(F.col("col"))
+    r1 = F.col("row")
+    d = d.withColumns({"_r1": r1, "_c1": c1})
+    turned_r = (F.when(F.col("_k") == 1, F.lit(n) - F.col("_c1")).when(F.col("_k") == 2, F.lit(n) - F.col("_r1"))
+                .when(F.col("_k") == 3, F.col("_c1")).otherwise(F.col("_r1")))
+    turned_c = (F.when(F.col("_k") == 1, F.col("_r1")).when(F.col("_k") == 2, F.lit(n) - F.col("_c1"))
+                .when(F.col("_k") == 3, F.lit(n) - F.col("_r1")).otherwise(F.col("_c1")))
+    d = d.withColumns({"row": turned_r.cast("bigint"), "col": turned_c.cast("bigint")}).drop("_r1", "_c1", "_k", "_f")
+
+    d = d.withColumn("z", F.col("z") + normal(seed, i, "row", "col") * (u["white"] * noise_m))
+    if band_noise_m:
+        k = 6.0 / res
+        fr, fc = F.col("row") / k, F.col("col") / k
+        r0, c0 = F.floor(fr), F.floor(fc)
+        a, b = fr - r0, fc - c0
+        node = lambda p, q: normal(seed + 1, i, r0 + p, c0 + q)
+        field = node(0, 0) * (1 - a) * (1 - b) + node(0, 1) * (1 - a) * b + node(1, 0) * a * (1 - b) + node(1, 1) * a * b
+        d = d.withColumn("z", F.col("z") + field * (u["band"] * band_noise_m))
+    if canopy:
+        keep = u["drop"] >= canopy_dropout
+        d = d.withColumns({c: F.when(keep, F.col(c)).otherwise(F.lit(0.0)) for c in canopy})
+    if jitter_m:
+        reach = jitter_m / res
+        dr = F.rint((u["dr"] * 2 - 1) * reach).cast("bigint")
+        dc = F.rint((u["dc"] * 2 - 1) * reach).cast("bigint")
+        moved = d.select("crop_id", (F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"), "y", "w", "class")
+        d = d.drop("y", "w", "class").join(moved, ["crop_id", "row", "col"], "left")
+        d = d.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast(moved.schema[c].dataType) for c in ("y", "w", "class")})
+    return d
+
+
+def full_tile(cells: DataFrame, meta: DataFrame, z_scale: int, label_scale: int,
+              published: DataFrame | None = None, published_meta: DataFrame | None = None) -> DataFrame:
+    """Evaluation table on the body grid for whole tiles.
+
+    Elevation is the published raster where there is one, else our own grid
+    reduced; everything is trimmed to the ground the rasters share.
+    """
+    lab = G.block_reduce(cells.withColumn("valid", F.col("z").isNotNull().cast("double")), meta, label_scale, {
+        "y": ("target", "max"), "w": ("weight", "mean"), "class": ("class", "min_nonzero"), "cover": ("valid", "mean")})
+    if published is None:
+        z = G.block_reduce(cells, meta, z_scale, {"z": ("z", "nanmean")})
+        lab = lab.withColumn("w", F.when(F.col("cover") > 0.999, F.col("w")).otherwise(F.lit(0.0))).drop("cover")
+        return z.join(lab, ["tile", "row", "col"])
+    body = meta.select("tile", F.floor(F.col("height") / label_scale).alias("height"), F.floor(F.col("width") / label_scale).alias("width"))
+    z, lab = G.common_extent(published.select("tile", "row", "col", "z"), lab.drop("cover"), published_meta, body, 1, 1)
+    d = z.join(lab, ["tile", "row", "col"])
+    return d.withColumn("w", F.when(F.col("z").isNotNull(), F.col("w")).otherwise(F.lit(0.0)))
