@@ -314,7 +314,19 @@ def conv3x3_stride2(spark, sf):
     return _round(G.conv3x3(c, _meta(spark, sf), K.STUB_KERNEL, K.STUB_BIAS, stride=2), 6, "logit")
 
 
-@check("hillshade")
+SHADE_SQL = {
+    "g": GRAD_SQL.format(src="filled"),
+    "lit": """
+select tile, row, col, (-ex*cos(radians(-225))*cos(radians(38)) - ny*sin(radians(-225))*cos(radians(38)) + sin(radians(38)))/sqrt(ex*ex+ny*ny+1) as s0,
+  (-ex*cos(radians(45))*cos(radians(38)) - ny*sin(radians(45))*cos(radians(38)) + sin(radians(38)))/sqrt(ex*ex+ny*ny+1) as s1
+from (select *, gx*2.4::double as ex, -gy*2.4::double as ny from g)""",
+    "shaded": """
+select l.tile, row, col, round(((s0-a0)/(b0-a0) + (s1-a1)/(b1-a1))/2, 6) as shade from lit l
+join (select tile, min(s0) a0, max(s0) b0, min(s1) a1, max(s1) b1 from lit group by tile) e on e.tile = l.tile""",
+}
+
+
+@check("hillshade", I.filled_oracle("select * from shaded", **SHADE_SQL))
 def hillshade(spark, sf):
     return G.hillshade(_filled(spark, sf), _meta(spark, sf), 1.0).select("tile", "row", "col", F.round("shade", 6).alias("shade"))
 
@@ -451,7 +463,7 @@ def soft_skeleton_2(spark, sf):
     return _round(soft_skeleton(c, _meta(spark, sf), {"skel": "p"}, 2), 6, "skel")
 
 
-@check("soft_skeleton_8")
+@check("soft_skeleton_8", I.dense_oracle("select tile, row, col, round(z, 6) as skel from sk8", base=SKEL_BASE, **skeleton_sql(8, "base")))
 def soft_skeleton_8(spark, sf):
     from ridgeline.operators.skeleton import soft_skeleton
 

@@ -324,6 +324,7 @@ def inv_sql(x: str, y: str) -> tuple[str, str]:
 
 
 LON_SQL, LAT_SQL = inv_sql("cx", "cy")
+HAR_LON_SQL, HAR_LAT_SQL = LON_SQL, LAT_SQL
 
 
 @check("aoi_bbox", I.oracle(f"""

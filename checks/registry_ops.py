@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import inputs as I
-from checks.points import AOI_XY_SQL
+from checks.points import E_SQL, HAR_LAT_SQL, HAR_LON_SQL, N_SQL
 from checks.registry import check
+from checks.scoring import CORPUS_SQL, scored
+from checks.vector import ranked_oracle
+from ridgeline import constants as K
 from ridgeline.functions import geodesy as GD
 from ridgeline.functions import rasters as R
 from ridgeline.operators import polygons as PG
 from ridgeline.operators import registry as RG
-from ridgeline.operators import ways as W
 
 
 def _aois(spark, sf):
@@ -108,7 +110,7 @@ select c_custkey as key, v as variant, case when v in ('dem1', 'lidar1') then ca
 from customer, (select unnest(['lidar05', 'dem1', 'lidar1']) as v)""")
 def training_source(spark, sf):
     tiles = I.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") % 4 != 0).alias("has_dem"))
-    return RG.training_source(tiles, RG.variants_table(spark))
+    return RG.training_source(tiles, [(v[0], v[1]) for v in K.VARIANTS])
 
 
 @check("corpus_totals", f"""
@@ -131,9 +133,11 @@ select h.key as held, t.key as training, round(greatest(abs(h.x - t.x), abs(h.y
 from xy h, xy t where h.role in ('eval', 'control') and t.role in ('train', 'harvest') and greatest(abs(h.x - t.x), abs(h.y - t.y)) - (h.size_m + t.size_m)/2.0 < 600"""
 
 
-@check("split_clearance", I.oracle(GAP_SQL, "fx_aois", xy=AOI_XY_SQL))
+@check("split_clearance", I.oracle(GAP_SQL, "fx_aois", harv=HARVESTED_SQL,
+    xy=f"select *, {E_SQL} as x, {N_SQL} as y from (select * from fx_aois union all select * from harv where key not in (select key from fx_aois))"))
 def split_clearance(spark, sf):
-    d = GD.with_utm(_aois(spark, sf), "lon", "lat", F.lit(11))
+    """Curated held-out areas against the machine-picked training areas."""
+    d = GD.with_utm(RG.merge_registry(_aois(spark, sf), _harvested(spark, sf)), "lon", "lat", F.lit(11))
     return RG.split_clearance(d).withColumn("gap_m", F.round("gap_m", 3))
 
 
@@ -175,7 +179,20 @@ def note_evidence(spark, sf):
     return RG.note_evidence(I.table(spark, sf, "customer").select(k.alias("key"), notes.alias("notes")))
 
 
-@check("select_cells_covered")
+def _key_sql(v: str) -> str:
+    q = f"(cast(round(abs({v})*1E5) as bigint) + 5)//10"
+    return f"cast({q}//10000 as varchar) || lpad(cast({q} % 10000 as varchar), 4, '0')"
+
+
+@check("select_cells_covered", ranked_oracle(f"""
+select 'h_' || {_key_sql('lat')} || '_s' || {_key_sql('lon')} as key, lat, lon, 'harvest' as role, 1000 as size_m, total_m,
+  'auto-selected: ' || faint_m || ' m faint, ' || lifecycle_m || ' m lifecycle, ' || n_ways || ' ways, 3DEP ' || project as notes
+from (select *, round({HAR_LON_SQL}, 5) as lon, round({HAR_LAT_SQL}, 5) as lat from (
+  select any_value(z.gx) as gx, any_value(z.gy) as gy, any_value(total_m) as total_m, any_value(faint_m) as faint_m, any_value(lifecycle_m) as lifecycle_m,
+    any_value(n_ways) as n_ways, arg_max(c.name, {{c: c.cnt, n: c.name}}) as project, (any_value(z.gx)+0.5::double)*1000 as cx, (any_value(z.gy)+0.5::double)*1000 as cy
+  from zoned z join fx_coverage c on (z.gx+0.5::double)*1000 >= (c.x0+119.4::double)*10000 and (z.gx+0.5::double)*1000 < (c.x1+119.4::double)*10000
+    and (z.gy+0.5::double)*1000 >= (c.y0-36.2::double)*5000 and (z.gy+0.5::double)*1000 < (c.y1-36.2::double)*5000
+  where total_m >= 400 group by z.gx, z.gy)) order by total_m desc, gx, gy limit 20""", views=("fx_coverage",)))
 def select_cells_covered(spark, sf):
     """Richest cells that a survey covers, with their registry key and note."""
     from ridgeline.plans.harvest import harvest_registry
@@ -187,17 +204,17 @@ def select_cells_covered(spark, sf):
     return harvest_registry(I.ways(spark, sf), I.view(spark, sf, "fx_zones"), polys, limit=20, buffer_m=200.0, ground_coverage=True)
 
 
-@check("stream_scores")
+@check("stream_scores", scored(CORPUS_SQL))
 def stream_scores(spark, sf):
     from checks.scoring import _cells
     from ridgeline.operators.scoring import near_planes
     from ridgeline.streaming.stream import run_scores
 
     near = near_planes(_cells(spark, sf), I.view(spark, sf, "fx_meta"), 5, ["code"])
-    return run_scores(spark, near)
+    return run_scores(spark, near).withColumn("code", F.col("code").cast("bigint"))
 
 
-@check("stream_evidence")
+@check("stream_evidence", ranked_oracle("select * from scored"))
 def stream_evidence(spark, sf):
     from ridgeline.streaming.stream import run_evidence
 

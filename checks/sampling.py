@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import inputs as I
-from checks.grid import conv_sql
+from checks.grid import SHADE_SQL, _upper, _window_sql
 from checks.registry import check
 from ridgeline import constants as K
 from ridgeline.operators import grid as G
@@ -151,8 +151,8 @@ def full_tile_published(spark, sf):
 # --- inference -------------------------------------------------------------------
 
 @check("windows", I.oracle("""
-select distinct m.tile, r.r as row0, c.c as col0 from fx_meta m, (select unnest([0, 4, 6]) as r) r,
- (select unnest(list_distinct(list_concat(range(0, 151, 7), [150]))) as c) c""", "fx_meta"))
+select distinct m.tile, r.r as row0, c.c as col0 from fx_meta m, (select unnest([0, 4, 6])::bigint as r) r,
+ (select unnest(list_distinct(list_concat(range(0, 151, 7), [150])))::bigint as c) c""", "fx_meta"))
 def windows(spark, sf):
     """Ten-pixel windows, steps of 4 and 7: the last one is flush with the edge."""
     meta = _meta(spark, sf)
@@ -172,8 +172,8 @@ def window_origins_by_height(spark, sf):
 
 @check("crop_windows", I.oracle("""
 select c.tile, w.o as row0, v.o as col0, count(*) as n, round(sum(c.z*(c.row-w.o+1)*(c.col-v.o+2)), 3) as moment
-from fx_cells c join (select unnest([0, 4, 6]) as o) w on c.row >= w.o and c.row < w.o + 10
-join (select unnest(list_distinct(list_concat(range(0, 151, 4), [150]))) as o) v on c.col >= v.o and c.col < v.o + 10 group by 1, 2, 3""", "fx_cells"))
+from fx_cells c join (select unnest([0, 4, 6])::bigint as o) w on c.row >= w.o and c.row < w.o + 10
+join (select unnest(list_distinct(list_concat(range(0, 151, 4), [150])))::bigint as o) v on c.col >= v.o and c.col < v.o + 10 group by 1, 2, 3""", "fx_cells"))
 def crop_windows(spark, sf):
     d = N.crop_windows(I.view(spark, sf, "fx_cells"), _meta(spark, sf), 10, 4, 2, ["z"])
     return d.groupBy("tile", "row0", "col0").agg(
@@ -231,7 +231,27 @@ def predict_stride2(spark, sf):
     return d.withColumn("prob", F.round("prob", 6))
 
 
-@check("predict_tta")
+def _tta_sql() -> str:
+    """Turning the view and turning the answer back is turning the kernel."""
+    cols = []
+    for flip in (False, True):
+        for k in range(4):
+            m = [list(r) for r in K.STUB_KERNEL]
+            for _ in range(-k % 4):  # quarter turns counter-clockwise
+                m = [[m[j][2 - i] for j in range(3)] for i in range(3)]
+            if flip:
+                m = [r[::-1] for r in m]
+            terms = " + ".join(f"case when o.a = {i - 1} and o.b = {j - 1} then {m[i][j]}::double * coalesce(s.z, 0)/50 else 0 end"
+                               for i in range(3) for j in range(3))
+            cols.append(f"1/(1+exp(-(sum({terms}) + ({K.STUB_BIAS})::double)))")
+    return (f"select d.tile, v.o as o, d.row, d.col, ({' + '.join(cols)})/8 as p from dense d join {WIN16} v on d.col >= v.o and d.col < v.o + 16, "
+            "(select a.a, b.b from range(-1,2) a(a), range(-1,2) b(b)) o join dense s on s.tile=d.tile and s.row=d.row+o.a and s.col=d.col+o.b "
+            "and s.col >= v.o and s.col < v.o + 16 group by 1,2,3,4")
+
+
+@check("predict_tta", I.dense_oracle(f"""
+select tile, row, col, round(sum(t*p)/greatest(sum(t), 1e-6), 6) as prob
+from (select *, {HANN.format(r='row', c='col - o')} as t from wtta) group by 1, 2, 3""", wtta=_tta_sql()))
 def predict_tta(spark, sf):
     """The same windows averaged over the eight dihedral views."""
     scorer = N.stub_scorer(K.STUB_KERNEL, K.STUB_BIAS, 1, 1 / 50)
@@ -239,7 +259,11 @@ def predict_tta(spark, sf):
     return d.withColumn("prob", F.round("prob", 6))
 
 
-@check("preview_layers")
+@check("preview_layers", I.filled_oracle("""
+select h.tile, h.row, h.col, h.shade, round(least(greatest(least(greatest(f.z - m3.v, -0.5), 0.5)/0.5, -0.6), 0.6), 6) + 0.0 as relief,
+  case when d.y > 0 then 0.75 else 0 end::double as positive_alpha, case when coalesce(d.w, 0) = 0 then 0.3 else 0 end::double as ignore_alpha
+from shaded h join filled f using (tile, row, col) join m3 using (tile, row, col) join dense d using (tile, row, col)""", **SHADE_SQL,
+    m3=_window_sql("filled", _upper(3), 3, "reflect")))
 def preview_layers(spark, sf):
     from ridgeline.plans.preview import preview_layers as op
 

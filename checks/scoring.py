@@ -89,14 +89,17 @@ def stratified_result(spark, sf):
         "code", F.col("code").cast("bigint"))
 
 
-@check("stratified_corpus", scored("""
+CORPUS_SQL = """
 select code, round(f1, 4) as f1, round(p, 4) as p, round(r, 4) as r, tp/1E2 as t, cast(y_sum as bigint) as px from (
  select *, row_number() over (partition by code order by f1 desc, tp) as rk from (
   select *, 2*p*r/(p+r+1e-6) as f1 from (
    select code, tp, y_sum, tp_p/(pred+1e-6) as p, tp_r/(y_sum+1e-6) as r
    from (select tp, code, sum(y_sum) as y_sum, sum(tp_r) as tp_r from counts group by 1, 2)
    join (select tp, sum(pred) as pred, sum(tp_p) as tp_p from pooled group by tp) using (tp))))
-where rk = 1"""))
+where rk = 1"""
+
+
+@check("stratified_corpus", scored(CORPUS_SQL))
 def stratified_corpus(spark, sf):
     """Counts summed over all tiles before dividing."""
     counts = S.stratified_counts(_cells(spark, sf), _meta(spark, sf), 1.0)
@@ -348,3 +351,13 @@ def paint_overlay(spark, sf):
     from ridgeline.functions.rasters import paint
 
     return paint(_cells(spark, sf), spark, 0.3, 0.8).select("tile", "row", "col", "level", "argb")
+
+
+@check("lookup_join", I.oracle("""
+select tile, row, col, c.class, c.code from fx_cells join (select unnest(['active', 'faint', 'lifecycle']) as class, unnest([1, 2, 3])::bigint as code) c using (code)""", "fx_cells"))
+def lookup_join(spark, sf):
+    """Class names by code, through a lookup whose size is checked first."""
+    from ridgeline.operators.lookups import class_codes, lookup_join as op
+
+    cells = I.view(spark, sf, "fx_cells").select("tile", "row", "col", "code")
+    return op(cells, class_codes(spark), ["code"], ["row", "col"])

@@ -34,8 +34,8 @@ select s.* from scored s where not exists (select 1 from fx_zones z
     and (s.gy+1)*1000 >= z.y - z.size_m/2.0 - 200 and s.gy*1000 <= z.y + z.size_m/2.0 + 200)"""
 
 
-def ranked_oracle(body: str, **extra: str) -> str:
-    return I.oracle(body, "fx_vertices", "fx_tags", "fx_zones", segs=I.SEGMENTS_SQL, cums=I.SEGMENTS_CUM_SQL,
+def ranked_oracle(body: str, views: tuple[str, ...] = (), **extra: str) -> str:
+    return I.oracle(body, "fx_vertices", "fx_tags", "fx_zones", *views, segs=I.SEGMENTS_SQL, cums=I.SEGMENTS_CUM_SQL,
                     kinds=I.KINDS_SQL, mids=MIDS_SQL, evid=EVIDENCE_SQL, scored=CELLS_SQL, zoned=ZONED_SQL, **extra)
 
 

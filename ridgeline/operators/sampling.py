@@ -119,8 +119,7 @@ def draw_crops(centres: DataFrame, bands: DataFrame, n: int, crop: int, label_sc
     d = d.withColumns({f"_u{k}": uniform(seed, i, F.lit(k)) for k in range(6)})
     mix = class_mix(centres)
     run = Window.partitionBy(F.lit(1)).orderBy("class").rowsBetween(Window.unboundedPreceding, 0)
-    mix = mix.withColumn("_hi", F.sum("share").over(run)).withColumn("_lo", F.col("_hi") - F.col("share"))
-    last = mix.agg(F.max("class").alias("_last"))
+    mix = mix.withColumn("_hi", F.sum("share").over(run))
 
     pools = centres.groupBy("tile", "class").agg(F.count("*").alias("_nc"))
     pools = hashed_rank(pools, ["class"], ["tile"], "_ti")
@@ -128,9 +127,12 @@ def draw_crops(centres: DataFrame, bands: DataFrame, n: int, crop: int, label_sc
     ranked = bucket_rank(centres, ["tile", "class"], "row", ["col"], "_ci")
 
     pos = d.where(F.col("_u0") < positive_frac)
-    # three classes at most: this side is bounded by the class vocabulary
-    pick = F.broadcast(mix.join(tiles, "class").join(last).select("class", "_lo", "_hi", "_nt", "_last"))
-    pos = pos.join(pick, (F.col("_u1") >= F.col("_lo")) & ((F.col("_u1") < F.col("_hi")) | (F.col("class") == F.col("_last"))))
+    # one row holding at most one entry per class code
+    pick = mix.join(tiles, "class").groupBy(F.lit(0).alias("_g")).agg(
+        F.array_sort(F.collect_list(F.struct("class", "_hi", "_nt"))).alias("_mix"))
+    pos = pos.withColumn("_g", F.lit(0)).join(F.broadcast(pick), "_g")
+    chosen = F.coalesce(F.get(F.filter("_mix", lambda m: F.col("_u1") < m["_hi"]), F.lit(0)), F.element_at("_mix", -1))
+    pos = pos.withColumn("_m", chosen).withColumns({"class": F.col("_m.class"), "_nt": F.col("_m._nt")}).drop("_mix", "_m", "_g")
     pos = pos.withColumn("_ti", below(F.col("_u2"), F.col("_nt")) + 1)
     pos = pos.join(pools, ["class", "_ti"]).withColumn("_ci", below(F.col("_u3"), F.col("_nc")) + 1)
     pos = pos.join(ranked, ["tile", "class", "_ci"]).join(bands, "tile")
@@ -144,7 +146,7 @@ def draw_crops(centres: DataFrame, bands: DataFrame, n: int, crop: int, label_sc
 
     numbered = hashed_rank(bands.withColumn("_g", F.lit(0)), ["_g"], ["tile"], "_ti")
     total = numbered.groupBy("_g").agg(F.count("*").alias("_nt"))
-    rest = d.where(F.col("_u0") >= positive_frac).withColumn("_g", F.lit(0)).join(total, "_g")
+    rest = d.where(F.col("_u0") >= positive_frac).withColumn("_g", F.lit(0)).join(F.broadcast(total), "_g")
     rest = rest.withColumn("_ti", below(F.col("_u2"), F.col("_nt")) + 1).join(numbered, ["_g", "_ti"])
     rest = rest.select(
         "crop_id", "tile", F.lit(0).cast("bigint").alias("class"),
@@ -193,7 +195,7 @@ def crop_arrays(crops: DataFrame, bands: list[str]) -> DataFrame:
     """One row-major array per crop and band, for a trainer; a crop is a bounded window."""
     packed = F.array_sort(F.collect_list(F.struct("row", "col", *bands)))
     d = crops.groupBy("crop_id").agg(packed.alias("_p"))
-    return d.select("crop_id", *[F.transform("_p", lambda s, b=b: s[b]).alias(b) for b in bands])
+    return d.select("crop_id", *[F.col("_p")[b].alias(b) for b in bands])
 
 
 def augment(crops: DataFrame, body: int, seed: int, noise_m: float = 0.05, band_noise_m: float = 0.05,

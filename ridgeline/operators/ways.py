@@ -110,15 +110,48 @@ def walk_to_cells(segments: DataFrame, size_m: float = 1000.0, step: float = 20.
         "gx": F.floor(F.col("x") / size_m), "gy": F.floor(F.col("y") / size_m)})
 
 
+def way_cells(ways: DataFrame, size_m: float = 1000.0, step: float = 20.0, min_length: float = 1.0) -> DataFrame:
+    """One row per (way, grid cell) with the way's metres in that cell.
+
+    The midpoints of :func:`walk` are formed and counted inside the way's own
+    row, so distinct ways per cell are later a plain count and no shuffle by
+    way is needed. Works on streams too.
+    """
+    keep = [c for c in ways.columns if c != "geometry"]
+    d = ways.where(F.size("geometry") >= 2).withColumn("_segs", _segment_array(F.col("geometry")))
+    d = d.withColumn("_starts", _running_starts(F.transform("_segs", lambda s: s["len"])))
+    d = d.withColumn("total", F.element_at("_starts", -1)).where(F.col("total") >= min_length)
+    d = d.withColumn("_n", F.greatest(F.floor(F.col("total") / F.least(F.lit(step), F.col("total"))), F.lit(1)))
+
+    def on_segment(seg: Column, i: Column) -> Column:
+        s0, s1 = F.get("_starts", i), F.get("_starts", i + 1)
+        k0 = F.greatest(F.ceil(s0 * F.col("_n") / F.col("total") - 0.5), F.lit(0))
+        k1 = F.when(s1 >= F.col("total"), F.col("_n")).otherwise(F.ceil(s1 * F.col("_n") / F.col("total") - 0.5))
+        ks = F.when(k1 > k0, F.sequence(k0, F.greatest(k1 - 1, k0))).otherwise(F.array().cast("array<bigint>"))
+
+        def cell(k: Column) -> Column:
+            f = ((k + 0.5) * F.col("total") / F.col("_n") - s0) / seg["len"]
+            return F.struct(
+                F.floor((seg["x0"] + (seg["x1"] - seg["x0"]) * f) / size_m).alias("gx"),
+                F.floor((seg["y0"] + (seg["y1"] - seg["y0"]) * f) / size_m).alias("gy"))
+
+        return F.transform(ks, cell)
+
+    d = d.withColumn("_cells", F.flatten(F.transform("_segs", on_segment)))
+    d = d.withColumn("_c", F.explode(F.array_distinct("_cells")))
+    hits = F.size(F.filter("_cells", lambda c: c == F.col("_c")))
+    return d.select(*keep, "_c.gx", "_c.gy", (hits * F.col("total") / F.col("_n")).alias("m"))
+
+
 def score_cells(ways: DataFrame, size_m: float = 1000.0, step: float = 20.0) -> DataFrame:
     """Metres of faint and lifecycle evidence and distinct ways per grid cell.
 
-    Lengths are summed per (cell, way) first, which both counts distinct ways
-    without a second expansion and spreads a cell that many ways cross.
+    Ways are reduced to one row per cell they cross before the only shuffle,
+    and partial sums are combined on the map side, so a cell that many ways
+    cross is no hot spot.
     """
     tagged = ways.withColumn("evidence", T.evidence_kind(F.col("tags"))).where(F.col("evidence").isNotNull())
-    mids = walk_to_cells(way_segments(tagged.select("id", "evidence", "geometry")), size_m, step)
-    per_way = mids.groupBy("gx", "gy", "id", "evidence").agg(F.sum("share_m").alias("m"))
+    per_way = way_cells(tagged.select("evidence", "geometry"), size_m, step)
     cells = per_way.groupBy("gx", "gy").agg(
         F.coalesce(F.sum(F.when(F.col("evidence") == "faint", F.col("m"))), F.lit(0.0)).alias("_f"),
         F.coalesce(F.sum(F.when(F.col("evidence") == "lifecycle", F.col("m"))), F.lit(0.0)).alias("_l"),
@@ -170,15 +203,9 @@ def select_cells(cells: DataFrame, covered: DataFrame | None, limit: int,
     return d.orderBy(F.desc("total_m"), "gx", "gy").limit(limit)
 
 
-def clip_segments(segments: DataFrame, x0: float, y0: float, x1: float, y1: float,
-                  extra: tuple[str, ...] = ()) -> DataFrame:
-    """Liang-Barsky clip to a rectangle, with the kept parameter range.
-
-    Clipped pieces of one way are numbered into connected ``part``s: a new part
-    starts whenever the previous segment did not run up to this one's start.
-    """
-    d = clip_to(segments, F.lit(x0), F.lit(y0), F.lit(x1), F.lit(y1))
-    return d
+def clip_segments(segments: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+    """Liang-Barsky clip to one rectangle, with the kept parameter range."""
+    return clip_to(segments, F.lit(x0), F.lit(y0), F.lit(x1), F.lit(y1))
 
 
 def clip_to(segments: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
@@ -202,9 +229,10 @@ def clip_to(segments: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column)
 
 
 def clipped_parts(clipped: DataFrame, keys: list[str]) -> DataFrame:
-    """Group clipped segments into connected parts, one row per part.
+    """Number the clipped segments of a way into connected ``part``s.
 
-    ``keys`` must identify one way in one extent; its segments are bounded by
+    A new part starts whenever the previous segment did not run up to this
+    one's start. ``keys`` must identify one way in one extent; its segments are bounded by
     the way's own vertex array.
     """
     from pyspark.sql import Window

@@ -49,15 +49,15 @@ def result_of(wide: DataFrame, thresholds=K.SELECTION_THRESHOLDS) -> DataFrame:
 def stream_evidence(ways: DataFrame, size_m: float = 1000.0) -> DataFrame:
     """Running evidence per grid cell; a way that arrives twice counts once.
 
-    Distinct ways are kept as a set because a stream rejects distinct counts.
+    A way reaches each cell as one row, so distinct ways are a plain count and
+    a cell's state is three numbers.
     """
     d = ways.withColumn("evidence", T.evidence_kind(F.col("tags"))).where(F.col("evidence").isNotNull())
-    d = d.dropDuplicates(["id"]).select("id", "evidence", "geometry")
-    mids = W.walk_to_cells(W.way_segments(d), size_m)
-    return mids.groupBy("gx", "gy").agg(
-        F.sum(F.when(F.col("evidence") == "faint", F.col("share_m"))).alias("faint"),
-        F.sum(F.when(F.col("evidence") == "lifecycle", F.col("share_m"))).alias("lifecycle"),
-        F.size(F.collect_set("id")).alias("n_ways"))
+    d = d.dropDuplicates(["id"]).select("evidence", "geometry")
+    return W.way_cells(d, size_m).groupBy("gx", "gy").agg(
+        F.sum(F.when(F.col("evidence") == "faint", F.col("m"))).alias("faint"),
+        F.sum(F.when(F.col("evidence") == "lifecycle", F.col("m"))).alias("lifecycle"),
+        F.count("*").alias("n_ways"))
 
 
 def _drain(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
