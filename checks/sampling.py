@@ -110,19 +110,34 @@ def extract_crops(spark, sf):
     c = I.view(spark, sf, "fx_cells").where((F.col("y") == 1) & (F.col("row") <= 8) & (F.col("col") <= 152))
     plan = c.select((F.col("tile") * 1000000 + F.col("row") * 1000 + F.col("col")).alias("crop_id"), "tile",
                     F.col("row").alias("row0"), F.col("col").alias("col0"))
-    return S.extract_crops(plan, _native(spark, sf), 8, 2, 2).withColumn("z", F.round("z", 5))
+    return S.body_crops(plan, _native(spark, sf), 8, 2).withColumn("z", F.round("z", 5))
+
+
+@check("extract_fine_crops", I.dense_oracle("""
+select c.tile*1000000 + c.row*1000 + c.col as crop_id, count(*) as cells, count(d.z) as filled, round(sum(d.z), 4) as total,
+  max(coalesce(d.y, 0)) as positive
+from fx_cells c join dense d on d.tile = c.tile and d.row >= c.row and d.row < c.row + 8 and d.col >= c.col and d.col < c.col + 8
+where c.y = 1 and c.row <= 8 and c.col <= 152 group by 1"""))
+def extract_fine_crops(spark, sf):
+    """Elevation stays at the native grid while labels go to the body grid."""
+    c = I.view(spark, sf, "fx_cells").where((F.col("y") == 1) & (F.col("row") <= 8) & (F.col("col") <= 152))
+    plan = c.select((F.col("tile") * 1000000 + F.col("row") * 1000 + F.col("col")).alias("crop_id"), "tile",
+                    F.col("row").alias("row0"), F.col("col").alias("col0"))
+    z, lab = S.extract_crops(plan, _native(spark, sf), 8, 1, 2)
+    a = z.groupBy("crop_id").agg(F.count("*").alias("cells"), F.count("z").alias("filled"), F.round(F.sum("z"), 4).alias("total"))
+    return a.join(lab.groupBy("crop_id").agg(F.max("y").alias("positive")), "crop_id")
 
 
 @check("crop_arrays")
 def crop_arrays(spark, sf):
-    crops = S.extract_crops(_plan(spark, sf), _native(spark, sf), CROP, 2, 2)
+    crops = S.body_crops(_plan(spark, sf), _native(spark, sf), CROP, 2)
     d = S.crop_arrays(crops, ["y", "w"])
     return d.select("crop_id", F.size("y").alias("cells"), F.aggregate("y", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("positive"))
 
 
 @check("augment_crops")
 def augment_crops(spark, sf):
-    crops = S.extract_crops(_plan(spark, sf), _native(spark, sf), CROP, 2, 2)
+    crops = S.body_crops(_plan(spark, sf), _native(spark, sf), CROP, 2)
     d = S.augment(crops, CROP // 2, seed=11)
     return d.select("crop_id", "row", "col", F.round("z", 5).alias("z"), "y", "w", "class")
 
@@ -132,7 +147,8 @@ select tile, row//2 as row, col//2 as col, round(avg(z), 5) as z, max(coalesce(y
   case when count(z) = 4 then avg(coalesce(w, 0)) else 0 end::double as w, coalesce(min(case when code > 0 then code end), 0) as class
 from dense group by 1, 2, 3"""))
 def full_tile(spark, sf):
-    return S.full_tile(_native(spark, sf), _meta(spark, sf), 2, 2).withColumn("z", F.round("z", 5))
+    z, lab = S.full_tile(_native(spark, sf), _meta(spark, sf), 2, 2)
+    return z.join(lab, ["tile", "row", "col"]).withColumn("z", F.round("z", 5))
 
 
 @check("full_tile_published", I.dense_oracle("""
@@ -145,7 +161,19 @@ def full_tile_published(spark, sf):
     pub = G.densify(I.view(spark, sf, "fx_cells").select("tile", "row", "col", "prob_pct"), meta).where(
         (F.col("row") < 7) & (F.col("col") < 78)).select("tile", "row", "col", (F.col("prob_pct") / 10.0).alias("z"))
     pub_meta = meta.select("tile", F.lit(7).cast("bigint").alias("height"), F.lit(78).cast("bigint").alias("width"))
-    return S.full_tile(_native(spark, sf), meta, 2, 2, pub, pub_meta)
+    z, lab = S.full_tile(_native(spark, sf), meta, 2, 2, (), pub, pub_meta)
+    return z.join(lab, ["tile", "row", "col"])
+
+
+@check("full_tile_fine", I.dense_oracle("""
+select * from (select tile, count(*) as cells, count(z) as filled from dense where row < 15 and col < 159 group by tile)
+join (select tile, count(*) as body, count(*) filter (n < 9) as holed from (
+  select tile, row//3, col//3, count(z) as n from dense where row < 15 and col < 159 group by 1, 2, 3) group by tile) using (tile)"""))
+def full_tile_fine(spark, sf):
+    """Three native pixels per body pixel: the fine raster keeps all its ground."""
+    z, lab = S.full_tile(_native(spark, sf).withColumn("weight", F.lit(1.0)), _meta(spark, sf), 1, 3)
+    a = z.groupBy("tile").agg(F.count("*").alias("cells"), F.count("z").alias("filled"))
+    return a.join(lab.groupBy("tile").agg(F.count("*").alias("body"), F.count_if(F.col("w") == 0).alias("holed")), "tile")
 
 
 # --- inference -------------------------------------------------------------------

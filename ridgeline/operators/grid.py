@@ -279,14 +279,18 @@ def roughness(cells: DataFrame, meta: DataFrame, k: int, detrend: int | None,
     return d.withColumn(out, F.sqrt(var)).drop("_m", "_m2", "_u")
 
 
-def block_reduce(cells: DataFrame, meta: DataFrame, k: int, how: dict[str, tuple[str, str]]) -> DataFrame:
+def block_reduce(cells: DataFrame, meta: DataFrame | None, k: int, how: dict[str, tuple[str, str]],
+                 key: str = "tile") -> DataFrame:
     """Reduce k x k cells to one. ``how`` maps output to (band, rule).
 
     Rules are mean, max, min_nonzero and nanmean. Trailing partial blocks are
-    dropped. A plain mean of a block with a missing cell is NULL.
+    dropped; without ``meta`` the raster is taken to hold whole blocks only. A
+    plain mean of a block with a missing cell is NULL.
     """
-    d = with_size(cells, meta).where(
-        (F.col("row") < F.floor(F.col("height") / k) * k) & (F.col("col") < F.floor(F.col("width") / k) * k))
+    d = cells
+    if meta is not None:
+        d = with_size(cells, meta).where(
+            (F.col("row") < F.floor(F.col("height") / k) * k) & (F.col("col") < F.floor(F.col("width") / k) * k))
     aggs = []
     for out, (band, rule) in how.items():
         c = F.col(band)
@@ -301,7 +305,7 @@ def block_reduce(cells: DataFrame, meta: DataFrame, k: int, how: dict[str, tuple
         else:
             raise ValueError(f"unknown rule {rule!r}")
         aggs.append(agg.alias(out))
-    return d.groupBy("tile", F.floor(F.col("row") / k).alias("row"), F.floor(F.col("col") / k).alias("col")).agg(*aggs)
+    return d.groupBy(key, F.floor(F.col("row") / k).alias("row"), F.floor(F.col("col") / k).alias("col")).agg(*aggs)
 
 
 def shift(cells: DataFrame, meta: DataFrame, dr: int, dc: int, bands: Sequence[str]) -> DataFrame:

@@ -172,23 +172,43 @@ def crop_cells(plan: DataFrame, cells: DataFrame, crop: int, bands: list[str]) -
     return j.select("crop_id", "tile", r.alias("row"), k.alias("col"), *bands)
 
 
-def extract_crops(plan: DataFrame, cells: DataFrame, crop: int, z_scale: int = 1, label_scale: int = 1) -> DataFrame:
-    """Body-grid table per crop: elevation, target, weight and class.
+LABEL_RULES = {"y": ("target", "max"), "w": ("weight", "mean"), "class": ("class", "min_nonzero"), "cover": ("_valid", "mean")}
+
+
+def _trainable(lab: DataFrame) -> DataFrame:
+    """Weight 0 unless real ground covers the whole body cell."""
+    return lab.withColumn("w", F.when(F.col("cover") > 0.999, F.col("w")).otherwise(F.lit(0.0))).drop("cover")
+
+
+def _reduce_both(d: DataFrame, meta: DataFrame | None, z_scale: int, label_scale: int, key: str,
+                 canopy: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Elevation (and canopy) at its own scale, labels at the body's."""
+    d = d.withColumn("_valid", F.col("z").isNotNull().cast("double"))
+    z_rules = {"z": ("z", "nanmean"), **{c: (c, "mean") for c in canopy}}
+    if z_scale == label_scale:
+        both = _trainable(G.block_reduce(d, meta, z_scale, {**z_rules, **LABEL_RULES}, key))
+        return both.select(key, "row", "col", *z_rules), both.select(key, "row", "col", "y", "w", "class")
+    return (G.block_reduce(d, meta, z_scale, z_rules, key),
+            _trainable(G.block_reduce(d, meta, label_scale, LABEL_RULES, key)))
+
+
+def extract_crops(plan: DataFrame, cells: DataFrame, crop: int, z_scale: int = 1, label_scale: int = 1,
+                  canopy: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Elevation and label tables per crop, each at its own resolution.
 
     ``cells`` carries ``z`` (NULL nodata), ``target``, ``weight`` and ``class``
-    on the native grid. A body cell trains only where real ground covers it
-    entirely. ``z`` is on the body grid here when both scales agree.
+    on the native grid; ``crop`` is a multiple of both scales.
     """
-    raw = crop_cells(plan, cells, crop, ["z", "target", "weight", "class"])
-    keyed = raw.drop("tile").withColumnRenamed("crop_id", "tile").withColumn("valid", F.col("z").isNotNull().cast("double"))
-    size = plan.select(F.col("crop_id").alias("tile"), F.lit(crop).cast("bigint").alias("height"), F.lit(crop).cast("bigint").alias("width"))
-    lab = G.block_reduce(keyed, size, label_scale, {
-        "y": ("target", "max"), "w": ("weight", "mean"), "class": ("class", "min_nonzero"), "cover": ("valid", "mean")})
-    lab = lab.withColumn("w", F.when(F.col("cover") > 0.999, F.col("w")).otherwise(F.lit(0.0))).drop("cover")
-    z = G.block_reduce(keyed, size, z_scale, {"z": ("z", "nanmean")})
-    if z_scale == label_scale:
-        return z.join(lab, ["tile", "row", "col"]).withColumnRenamed("tile", "crop_id")
-    raise ValueError("elevation and labels need one scale here; reduce them separately")
+    raw = crop_cells(plan, cells, crop, ["z", "target", "weight", "class", *canopy]).drop("tile")
+    return _reduce_both(raw, None, z_scale, label_scale, "crop_id", canopy)
+
+
+def body_crops(plan: DataFrame, cells: DataFrame, crop: int, scale: int = 1, canopy: tuple[str, ...] = ()) -> DataFrame:
+    """Crops whose elevation and labels share the body grid, in one aggregation."""
+    raw = crop_cells(plan, cells, crop, ["z", "target", "weight", "class", *canopy]).drop("tile")
+    raw = raw.withColumn("_valid", F.col("z").isNotNull().cast("double"))
+    rules = {"z": ("z", "nanmean"), **{c: (c, "mean") for c in canopy}, **LABEL_RULES}
+    return _trainable(G.block_reduce(raw, None, scale, rules, "crop_id"))
 
 
 def crop_arrays(crops: DataFrame, bands: list[str]) -> DataFrame:
@@ -242,20 +262,24 @@ def augment(crops: DataFrame, body: int, seed: int, noise_m: float = 0.05, band_
     return d
 
 
-def full_tile(cells: DataFrame, meta: DataFrame, z_scale: int, label_scale: int,
-              published: DataFrame | None = None, published_meta: DataFrame | None = None) -> DataFrame:
-    """Evaluation table on the body grid for whole tiles.
+def full_tile(cells: DataFrame, meta: DataFrame, z_scale: int, label_scale: int, canopy: tuple[str, ...] = (),
+              published: DataFrame | None = None, published_meta: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Elevation and labels of whole tiles for evaluation.
 
-    Elevation is the published raster where there is one, else our own grid
-    reduced; everything is trimmed to the ground the rasters share.
+    Elevation is the published raster where one is given (already on the body
+    grid), else our own grid reduced. Both come back trimmed to the ground they
+    share, counted in body pixels.
     """
-    lab = G.block_reduce(cells.withColumn("valid", F.col("z").isNotNull().cast("double")), meta, label_scale, {
-        "y": ("target", "max"), "w": ("weight", "mean"), "class": ("class", "min_nonzero"), "cover": ("valid", "mean")})
-    if published is None:
-        z = G.block_reduce(cells, meta, z_scale, {"z": ("z", "nanmean")})
-        lab = lab.withColumn("w", F.when(F.col("cover") > 0.999, F.col("w")).otherwise(F.lit(0.0))).drop("cover")
-        return z.join(lab, ["tile", "row", "col"])
     body = meta.select("tile", F.floor(F.col("height") / label_scale).alias("height"), F.floor(F.col("width") / label_scale).alias("width"))
-    z, lab = G.common_extent(published.select("tile", "row", "col", "z"), lab.drop("cover"), published_meta, body, 1, 1)
-    d = z.join(lab, ["tile", "row", "col"])
-    return d.withColumn("w", F.when(F.col("z").isNotNull(), F.col("w")).otherwise(F.lit(0.0)))
+    if published is None:
+        z, lab = _reduce_both(cells, meta, z_scale, label_scale, "tile", canopy)
+        if z_scale == label_scale:
+            return z, lab
+        fine = meta.select("tile", F.floor(F.col("height") / z_scale).alias("height"), F.floor(F.col("width") / z_scale).alias("width"))
+        return G.common_extent(z, lab, fine, body, label_scale // z_scale, 1)
+    lab = G.block_reduce(cells, meta, label_scale, {k: v for k, v in LABEL_RULES.items() if k != "cover"})
+    z, lab = G.common_extent(published.select("tile", "row", "col", "z"), lab, published_meta, body, 1, 1)
+    real = z.select("tile", "row", "col", F.col("z").isNotNull().alias("_real"))
+    lab = lab.join(real, ["tile", "row", "col"], "left")
+    lab = lab.withColumn("w", F.when(F.coalesce("_real", F.lit(False)), F.col("w")).otherwise(F.lit(0.0))).drop("_real")
+    return z, lab
