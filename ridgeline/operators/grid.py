@@ -59,12 +59,12 @@ def _border_positions(i: Column, n: Column, before: int, after: int, border: str
 
 
 def haloed(cells: DataFrame, meta: DataFrame, bands: Sequence[str], before: int, after: int,
-           border: str = "truncate", block: int = BLOCK, fill: bool = True) -> DataFrame:
+           border: str = "truncate", block: int = BLOCK, fill: bool = True, size: bool = False) -> DataFrame:
     """Block copies of ``cells`` with halo and border cells, partitioned by block.
 
     Adds ``brow``, ``bcol`` and ``home``: home rows are the block's own cells.
     With ``fill`` the block is made complete; leave it off only when cells are
-    already dense.
+    already dense. With ``size`` the raster's height and width stay on.
     """
     d = cells.select("tile", "row", "col", *bands)
     if fill:
@@ -95,10 +95,11 @@ def haloed(cells: DataFrame, meta: DataFrame, bands: Sequence[str], before: int,
         & F.col("row").between(F.lit(0), F.col("height") - 1)
         & F.col("col").between(F.lit(0), F.col("width") - 1)
     )
-    d = d.select(*KEY, "row", "col", home.alias("home"), *bands).repartition(*KEY)
+    more = [*bands, *(("height", "width") if size else ())]
+    d = d.select(*KEY, "row", "col", home.alias("home"), *more).repartition(*KEY)
     if fill:
         d = d.groupBy(*KEY, "row", "col").agg(
-            F.max("home").alias("home"), *[F.max(b).alias(b) for b in bands])
+            F.max("home").alias("home"), *[F.max(b).alias(b) for b in more])
     return d
 
 
@@ -122,7 +123,7 @@ def down(before: int, after: int) -> Window:
     return Window.partitionBy(*KEY, "col").orderBy("row").rangeBetween(-before, after)
 
 
-def _span(k: int) -> tuple[int, int]:
+def span(k: int) -> tuple[int, int]:
     """Cells before and after the centre of a k-wide window; even k leans back."""
     return k // 2, k - 1 - k // 2
 
@@ -142,7 +143,7 @@ def box_mean(cells: DataFrame, meta: DataFrame, bands: dict[str, str], k: int,
              border: str = "replicate", keep: Sequence[str] = (), block: int = BLOCK,
              dense: bool = True) -> DataFrame:
     """k x k mean of NULL-free bands."""
-    b, a = _span(k)
+    b, a = span(k)
     src = sorted(set(bands.values()) | set(keep))
     d = haloed(cells, meta, src, b, a, border, block, fill=not dense)
     d = d.withColumns({f"_r_{o}": F.sum(i).over(across(b, a)) for o, i in bands.items()})
@@ -159,7 +160,7 @@ def median_filter(cells: DataFrame, meta: DataFrame, k: int, border: str = "repl
                   value: str = "z", out: str = "median", keep: Sequence[str] = (),
                   block: int = BLOCK, dense: bool = True) -> DataFrame:
     """Exact k x k median of a NULL-free band; even k takes the upper middle."""
-    b, a = _span(k)
+    b, a = span(k)
     src = sorted({value, *keep})
     d = haloed(cells, meta, src, b, a, border, block, fill=not dense)
     if k <= FRAME_MEDIAN_MAX:
@@ -167,16 +168,17 @@ def median_filter(cells: DataFrame, meta: DataFrame, k: int, border: str = "repl
         d = d.where(_core(block)).withColumn("_box", F.flatten(F.collect_list("_line").over(down(b, a))))
         mid = F.get(F.array_sort("_box"), F.lit(k * k // 2))
         return d.where("home").select("tile", "row", "col", *keep, mid.alias(out))
-    return _block_median(d, k, value, out, list(keep))
+    return block_median(d, k, value, out, list(keep))
 
 
-def _block_median(d: DataFrame, k: int, value: str, out: str, keep: list[str]) -> DataFrame:
+def block_median(d: DataFrame, k: int, value: str, out: str, keep: list[str]) -> DataFrame:
+    """k x k median of haloed blocks, one small array at a time; home cells only."""
     from pyspark.sql import types as T
 
     import numpy as np
     import pandas as pd
 
-    b, _ = _span(k)
+    b, _ = span(k)
     schema = T.StructType([d.schema[c] for c in ("tile", "row", "col", *keep)]
                           + [T.StructField(out, T.DoubleType())])
 
@@ -431,31 +433,39 @@ def hillshade(cells: DataFrame, meta: DataFrame, res: float, azimuths: Sequence[
     return d.select("tile", "row", "col", value, *keep, (total / float(len(azimuths))).alias("shade"))
 
 
+def quads(cells: DataFrame, meta: DataFrame, value: str, block: int = BLOCK) -> DataFrame:
+    """Each cell with its right, lower and lower-right neighbours ``q00..q11``.
+
+    On the last row and column the edge repeats.
+    """
+    d = haloed(cells, meta, [value], 0, 1, "replicate", block, fill=False)
+    wx = Window.partitionBy(*KEY, "row").orderBy("col")
+    wy = Window.partitionBy(*KEY, "col").orderBy("row")
+    d = d.withColumn("_e", F.lead(value).over(wx))
+    d = d.withColumns({"_s": F.lead(value).over(wy), "_se": F.lead("_e").over(wy)})
+    return d.where("home").select("tile", "row", "col", F.col(value).alias("q00"), F.col("_e").alias("q01"),
+                                  F.col("_s").alias("q10"), F.col("_se").alias("q11"))
+
+
 def bilinear_sample(cells: DataFrame, meta: DataFrame, points: DataFrame, value: str = "z",
                     out: str = "sampled") -> DataFrame:
-    """Value at fractional ``(row_f, col_f)``; beyond the edge the edge cell repeats.
+    """Value of dense cells at fractional ``(row_f, col_f)``; the edge repeats beyond it.
 
-    Each point asks for four cells by key, so this is one equi-join and one
-    aggregation over ``pid``.
+    The raster side carries 2x2 neighbourhoods, so a point is one lookup by
+    cell key and nothing has to be gathered back together.
     """
     size = meta.select("tile", "height", "width")
     p = salted_join(points, size, ["tile"], ["row_f", "col_f"]).withColumns({
         "_r": F.least(F.greatest(F.col("row_f"), F.lit(0.0)), (F.col("height") - 1).cast("double")),
         "_c": F.least(F.greatest(F.col("col_f"), F.lit(0.0)), (F.col("width") - 1).cast("double")),
     })
-    p = p.withColumns({"_r0": F.floor("_r"), "_c0": F.floor("_c")})
-    p = p.withColumns({"_fr": F.col("_r") - F.col("_r0"), "_fc": F.col("_c") - F.col("_c0")})
-    corners = F.array(*[
-        F.struct(
-            F.least(F.col("_r0") + i, F.col("height") - 1).alias("row"),
-            F.least(F.col("_c0") + j, F.col("width") - 1).alias("col"),
-            ((F.col("_fr") if i else 1 - F.col("_fr")) * (F.col("_fc") if j else 1 - F.col("_fc"))).alias("wt"),
-        ) for i in (0, 1) for j in (0, 1)])
-    keep = [c for c in points.columns if c not in ("tile",)]
-    asks = p.select("tile", *keep, F.explode(corners).alias("_k"))
-    asks = asks.select("tile", *keep, F.col("_k.row").alias("_row"), F.col("_k.col").alias("_col"), F.col("_k.wt").alias("_wt"))
-    asks = asks.where(F.col("_wt") > 0)
-    src = cells.select("tile", F.col("row").alias("_row"), F.col("col").alias("_col"), F.col(value).alias("_v"))
-    got = asks.join(src, ["tile", "_row", "_col"], "left")
-    return got.groupBy("tile", *keep).agg(
-        F.when(F.count("_v") == F.count("*"), F.sum(F.col("_v") * F.col("_wt"))).alias(out))
+    p = p.withColumns({"row": F.floor("_r"), "col": F.floor("_c")})
+    got = p.join(quads(cells, meta, value), ["tile", "row", "col"], "left")
+
+    def mix(a: Column, b: Column, f: Column) -> Column:
+        # a corner without weight must not matter, even if it is unknown
+        return F.when(f == 0, a).otherwise(a * (1 - f) + b * f)
+
+    fr, fc = F.col("_r") - F.col("row"), F.col("_c") - F.col("col")
+    v = mix(mix(F.col("q00"), F.col("q01"), fc), mix(F.col("q10"), F.col("q11"), fc), fr)
+    return got.select(*points.columns, v.alias(out))

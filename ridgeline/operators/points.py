@@ -173,7 +173,7 @@ def neighbour_distance(points: DataFrame, cell: float, k: int = 8, reach: float
         j = j.withColumn("_before", F.coalesce(F.sum("_m").over(one.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         take = F.least(F.col("_m"), F.greatest(F.lit(k) - F.col("_before"), F.lit(0)))
         best = j.groupBy("tile", "bx", "by", "x", "y", "z", "m").agg(
-            (F.sum(F.col("_d") * take) / F.sum(take)).alias("mean_dist"), F.sum(take).alias("_got"),
+            F.try_divide(F.sum(F.col("_d") * take), F.sum(take)).alias("mean_dist"), F.sum(take).alias("_got"),
             F.max(F.when(take > 0, F.col("_d"))).alias("_far")).drop("bx", "by")
         last = s > reach
         best = cut(best)

@@ -12,6 +12,7 @@ from ridgeline import constants as K
 from ridgeline.operators import grid as G
 from ridgeline.operators import ways as W
 from ridgeline.operators.labels import assign_tiles
+from ridgeline.operators.plans import pin
 
 
 def tile_parts(segments: DataFrame, meta: DataFrame, min_part: float = K.MIN_PART_M,
@@ -27,7 +28,7 @@ def tile_parts(segments: DataFrame, meta: DataFrame, min_part: float = K.MIN_PAR
                      F.col("cy1").alias("y1"), F.col("clen").alias("len"))
     g = c.groupBy("tile", "id", "part", *keep, "tx0", "ty1", "res").agg(F.array_sort(F.collect_list(piece)).alias("segs"))
     starts = W._running_starts(F.transform("segs", lambda x: x["len"]))
-    g = g.withColumn("starts", starts).withColumn("total", F.element_at("starts", -1))
+    g = pin(g.withColumn("starts", starts), ["starts"]).withColumn("total", F.element_at("starts", -1))
     return g.where(F.col("total") >= min_part)
 
 
@@ -47,6 +48,7 @@ def stations(parts: DataFrame, step: float = K.STEP_M, margin: float = 2.0, ahea
     d = parts.withColumn("station", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
     d = d.withColumn("s", F.col("station") * step + margin)
     d = d.withColumns({"_p": _point_at(F.col("s")), "_q": _point_at(F.least(F.col("s") + ahead, F.col("total")))})
+    d = pin(d, ["_p", "_q"])
     d = d.withColumns({"_dx": F.col("_q.x") - F.col("_p.x"), "_dy": F.col("_q.y") - F.col("_p.y")})
     d = d.withColumn("_norm", F.hypot("_dx", "_dy")).where(F.col("_norm") >= 1e-6)
     return d.select(*keep, "station", "s", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"),

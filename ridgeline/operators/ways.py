@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ridgeline import constants as K
 from ridgeline.functions import tags as T
+from ridgeline.operators.plans import pin
 
 
 def filter_ways(ways: DataFrame, bbox: tuple[float, float, float, float] | None, mode: str) -> DataFrame:
@@ -64,7 +65,7 @@ def way_segments(ways: DataFrame, min_length: float = 1.0) -> DataFrame:
     """
     keep = [c for c in ways.columns if c != "geometry"]
     d = ways.where(F.size("geometry") >= 2).withColumn("_segs", _segment_array(F.col("geometry")))
-    d = d.withColumn("_starts", _running_starts(F.transform("_segs", lambda s: s["len"])))
+    d = pin(d.withColumn("_starts", _running_starts(F.transform("_segs", lambda s: s["len"]))), ["_segs", "_starts"])
     d = d.withColumn("total", F.element_at("_starts", -1)).where(F.col("total") >= min_length)
     d = d.select(*keep, "total", "_starts", F.posexplode("_segs").alias("seg", "_s"))
     return d.select(
@@ -96,6 +97,7 @@ def walk(segments: DataFrame, step: float = 20.0) -> DataFrame:
         "_k0": F.greatest(first("s0"), F.lit(0)),
         "_k1": F.when(F.col("s1") >= F.col("total"), F.col("_n")).otherwise(first("s1")),
     })
+    d = pin(d, ["_k0", "_k1"])
     d = d.where(F.col("_k1") > F.col("_k0")).withColumn("k", F.explode(F.sequence(F.col("_k0"), F.col("_k1") - 1)))
     at = (F.col("k") + 0.5) * F.col("total") / F.col("_n")
     f = (at - F.col("s0")) / F.col("len")
@@ -119,7 +121,7 @@ def way_cells(ways: DataFrame, size_m: float = 1000.0, step: float = 20.0, min_l
     """
     keep = [c for c in ways.columns if c != "geometry"]
     d = ways.where(F.size("geometry") >= 2).withColumn("_segs", _segment_array(F.col("geometry")))
-    d = d.withColumn("_starts", _running_starts(F.transform("_segs", lambda s: s["len"])))
+    d = pin(d.withColumn("_starts", _running_starts(F.transform("_segs", lambda s: s["len"]))), ["_segs", "_starts"])
     d = d.withColumn("total", F.element_at("_starts", -1)).where(F.col("total") >= min_length)
     d = d.withColumn("_n", F.greatest(F.floor(F.col("total") / F.least(F.lit(step), F.col("total"))), F.lit(1)))
 
@@ -137,7 +139,7 @@ def way_cells(ways: DataFrame, size_m: float = 1000.0, step: float = 20.0, min_l
 
         return F.transform(ks, cell)
 
-    d = d.withColumn("_cells", F.flatten(F.transform("_segs", on_segment)))
+    d = pin(d.withColumn("_cells", F.flatten(F.transform("_segs", on_segment))), ["_cells"])
     d = d.withColumn("_c", F.explode(F.array_distinct("_cells")))
     hits = F.size(F.filter("_cells", lambda c: c == F.col("_c")))
     return d.select(*keep, "_c.gx", "_c.gy", (hits * F.col("total") / F.col("_n")).alias("m"))
@@ -150,7 +152,8 @@ def score_cells(ways: DataFrame, size_m: float = 1000.0, step: float = 20.0) ->
     and partial sums are combined on the map side, so a cell that many ways
     cross is no hot spot.
     """
-    tagged = ways.withColumn("evidence", T.evidence_kind(F.col("tags"))).where(F.col("evidence").isNotNull())
+    tagged = pin(ways.select("geometry", T.evidence_kind(F.col("tags")).alias("evidence")), ["evidence"])
+    tagged = tagged.where(F.col("evidence").isNotNull())
     per_way = way_cells(tagged.select("evidence", "geometry"), size_m, step)
     cells = per_way.groupBy("gx", "gy").agg(
         F.coalesce(F.sum(F.when(F.col("evidence") == "faint", F.col("m"))), F.lit(0.0)).alias("_f"),
@@ -218,7 +221,7 @@ def clip_to(segments: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column)
         lo = F.greatest(lo, F.when(d > 0, ta).when(d < 0, tb).otherwise(F.lit(0.0)))
         hi = F.least(hi, F.when(d > 0, tb).when(d < 0, ta).otherwise(F.lit(1.0)))
         ok = ok & ((d != 0) | ((a <= 0) & (b >= 0)))
-    d = segments.withColumns({"_t0": lo, "_t1": hi, "_ok": ok})
+    d = pin(segments.withColumns({"_t0": lo, "_t1": hi, "_ok": ok}), ["_t0", "_t1", "_ok"])
     d = d.where(F.col("_ok") & (F.col("_t0") < F.col("_t1"))).drop("_ok")
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     return d.withColumns({
