@@ -40,3 +40,11 @@ def harvest_registry(ways: DataFrame, zones: DataFrame, coverage: DataFrame, lim
         R.harvest_key(F.col("lat"), F.col("lon")).alias("key"), "lat", "lon", F.lit("harvest").alias("role"),
         F.lit(int(size_m)).alias("size_m"), "total_m",
         R.harvest_note(F.col("faint_m"), F.col("lifecycle_m"), F.col("n_ways"), F.col("project")).alias("notes"))
+
+
+def harvest_totals(ways: DataFrame, zones: DataFrame, size_m: float = 1000.0,
+                   buffer_m: float = K.EXCLUSION_BUFFER_M, min_m: float = K.MIN_EVIDENCE_M) -> DataFrame:
+    """Candidate cells outside the zones, their kilometres, and how many are rich enough."""
+    cells = W.exclude_zones(W.score_cells(ways, size_m), zones, size_m, buffer_m)
+    return cells.agg(F.count("*").alias("cells"), (F.sum("total_m") / 1000.0).alias("km"),
+                     F.count_if(F.col("total_m") >= min_m).alias("eligible"))
