@@ -129,7 +129,7 @@ from dense d, range(-3,4) a(a), range(-3,4) b(b) left join dense s on s.tile=d.t
 where a.a*a.a+b.b*b.b between 1 and 9 group by 1, 2, 3"""))
 def fill_window(spark, sf):
     d = G.densify(I.view(spark, sf, "fx_cells").select("tile", "row", "col", "z"), I.view(spark, sf, "fx_meta"))
-    return P.fill_window(d, 3).withColumn("z", F.round("z", 6))
+    return P.fill_window(d, I.view(spark, sf, "fx_meta"), {"z": 3}).withColumn("z", F.round("z", 6))
 
 
 @check("point_stats", I.oracle("""

@@ -10,8 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ridgeline import constants as K
+from ridgeline.operators import grid as G
 from ridgeline.operators.lineage import cut
 from ridgeline.operators.ranks import exact_quantiles, salted_join
 
@@ -92,23 +94,47 @@ def canopy_grids(points: DataFrame, meta: DataFrame, res: float, radius: float |
         F.count_if(F.col("hag") <= 12).cast("double").alias("high"))
 
 
-def fill_window(dense: DataFrame, n: int, value: str = "z") -> DataFrame:
+def fill_window(dense: DataFrame, meta: DataFrame, windows: dict[str, int], block: int = G.BLOCK) -> DataFrame:
     """Fill empty cells from filled ones within ``n`` cells, weighted by 1/distance.
 
-    Only the empty cells look around, by key.
+    ``windows`` gives ``n`` per band. A window of 12 has 440 neighbours, so
+    looking them up by key would multiply the empty cells; each halo block is
+    worked as one small array instead, all bands in the same shuffle.
     """
-    offsets = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(1.0 / math.hypot(a, b)).alias("wt"))
-        for a in range(-n, n + 1) for b in range(-n, n + 1) if 0 < math.hypot(a, b) <= n])
-    empty = dense.where(F.col(value).isNull()).select("tile", "row", "col", F.explode(offsets).alias("o"))
-    asks = empty.select("tile", "row", "col", (F.col("row") + F.col("o.a")).alias("_r"),
-                        (F.col("col") + F.col("o.b")).alias("_c"), F.col("o.wt").alias("_wt"))
-    have = dense.where(F.col(value).isNotNull()).select(
-        "tile", F.col("row").alias("_r"), F.col("col").alias("_c"), F.col(value).alias("_v"))
-    filled = asks.join(have, ["tile", "_r", "_c"]).groupBy("tile", "row", "col").agg(
-        (F.sum(F.col("_v") * F.col("_wt")) / F.sum("_wt")).alias("_fill"))
-    return dense.join(filled, ["tile", "row", "col"], "left").withColumn(
-        value, F.coalesce(value, "_fill")).drop("_fill")
+    import numpy as np
+    import pandas as pd
+
+    reach = max(windows.values())
+    keep = [c for c in dense.columns if c not in ("tile", "row", "col")]
+    d = G.haloed(dense, meta, keep, reach, reach, "truncate", block, fill=False)
+    schema = T.StructType([dense.schema[c] for c in ("tile", "row", "col", *keep)])
+    offsets = {band: [(i, j, 1.0 / math.hypot(i, j)) for i in range(-n, n + 1) for j in range(-n, n + 1)
+                      if 0 < math.hypot(i, j) <= n] for band, n in windows.items()}
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = pdf["row"].min(), pdf["col"].min()
+        h, w = pdf["row"].max() - r0 + 1, pdf["col"].max() - c0 + 1
+        at = (pdf["row"] - r0 + reach, pdf["col"] - c0 + reach)
+        home = pdf["home"].to_numpy()
+        res = pdf.loc[home, ["tile", "row", "col", *keep]].copy()
+        for band, around in offsets.items():
+            gaps = pdf[band].isna().to_numpy() & home
+            if not gaps.any():
+                continue
+            value, real = np.zeros((h + 2 * reach, w + 2 * reach)), np.zeros((h + 2 * reach, w + 2 * reach))
+            value[at] = pdf[band].fillna(0.0)
+            real[at] = pdf[band].notna()
+            rr, cc = at[0].to_numpy()[gaps], at[1].to_numpy()[gaps]
+            total, weight = np.zeros(len(rr)), np.zeros(len(rr))
+            for i, j, wt in around:
+                total += wt * value[rr + i, cc + j]
+                weight += wt * real[rr + i, cc + j]
+            fill = np.full(len(rr), np.nan)
+            np.divide(total, weight, out=fill, where=weight > 0)
+            res.loc[pdf.index[gaps], band] = fill
+        return res
+
+    return d.groupBy(*G.KEY).applyInPandas(one, schema)
 
 
 def _buckets(df: DataFrame, s: float, around: bool) -> DataFrame:

@@ -19,9 +19,8 @@ from ridgeline.operators.ranks import exact_quantiles, running_totals
 EPS = K.EPS
 
 
-def near_planes(cells: DataFrame, meta: DataFrame, radius: int, keep: Sequence[str] = (),
-                dense: bool = False) -> DataFrame:
-    """Valid cells with ``y_near`` and ``p_near``.
+def dilated(cells: DataFrame, meta: DataFrame, radius: int, keep: Sequence[str] = (), dense: bool = False) -> DataFrame:
+    """Cells with ``y_near`` and ``p_near``.
 
     The label is dilated before masking and the prediction after: a label just
     outside the valid area still excuses a prediction, but a prediction on an
@@ -30,7 +29,13 @@ def near_planes(cells: DataFrame, meta: DataFrame, radius: int, keep: Sequence[s
     d = cells.withColumn("_p", F.when(F.col("w") > 0, F.col("prob")))
     base = sorted({"prob", "y", "w", *keep})
     d = G.dilate(d, meta, {"y_near": "y", "p_near": "_p"}, radius, keep=base, dense=dense)
-    return d.where(F.col("w") > 0)
+    return d.where(F.col("w").isNotNull())
+
+
+def near_planes(cells: DataFrame, meta: DataFrame, radius: int, keep: Sequence[str] = (),
+                dense: bool = False) -> DataFrame:
+    """The valid cells of :func:`dilated`."""
+    return dilated(cells, meta, radius, keep, dense).where(F.col("w") > 0)
 
 
 def _flag(c: Column) -> Column:
@@ -43,7 +48,7 @@ def _tag(t: float) -> str:
 
 def _threshold_sums(near: DataFrame, keys: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
     """Per key and threshold: predicted, excused, found; and labelled."""
-    aggs = [F.sum("y").cast("bigint").alias("y_sum")]
+    aggs = [F.sum("y").cast("bigint").alias("y_sum"), F.count("*").alias("cells")]
     for t in thresholds:
         on = F.col("prob") >= t
         aggs += [
@@ -56,7 +61,7 @@ def _threshold_sums(near: DataFrame, keys: Sequence[str], thresholds: Sequence[f
         F.struct(F.lit(float(t)).alias("t"), F.col(f"pred{_tag(t)}").alias("pred"),
                  F.col(f"tpp{_tag(t)}").alias("tp_p"), F.col(f"tpr{_tag(t)}").alias("tp_r"))
         for t in thresholds])
-    return wide.select(*keys, "y_sum", F.explode(rows).alias("_r")).select(*keys, "y_sum", "_r.*")
+    return wide.select(*keys, "y_sum", "cells", F.explode(rows).alias("_r")).select(*keys, "y_sum", "cells", "_r.*")
 
 
 def _prf(tp_p: Column, pred: Column, tp_r: Column, y: Column) -> dict[str, Column]:
@@ -93,7 +98,7 @@ def stratified_counts(cells: DataFrame, meta: DataFrame, res: float, keys: Seque
     extra = [k for k in keys if k != "tile"]
     near = near_planes(cells, meta, K.tolerance_px(res), ["code", *extra]) if near is None else near
     strat = near.withColumn("code", F.when(F.col("y") > 0, F.col("code")).otherwise(F.lit(0)))
-    by = _threshold_sums(strat, [*keys, "code"], thresholds)
+    by = _threshold_sums(strat, [*keys, "code"], thresholds).drop("cells")
     return pool_counts(by, keys)
 
 
@@ -289,20 +294,26 @@ def evaluate_tiles(cells: DataFrame, meta: DataFrame, res: float, advisories: Da
 
     The dilated planes feed both the sweep and the stratified counts.
     """
-    near = near_planes(cells, meta, K.tolerance_px(res), ["code"])
-    both = sorted({*K.SWEEP_THRESHOLDS, *K.SELECTION_THRESHOLDS})
-    strat = near.withColumn("code", F.when(F.col("y") > 0, F.col("code")).otherwise(F.lit(0)))
-    by = _threshold_sums(strat, ["tile", "code"], both)
-    pooled = by.groupBy("tile", "t").agg(*[F.sum(c).alias(c) for c in ("y_sum", "pred", "tp_p", "tp_r")])
+    near = dilated(cells, meta, K.tolerance_px(res), ["code"])
+    both = sorted({*K.SWEEP_THRESHOLDS, *K.SELECTION_THRESHOLDS, 0.5})
+    # ignored cells are a code of their own, so one aggregation also gives the label share
+    code = F.when(F.col("w") <= 0, -1).when(F.col("y") > 0, F.col("code")).otherwise(0)
+    by = _threshold_sums(near.withColumn("code", code), ["tile", "code"], both)
+    valid = F.col("code") >= 0
+    pooled = by.groupBy("tile", "t").agg(
+        *[F.sum(F.when(valid, F.col(c))).alias(c) for c in ("y_sum", "cells", "pred", "tp_p", "tp_r")],
+        F.sum("y_sum").alias("_pos"), F.sum("cells").alias("_all"))
     m = _prf(F.col("tp_p"), F.col("pred"), F.col("tp_r"), F.col("y_sum"))
-    sweep = pooled.where(F.col("t").isin(*K.SWEEP_THRESHOLDS)).groupBy("tile").agg(
-        *[F.max(F.when(F.col("t") == t, F.round(m["f1"], 4))).alias(f"f1_{int(t * 100)}") for t in K.SWEEP_THRESHOLDS])
-    result = stratified_result(pool_counts(by, ["tile"]).where(F.col("t").isin(*K.SELECTION_THRESHOLDS)), ["tile"])
+    half = F.col("t") == 0.5
+    sweep = pooled.groupBy("tile").agg(
+        *[F.max(F.when(F.col("t") == t, F.round(m["f1"], 4))).alias(f"f1_{int(t * 100)}") for t in K.SWEEP_THRESHOLDS],
+        F.round(F.max(F.when(half, F.try_divide("pred", "cells"))), 5).alias("fp_rate"),
+        F.round(F.max(F.when(half, F.col("_pos") / F.col("_all"))), 5).alias("positive_frac"))
+    scored = pool_counts(by.where(valid).drop("cells"), ["tile"])
+    result = stratified_result(scored.where(F.col("t").isin(*K.SELECTION_THRESHOLDS)), ["tile"])
     strat_score = stratified_score(result, ["tile"])
     ap = average_precision(cells).withColumn("ap", F.round("ap", 4))
-    fp = false_positive_rate(cells).withColumn("fp_rate", F.round("fp_rate", 5))
-    frac = cells.groupBy("tile").agg(F.round(F.avg((F.col("y") > 0).cast("double")), 5).alias("positive_frac"))
-    out = sweep.join(strat_score, "tile", "left").join(ap, "tile", "left").join(fp, "tile", "left").join(frac, "tile")
+    out = sweep.join(strat_score, "tile", "left").join(ap, "tile", "left")
     if advisories is not None:
         out = out.join(advisories.select("tile", "advisory"), "tile", "left")
         out = out.withColumn("advisory", F.coalesce("advisory", F.lit("")))

@@ -23,15 +23,14 @@ def build_dtm(points: DataFrame, meta: DataFrame, res: float, knn_cell: float, r
     """Dense bare-earth elevation: ground returns, outliers out, gridded, small gaps filled."""
     ground = P.drop_outliers(P.ground(points), knn_cell, reach=reach)
     dtm = G.densify(P.grid_idw(ground, meta, res), meta)
-    return P.fill_window(dtm, fill_px)
+    return P.fill_window(dtm, meta, {"z": fill_px})
 
 
 def build_canopy(points: DataFrame, meta: DataFrame, res: float, hag_cell: float, reach: float = 2000.0) -> DataFrame:
     """Canopy height and vegetation counts, empty cells filled from close ones."""
     hag = P.height_above_ground(points, hag_cell, reach)
     d = G.densify(P.canopy_grids(hag, meta, res), meta)
-    for band, n in (("chm", CANOPY_FILL_PX), ("low", COUNT_FILL_PX), ("high", COUNT_FILL_PX)):
-        d = P.fill_window(d, n, band)
+    d = P.fill_window(d, meta, {"chm": CANOPY_FILL_PX, "low": COUNT_FILL_PX, "high": COUNT_FILL_PX})
     return d.withColumns({b: F.coalesce(b, F.lit(0.0)) for b in ("chm", "low", "high")})
 
 

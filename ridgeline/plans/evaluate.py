@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ridgeline.operators import inference as N
 from ridgeline.operators import sampling as SM
 from ridgeline.operators import scoring as S
+from ridgeline.operators.lineage import cut
 
 
 def evaluate(native: DataFrame, meta: DataFrame, scorers: dict[str, tuple[Callable, int, int]], label_scale: int,
@@ -25,7 +26,8 @@ def evaluate(native: DataFrame, meta: DataFrame, scorers: dict[str, tuple[Callab
                            (F.floor(F.col("width") / label_scale) * stride).alias("width"))
         tile = body_tile * stride
         prob = N.predict(z, size, scorer, tile, window_step(tile, overlap, stride), stride, tta)
-        cells = prob.join(lab, ["tile", "row", "col"]).withColumnRenamed("class", "code")
+        # the scorer is by far the dearest step: run it once, then score what it wrote
+        cells = cut(prob.join(lab, ["tile", "row", "col"]).withColumnRenamed("class", "code"))
         body = size.select("tile", F.floor(F.col("height") / stride).alias("height"), F.floor(F.col("width") / stride).alias("width"))
         out.append(S.evaluate_tiles(cells, body, BODY_RES, advisories).withColumn("variant", F.lit(variant)))
     return reduce(DataFrame.unionByName, out)
