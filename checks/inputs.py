@@ -179,11 +179,6 @@ select m.tile, r.row, c.col, k.z, k.prob_pct, k.y, k.w, k.code
 from fx_meta m, range(16) r(row), range(160) c(col)
 left join fx_cells k on k.tile = m.tile and k.row = r.row and k.col = c.col"""
 
-#: dense elevation with holes filled by the tile median
-FILLED_SQL = """
-select tile, row, col, coalesce(z, (select median(z) from fx_cells f where f.tile = dense.tile)) as z from dense"""
-
-
 def dense_oracle(body: str, **extra: str) -> str:
     return oracle(body, "fx_cells", "fx_meta", dense=DENSE_SQL, **extra)
 

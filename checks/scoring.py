@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import inputs as I
 from checks.registry import check
-from checks.grid import SKEL_BASE, skeleton_sql  # noqa: F401
+from checks.grid import skeleton_sql
 from ridgeline import constants as K
 from ridgeline.operators import scoring as S
 

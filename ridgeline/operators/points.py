@@ -137,12 +137,12 @@ def fill_window(dense: DataFrame, meta: DataFrame, windows: dict[str, int], bloc
     return d.groupBy(*G.KEY).applyInPandas(one, schema)
 
 
-def _buckets(df: DataFrame, s: float, around: bool) -> DataFrame:
-    bx, by = F.floor(F.col("x") / s), F.floor(F.col("y") / s)
-    if not around:
-        return df.withColumns({"bx": bx, "by": by})
-    d = df.withColumn("bx", F.explode(F.sequence(bx - 1, bx + 1)))
-    return d.withColumn("by", F.explode(F.sequence(by - 1, by + 1)))
+def _buckets(df: DataFrame, s: float, around: bool, axes: str = "xy") -> DataFrame:
+    """Cubic buckets of side ``s``; with ``around``, once per adjoining bucket."""
+    for c in axes:
+        at = F.floor(F.col(c) / s)
+        df = df.withColumn(f"b{c}", F.explode(F.sequence(at - 1, at + 1)) if around else at)
+    return df
 
 
 def height_above_ground(points: DataFrame, cell: float, reach: float = 2000.0) -> DataFrame:
@@ -183,24 +183,25 @@ def neighbour_distance(points: DataFrame, cell: float, k: int = 8, reach: float
     """Mean distance in space to the ``k`` nearest other points, per position.
 
     Points at one position are one row with a multiplicity ``m``, so copies
-    never multiply into pairs. Buckets widen as in :func:`height_above_ground`.
+    never multiply into pairs. Buckets are cubes, since distance is in space,
+    and widen as in :func:`height_above_ground`.
     """
     spots = points.groupBy("tile", "x", "y", "z").agg(F.count("*").alias("m"))
     found, s = None, cell
     todo = spots
     while True:
-        near = _buckets(spots, s, True).withColumnsRenamed({"x": "_x", "y": "_y", "z": "_z", "m": "_m"})
-        j = _buckets(todo, s, False).join(near, ["tile", "bx", "by"])
+        near = _buckets(spots, s, True, "xyz").withColumnsRenamed({"x": "_x", "y": "_y", "z": "_z", "m": "_m"})
+        j = _buckets(todo, s, False, "xyz").join(near, ["tile", "bx", "by", "bz"], "left")
         dx, dy, dz = (F.col(c) - F.col(f"_{c}") for c in ("x", "y", "z"))
         j = j.withColumn("_d", F.sqrt(dx * dx + dy * dy + dz * dz))
         j = j.withColumn("_m", F.when(F.col("_d") == 0, F.col("m") - 1).otherwise(F.col("_m")))
-        one = Window.partitionBy("tile", "bx", "by", "x", "y", "z").orderBy("_d", "_x", "_y", "_z")
+        one = Window.partitionBy("tile", "bx", "by", "bz", "x", "y", "z").orderBy("_d", "_x", "_y", "_z")
         j = j.withColumn("_rn", F.row_number().over(one)).where(F.col("_rn") <= k + 1)
         j = j.withColumn("_before", F.coalesce(F.sum("_m").over(one.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         take = F.least(F.col("_m"), F.greatest(F.lit(k) - F.col("_before"), F.lit(0)))
-        best = j.groupBy("tile", "bx", "by", "x", "y", "z", "m").agg(
+        best = j.groupBy("tile", "bx", "by", "bz", "x", "y", "z", "m").agg(
             F.try_divide(F.sum(F.col("_d") * take), F.sum(take)).alias("mean_dist"), F.sum(take).alias("_got"),
-            F.max(F.when(take > 0, F.col("_d"))).alias("_far")).drop("bx", "by")
+            F.max(F.when(take > 0, F.col("_d"))).alias("_far")).drop("bx", "by", "bz")
         last = s > reach
         best = cut(best)
         sure = (F.col("_got") == k) & (F.col("_far") <= s)

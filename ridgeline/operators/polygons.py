@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline import constants as K
+from ridgeline.operators.plans import pin
 
 
 def rect_ring(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -14,20 +15,18 @@ def rect_ring(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 
 def ring_edges(rings: Column) -> Column:
-    """Edges of all rings that a horizontal ray can cross, ready for the test.
-
-    Formed once per polygon: y range, one end point and the run per rise.
-    """
+    """Edges of all rings, formed once per polygon: box, one end point, run per rise."""
     def edges(ring: Column) -> Column:
         n = F.size(ring)
         prev = F.concat(F.slice(ring, n, F.lit(1)), F.slice(ring, F.lit(1), n - 1))
         return F.zip_with(ring, prev, lambda i, j: F.struct(
             F.least(i["y"], j["y"]).alias("lo"), F.greatest(i["y"], j["y"]).alias("hi"),
+            F.least(i["x"], j["x"]).alias("left"), F.greatest(i["x"], j["x"]).alias("right"),
             i["x"].alias("x"), i["y"].alias("y"),
             F.try_divide(j["x"] - i["x"], j["y"] - i["y"]).alias("run")))
 
     usable = F.filter(rings, lambda r: F.size(r) >= 3)
-    return F.filter(F.flatten(F.transform(usable, edges)), lambda e: e["lo"] < e["hi"])
+    return F.flatten(F.transform(usable, edges))
 
 
 def contains(edges: Column, x: Column, y: Column) -> Column:
@@ -43,11 +42,20 @@ def _bbox(rings: Column) -> dict[str, Column]:
 
 
 def _poly_buckets(polys: DataFrame, cell: float, salts: int) -> DataFrame:
-    """Polygons once per bucket their bounding box meets, and once per salt."""
-    d = polys.withColumns(_bbox(F.col("rings"))).where(F.col("_bx0").isNotNull())
+    """Polygons once per bucket they meet, and once per salt.
+
+    ``_cut`` marks buckets that an edge may cross; only points there need the
+    exact test.
+    """
+    d = polys.withColumns({**_bbox(F.col("rings")), "_edges": ring_edges(F.col("rings"))}).drop("rings")
+    d = d.where(F.col("_bx0").isNotNull())
     d = d.withColumn("_gx", F.explode(F.sequence(F.floor(F.col("_bx0") / cell), F.floor(F.col("_bx1") / cell))))
     d = d.withColumn("_gy", F.explode(F.sequence(F.floor(F.col("_by0") / cell), F.floor(F.col("_by1") / cell))))
-    d = d.withColumn("_edges", ring_edges(F.col("rings"))).drop("rings")
+    x, y = F.col("_gx") * cell, F.col("_gy") * cell
+    cut = F.exists("_edges", lambda e: (e["left"] <= x + cell) & (e["right"] >= x) & (e["lo"] <= y + cell) & (e["hi"] >= y))
+    d = pin(d.withColumns({"_cut": cut, "_mid": contains(F.col("_edges"), x + cell / 2, y + cell / 2)}), ["_cut", "_mid"])
+    # no edge near the bucket: it is inside or outside as a whole
+    d = d.where(F.col("_cut") | F.col("_mid")).withColumn("_edges", F.when(F.col("_cut"), F.col("_edges"))).drop("_mid")
     return d.withColumn("_gs", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
@@ -64,8 +72,9 @@ def point_in_polygon_join(points: DataFrame, polys: DataFrame, cell: float, how:
     q = _poly_buckets(polys, cell, salts)
     inside = (
         (F.col("p._gx") == F.col("q._gx")) & (F.col("p._gy") == F.col("q._gy")) & (F.col("p._gs") == F.col("q._gs"))
-        & F.col("p.x").between(F.col("q._bx0"), F.col("q._bx1")) & F.col("p.y").between(F.col("q._by0"), F.col("q._by1"))
-        & contains(F.col("q._edges"), F.col("p.x"), F.col("p.y")))
+        & (~F.col("q._cut") | (
+            F.col("p.x").between(F.col("q._bx0"), F.col("q._bx1")) & F.col("p.y").between(F.col("q._by0"), F.col("q._by1"))
+            & contains(F.col("q._edges"), F.col("p.x"), F.col("p.y")))))
     j = p.alias("p").join(q.alias("q"), inside, how)
     cols = [F.col(f"p.{c}") for c in points.columns]
     if how != "left_semi":
@@ -102,7 +111,7 @@ def view_samples(views: DataFrame) -> DataFrame:
                     (F.col("_nx") * F.col("_ny")).alias("_total"))
 
 
-def covered_fraction(views: DataFrame, footprints: DataFrame, cell: float = 10000.0) -> DataFrame:
+def covered_fraction(views: DataFrame, footprints: DataFrame, cell: float = 1000.0) -> DataFrame:
     """Share of each view's samples inside any fine footprint."""
     fine = footprints.where(F.col("low_ps") <= K.MAX_SOURCE_PIXEL_M).select("rings")
     hit = point_in_polygon_join(view_samples(views), fine, cell, "left_semi")
@@ -145,7 +154,7 @@ def coverage_summary(views: DataFrame, catalog: DataFrame, cell: float = 10000.0
         F.min("low_ps").alias("best_m"), F.min_by("title", F.struct("low_ps", "object_id")).alias("title"),
         F.count("*").alias("sources"), F.min(F.when(fine, F.col("acquired"))).alias("first"),
         F.max(F.when(fine, F.col("acquired"))).alias("last"))
-    d = views.select("view_id").join(met, "view_id", "left").join(covered_fraction(views, catalog, cell), "view_id")
+    d = views.select("view_id").join(met, "view_id", "left").join(covered_fraction(views, catalog), "view_id")
     good = F.coalesce(F.col("best_m") <= K.MAX_SOURCE_PIXEL_M, F.lit(False))
     complete = F.col("covered") >= 1.0
     return d.withColumns({

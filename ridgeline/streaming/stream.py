@@ -88,7 +88,7 @@ def run_evidence(spark: SparkSession, ways: DataFrame) -> DataFrame:
     ways.select("id", "tags", "geometry").write.parquet(f"{folder}/in")
     src = spark.read.parquet(f"{folder}/in")
     src.where(F.col("id") % 5 == 0).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
     d = _drain(spark, stream_evidence(stream), folder)
     return d.select("gx", "gy", F.rint(F.coalesce("faint", F.lit(0.0))).cast("bigint").alias("faint_m"),
                     F.rint(F.coalesce("lifecycle", F.lit(0.0))).cast("bigint").alias("lifecycle_m"),
