@@ -232,7 +232,10 @@ AGREE_SQL = {
     "pub": "select tile, row, col, case when (row*7 + col*3) % 41 = 0 then null else coalesce(z, 0) + ((row*13 + col*7 + tile) % 11)/16.0::double end as zp from bodyz",
     "two": "select b.tile, b.row, b.col, b.z, p.zp from bodyz b join pub p using (tile, row, col)",
     "sl": """
-select d.*, least(sqrt(power((r.z-l.z)/2, 2) + power((b.z-u.z)/2, 2)), tan(radians(60))) as so, least(sqrt(power((r.zp-l.zp)/2, 2) + power((b.zp-u.zp)/2, 2)), tan(radians(60))) as sp
+select d.*, case when r.z is not null and l.z is not null and b.z is not null and u.z is not null
+    then least(sqrt(power((r.z-l.z)/2, 2) + power((b.z-u.z)/2, 2)), tan(radians(60))) end as so,
+  case when r.zp is not null and l.zp is not null and b.zp is not null and u.zp is not null
+    then least(sqrt(power((r.zp-l.zp)/2, 2) + power((b.zp-u.zp)/2, 2)), tan(radians(60))) end as sp
 from two d left join two l on l.tile=d.tile and l.row=d.row and l.col=d.col-1 left join two r on r.tile=d.tile and r.row=d.row and r.col=d.col+1
  left join two u on u.tile=d.tile and u.row=d.row-1 and u.col=d.col left join two b on b.tile=d.tile and b.row=d.row+1 and b.col=d.col""",
 }

@@ -43,7 +43,8 @@ def snr_verdict(snr: Column) -> Column:
 def quantise_prob(p: Column, levels: int = K.PALETTE_LEVELS) -> Column:
     """Palette index of a probability; NULL stays NULL and is never painted."""
     clamped = F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
-    return F.floor(clamped * (levels - 1) + 0.5).cast("bigint")
+    # least and greatest skip NULL, which would paint nodata as level 0
+    return F.when(p.isNotNull(), F.floor(clamped * (levels - 1) + 0.5)).cast("bigint")
 
 
 def palette(spark: SparkSession, threshold: float, opacity: float) -> DataFrame:

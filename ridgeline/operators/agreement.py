@@ -17,7 +17,7 @@ CLIP = math.tan(math.radians(K.SLOPE_CLIP_DEG))
 def slope_clip(cells: DataFrame, meta: DataFrame, res: float, value: str, out: str, keep=()) -> DataFrame:
     """Gradient magnitude clipped at tan 60 degrees; NULL beside a hole."""
     g = G.gradients(cells, meta, res, "one_sided", value, keep)
-    return g.withColumn(out, F.least(F.hypot("gx", "gy"), F.lit(CLIP))).drop("gx", "gy")
+    return g.withColumn(out, G._clamp(F.hypot("gx", "gy"), 0.0, CLIP)).drop("gx", "gy")
 
 
 def dem_agreement(ours: DataFrame, published: DataFrame, meta: DataFrame, k: int, res: float = K.BODY_RES,

@@ -254,7 +254,8 @@ def centre(cells: DataFrame, value: str = "z") -> DataFrame:
 
 
 def _clamp(c: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
+    # least and greatest skip NULL; an unknown value stays unknown
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(lo)), F.lit(hi)))
 
 
 def micro_relief(cells: DataFrame, meta: DataFrame, k: int, clip: float, border: str = "reflect",
