@@ -1,6 +1,6 @@
 """Every query of the subpackage; importing the modules registers them."""
 
-from ridgeline.llm import mixing, sharding  # noqa: F401
+from ridgeline.llm import language, mixing, quality, sharding, token_counts  # noqa: F401
 from ridgeline.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
