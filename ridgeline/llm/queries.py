@@ -1,6 +1,6 @@
 """Every query of the subpackage; importing the modules registers them."""
 
-from ridgeline.llm import language, licenses, mixing, quality, sharding, token_counts, topk, warc  # noqa: F401
+from ridgeline.llm import decontamination, language, licenses, mixing, quality, sharding, token_counts, topk, warc  # noqa: F401
 from ridgeline.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
