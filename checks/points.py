@@ -89,16 +89,31 @@ def grid_count(spark, sf):
 
 @check("height_above_ground", pts("select event_id, round(hag, 6) as hag from hag", hag=HAG_SQL))
 def height_above_ground(spark, sf):
-    d = P.height_above_ground(_clean(spark, sf), cell=8.0, reach=200.0)
+    d = P.height_above_ground(_clean(spark, sf), cell=8.0)
+    return d.select("event_id", F.round("hag", 6).alias("hag"))
+
+
+#: every fiftieth point is moved kilometres away from the rest of its tile
+FAR_SQL = "select * replace (x + (case when event_id % 50 = 0 then 3000.0 + event_id % 7 * 900 else 0 end) as x) from ({})"
+
+
+def _far(d):
+    return d.withColumn("x", F.col("x") + F.when(F.col("event_id") % 50 == 0, 3000.0 + F.col("event_id") % 7 * 900).otherwise(0.0))
+
+
+@check("height_above_ground_far", I.oracle("select event_id, round(hag, 6) as hag from hag", "fx_points", clean=FAR_SQL.format(CLEAN_SQL), hag=HAG_SQL))
+def height_above_ground_far(spark, sf):
+    """Points far from any ground still find the nearest one."""
+    d = P.height_above_ground(_far(_clean(spark, sf)), cell=8.0)
     return d.select("event_id", F.round("hag", 6).alias("hag"))
 
 
 @check("canopy_grids", pts("""
 select tile, cast(row as bigint) as row, cast(col as bigint) as col, round(max(hag), 6) as chm,
-  cast(count(*) filter (hag < 0.8) as double) as low, cast(count(*) filter (hag <= 12) as double) as high
+  cast(nullif(count(*) filter (hag < 0.8), 0) as double) as low, cast(nullif(count(*) filter (hag <= 12), 0) as double) as high
 from reach join (select event_id, hag from hag) using (event_id) group by 1, 2, 3""", reach=REACH_SQL, hag=HAG_SQL))
 def canopy_grids(spark, sf):
-    d = P.height_above_ground(_clean(spark, sf), cell=8.0, reach=200.0)
+    d = P.height_above_ground(_clean(spark, sf), cell=8.0)
     return P.canopy_grids(d, P.grid_bounds(d, RES), RES).withColumn("chm", F.round("chm", 6))
 
 
@@ -112,7 +127,14 @@ select event_id, tile, x, y, z, avg(d) as md from (
 @check("neighbour_distance", pts("select event_id, round(md, 5) as mean_dist from nd", nd=NEIGHBOUR_SQL))
 def neighbour_distance(spark, sf):
     c = _clean(spark, sf)
-    d = P.neighbour_distance(c, cell=16.0, k=8, reach=200.0)
+    d = P.neighbour_distance(c, cell=16.0, k=8)
+    return c.join(d, ["tile", "x", "y", "z"]).select("event_id", F.round("mean_dist", 5).alias("mean_dist"))
+
+
+@check("neighbour_distance_far", I.oracle("select event_id, round(md, 5) as mean_dist from nd", "fx_points", clean=FAR_SQL.format(CLEAN_SQL), nd=NEIGHBOUR_SQL))
+def neighbour_distance_far(spark, sf):
+    c = _far(_clean(spark, sf))
+    d = P.neighbour_distance(c, cell=16.0, k=8)
     return c.join(d, ["tile", "x", "y", "z"]).select("event_id", F.round("mean_dist", 5).alias("mean_dist"))
 
 
@@ -120,7 +142,7 @@ def neighbour_distance(spark, sf):
 select event_id from nd join (select tile, avg(md) + 3*stddev_samp(md) as lim from nd group by tile) using (tile) where md <= lim""",
                             nd=NEIGHBOUR_SQL))
 def drop_outliers(spark, sf):
-    return P.drop_outliers(_clean(spark, sf), cell=16.0, reach=200.0).select("event_id")
+    return P.drop_outliers(_clean(spark, sf), cell=16.0).select("event_id")
 
 
 @check("fill_window", I.dense_oracle("""
@@ -240,7 +262,7 @@ def coverage_summary(spark, sf):
 
 
 @check("describe_source", I.oracle("""
-select view_id, title || ' · ' || cast(cast(round(best_m*10) as bigint)//10 as varchar) || '.' || cast(cast(round(best_m*10) as bigint)%10 as varchar) || ' m' ||
+select view_id, title || ' · ' || case when best_m >= 9.95 then printf('%.0f', best_m) when best_m >= 0.995 then printf('%.1f', best_m) else printf('%.2f', best_m) end || ' m' ||
   case when first is null then '' when first = last then ' · flown ' || first else ' · flown ' || first || ' to ' || last end as text
 from met""", "fx_views", "fx_catalog", met=MET_SQL))
 def describe_source(spark, sf):

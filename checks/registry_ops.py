@@ -141,6 +141,18 @@ def split_clearance(spark, sf):
     return RG.split_clearance(d).withColumn("gap_m", F.round("gap_m", 3))
 
 
+XY_SQL = f"select *, {E_SQL} as x, {N_SQL} as y from (select * from fx_aois union all select * from harv where key not in (select key from fx_aois))"
+MIXED_SQL = f"select * exclude (size_m), size_m + (key % 4) * 1500 as size_m from ({XY_SQL})"
+
+
+@check("split_clearance_mixed", I.oracle(GAP_SQL, "fx_aois", harv=HARVESTED_SQL, xy=MIXED_SQL))
+def split_clearance_mixed(spark, sf):
+    """Areas of one to several kilometres."""
+    d = GD.with_utm(RG.merge_registry(_aois(spark, sf), _harvested(spark, sf)), "lon", "lat", F.lit(11))
+    d = d.withColumn("size_m", F.col("size_m") + (F.col("key") % 4) * 1500)
+    return RG.split_clearance(d).withColumn("gap_m", F.round("gap_m", 3))
+
+
 @check("harvest_key", I.oracle("""
 select key, 'h_' || digits_lat || '_s' || digits_lon as hkey from (
  select key, cast((cast(round(abs(lat)*1E5) as bigint) + 5)//10//10000 as varchar) || lpad(cast((cast(round(abs(lat)*1E5) as bigint) + 5)//10 % 10000 as varchar), 4, '0') as digits_lat,

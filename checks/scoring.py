@@ -356,8 +356,8 @@ def paint_overlay(spark, sf):
 @check("lookup_join", I.oracle("""
 select tile, row, col, c.class, c.code from fx_cells join (select unnest(['active', 'faint', 'lifecycle']) as class, unnest([1, 2, 3])::bigint as code) c using (code)""", "fx_cells"))
 def lookup_join(spark, sf):
-    """Class names by code, through a lookup whose size is checked first."""
+    """Class names by code."""
     from ridgeline.operators.lookups import class_codes, lookup_join as op
 
     cells = I.view(spark, sf, "fx_cells").select("tile", "row", "col", "code")
-    return op(cells, class_codes(spark), ["code"], ["row", "col"])
+    return op(cells, class_codes(spark), ["code"])

@@ -57,6 +57,18 @@ def score_evidence_cells(spark, sf):
     return _evidence_cells(spark, sf)
 
 
+TWICE_SQL = f"select * from ({EVIDENCE_SQL}) union all select * from ({EVIDENCE_SQL}) where id % 5 = 0"
+
+
+@check("score_evidence_cells_repeated", I.oracle(
+    "select * from scored", "fx_vertices", "fx_tags", "fx_zones", segs=I.SEGMENTS_SQL, cums=I.SEGMENTS_CUM_SQL, kinds=I.KINDS_SQL,
+    mids=MIDS_SQL, evid=TWICE_SQL, scored=CELLS_SQL))
+def score_evidence_cells_repeated(spark, sf):
+    """Every fifth way comes twice: its metres add up, but it is one way."""
+    w = I.ways(spark, sf)
+    return W.score_cells(w.unionByName(w.where(F.col("id") % 5 == 0)))
+
+
 @check("exclude_zones", ranked_oracle("select * from zoned"))
 def exclude_zones(spark, sf):
     return W.exclude_zones(_evidence_cells(spark, sf), I.view(spark, sf, "fx_zones"), buffer_m=200.0)

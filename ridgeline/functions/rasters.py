@@ -123,10 +123,8 @@ def harvest_note(faint_m: Column, lifecycle_m: Column, n_ways: Column, project:
 
 
 def describe_source(title: Column, pixel_m: Column, first: Column, last: Column) -> Column:
-    """Title, pixel size to one decimal, and the flight date or date range."""
-    tenths = F.round(pixel_m * 10).cast("bigint")
-    size = F.concat(F.floor(tenths / 10).cast("bigint").cast("string"), F.lit("."),
-                    (tenths % 10).cast("string"), F.lit(" m"))
+    """Title, pixel size to two significant digits, and the flight date or date range."""
+    size = F.when(pixel_m.isNotNull(), F.format_string("%.2g m", pixel_m))
     flown = F.when(
         first.isNotNull(),
         F.concat(F.lit("flown "), first.cast("string"),

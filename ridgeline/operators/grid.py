@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.operators.ranks import exact_quantiles, salted_join
+from ridgeline.operators.ranks import exact_quantiles, keyed_join
 
 BLOCK = 64
 KEY = ["tile", "brow", "bcol"]
@@ -105,7 +105,7 @@ def haloed(cells: DataFrame, meta: DataFrame, bands: Sequence[str], before: int,
 
 def with_size(cells: DataFrame, meta: DataFrame) -> DataFrame:
     """Adds the tile's ``height`` and ``width`` to every cell."""
-    return salted_join(cells, meta.select("tile", "height", "width"), ["tile"], ["row", "col"])
+    return keyed_join(cells, meta.select("tile", "height", "width"), ["tile"])
 
 
 def _core(block: int) -> Column:
@@ -237,7 +237,7 @@ def fill_median(cells: DataFrame, value: str = "z") -> DataFrame:
     A tile with no value at all keeps NULL and says so in ``error``.
     """
     med = exact_quantiles(cells, ["tile"], value, {"_median": 0.5})
-    return salted_join(cells, med, ["tile"], ["row", "col"], "left").withColumns({
+    return keyed_join(cells, med, ["tile"], "left").withColumns({
         "valid": F.col(value).isNotNull(),
         value: F.coalesce(F.col(value), F.col("_median")),
         "error": F.when(F.col("_median").isNull(), F.lit("raster is entirely nodata")),
@@ -247,7 +247,7 @@ def fill_median(cells: DataFrame, value: str = "z") -> DataFrame:
 def centre(cells: DataFrame, value: str = "z") -> DataFrame:
     """Subtract the tile mean of valid cells; nodata becomes 0 with ``valid`` false."""
     mean = cells.groupBy("tile").agg(F.avg(value).alias("_mean"))
-    return salted_join(cells, mean, ["tile"], ["row", "col"]).withColumns({
+    return keyed_join(cells, mean, ["tile"]).withColumns({
         "valid": F.col(value).isNotNull(),
         value: F.coalesce(F.col(value) - F.col("_mean"), F.lit(0.0)),
     }).drop("_mean")
@@ -370,7 +370,7 @@ def common_extent(a: DataFrame, b: DataFrame, meta_a: DataFrame, meta_b: DataFra
         "tile", F.least("ha", "hb").alias("_h"), F.least("wa", "wb").alias("_w"))
 
     def trim(df: DataFrame, k: int) -> DataFrame:
-        return salted_join(df, both, ["tile"], ["row", "col"]).where(
+        return keyed_join(df, both, ["tile"]).where(
             (F.col("row") < F.col("_h") * k) & (F.col("col") < F.col("_w") * k)).drop("_h", "_w")
 
     return trim(a, ka), trim(b, kb)
@@ -425,7 +425,7 @@ def hillshade(cells: DataFrame, meta: DataFrame, res: float, azimuths: Sequence[
     ext = d.groupBy("tile").agg(
         *[F.min(f"_s{i}").alias(f"_lo{i}") for i in range(len(azimuths))],
         *[F.max(f"_s{i}").alias(f"_hi{i}") for i in range(len(azimuths))])
-    d = salted_join(d, ext, ["tile"], ["row", "col"])
+    d = keyed_join(d, ext, ["tile"])
     total = F.lit(0.0)
     for i in range(len(azimuths)):
         span = F.col(f"_hi{i}") - F.col(f"_lo{i}")
@@ -456,7 +456,7 @@ def bilinear_sample(cells: DataFrame, meta: DataFrame, points: DataFrame, value:
     cell key and nothing has to be gathered back together.
     """
     size = meta.select("tile", "height", "width")
-    p = salted_join(points, size, ["tile"], ["row_f", "col_f"]).withColumns({
+    p = keyed_join(points, size, ["tile"]).withColumns({
         "_r": F.least(F.greatest(F.col("row_f"), F.lit(0.0)), (F.col("height") - 1).cast("double")),
         "_c": F.least(F.greatest(F.col("col_f"), F.lit(0.0)), (F.col("width") - 1).cast("double")),
     })

@@ -8,19 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline import constants as K
-from ridgeline.operators.ranks import salted_join
 
 
-def lookup_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Sequence[str],
-                how: str = "left", max_rows: int = 100_000) -> DataFrame:
-    """Join a lookup, broadcast only after counting that it is small.
+def lookup_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a lookup by its key.
 
-    A larger lookup is joined by key, with the big side's hot keys spread over
-    tasks by a hash of the ``spread`` columns.
+    The optimizer broadcasts a lookup whose measured bytes allow it; a larger
+    one is joined by key, and adaptive execution splits the big side's hot keys.
     """
-    if lookup.limit(max_rows + 1).count() <= max_rows:
-        return df.join(F.broadcast(lookup), list(on), how)
-    return salted_join(df, lookup, on, spread, how)
+    return df.join(lookup, list(on), how)
 
 
 def class_codes(spark: SparkSession) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ridgeline import constants as K
 from ridgeline.operators import grid as G
 from ridgeline.operators.lineage import cut
-from ridgeline.operators.ranks import exact_quantiles, salted_join
+from ridgeline.operators.ranks import exact_quantiles, keyed_join
 
 
 def drop_noise(points: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def cells_in_reach(points: DataFrame, meta: DataFrame, res: float, radius: float
     ``radius`` bounds the copies per point, and what follows is always an
     aggregation by cell, so the copies are combined before they are shuffled.
     """
-    d = salted_join(points, meta.select("tile", "x0", "y1", "height", "width"), ["tile"], ["x", "y"])
+    d = keyed_join(points, meta.select("tile", "x0", "y1", "height", "width"), ["tile"])
     u, v = (F.col("x") - F.col("x0")) / res, (F.col("y1") - F.col("y")) / res
     r = radius / res
 
@@ -87,11 +87,17 @@ def grid_count(points: DataFrame, meta: DataFrame, res: float, predicates: dict[
 
 
 def canopy_grids(points: DataFrame, meta: DataFrame, res: float, radius: float | None = None) -> DataFrame:
-    """Canopy height and low/high vegetation counts from ``hag``, in one pass."""
+    """Canopy height and low/high vegetation counts from ``hag``, in one pass.
+
+    A cell where no point counts is empty, not 0, so that it may be filled.
+    """
     d = cells_in_reach(points, meta, res, _radius(res, radius))
+
+    def count(p: Column) -> Column:
+        return F.nullif(F.count_if(p), F.lit(0).cast("bigint")).cast("double")
+
     return d.groupBy("tile", "row", "col").agg(
-        F.max("hag").alias("chm"), F.count_if(F.col("hag") < 0.8).cast("double").alias("low"),
-        F.count_if(F.col("hag") <= 12).cast("double").alias("high"))
+        F.max("hag").alias("chm"), count(F.col("hag") < 0.8).alias("low"), count(F.col("hag") <= 12).alias("high"))
 
 
 def fill_window(dense: DataFrame, meta: DataFrame, windows: dict[str, int], block: int = G.BLOCK) -> DataFrame:
@@ -145,86 +151,93 @@ def _buckets(df: DataFrame, s: float, around: bool, axes: str = "xy") -> DataFra
     return df
 
 
-def height_above_ground(points: DataFrame, cell: float, reach: float = 2000.0) -> DataFrame:
+def height_above_ground(points: DataFrame, cell: float) -> DataFrame:
     """Adds ``hag``: z minus the z of the nearest ground point in plan.
 
     Candidates come from the 3x3 buckets around a point. A hit no farther than
-    one bucket side is certainly the nearest; the few points without one look
-    again with buckets twice the size, until ``reach``. Ground points at one
-    position are collapsed first, so a pile of copies is one candidate.
+    one bucket side is certainly the nearest; points without one look again
+    with buckets twice the size, until none is left. Ground points at one
+    position are collapsed first, so a pile of copies is one candidate. Only a
+    tile without any ground point leaves ``hag`` empty.
     """
     cand = ground(points).groupBy("tile", "x", "y").agg(F.min("z").alias("_gz")).withColumnsRenamed(
         {"x": "_gx", "y": "_gy"})
     spots = points.select("tile", "x", "y").distinct()
+    todo = spots.join(cand.select("tile").distinct(), "tile", "left_semi")
     found, s = None, cell
-    todo = spots
     while True:
+        first = found is None
+        place = ["bx", "by"] if first else []
         near = cand.withColumnsRenamed({"_gx": "x", "_gy": "y"})
-        near = _buckets(near, s, True).withColumnsRenamed({"x": "_gx", "y": "_gy"})
-        j = _buckets(todo, s, False).join(near, ["tile", "bx", "by"], "left")
+        # The first round spreads the candidates; later ones the few points still looking.
+        near = _buckets(near, s, first).withColumnsRenamed({"x": "_gx", "y": "_gy"})
+        j = _buckets(todo, s, not first).join(near, ["tile", "bx", "by"], "left")
         dx, dy = F.col("x") - F.col("_gx"), F.col("y") - F.col("_gy")
         j = j.withColumn("_d", dx * dx + dy * dy)
-        best = j.groupBy("tile", "bx", "by", "x", "y").agg(
-            F.min(F.when(F.col("_d").isNotNull(), F.struct("_d", "_gz"))).alias("_b"))
-        last = s > reach
+        best = j.groupBy("tile", *place, "x", "y").agg(F.min(F.when(F.col("_d").isNotNull(), F.struct("_d", "_gz"))).alias("_b"))
         best = cut(best.select("tile", "x", "y", F.col("_b._d").alias("_d"), F.col("_b._gz").alias("_gz")))
         sure = F.col("_d").isNotNull() & (F.col("_d") <= s * s)
-        got = best if last else best.where(sure)
-        found = got if found is None else found.unionByName(got)
+        got = best.where(sure)
+        found = got if first else found.unionByName(got)
         todo = best.where(~sure).select("tile", "x", "y")
-        if last or todo.isEmpty():
+        if todo.isEmpty():
             break
         s *= 2
     return points.join(found.select("tile", "x", "y", "_gz"), ["tile", "x", "y"], "left").withColumn(
         "hag", F.col("z") - F.col("_gz")).drop("_gz")
 
 
-def neighbour_distance(points: DataFrame, cell: float, k: int = 8, reach: float = 2000.0) -> DataFrame:
+def neighbour_distance(points: DataFrame, cell: float, k: int = 8) -> DataFrame:
     """Mean distance in space to the ``k`` nearest other points, per position.
 
     Points at one position are one row with a multiplicity ``m``, so copies
     never multiply into pairs. Buckets are cubes, since distance is in space,
-    and widen as in :func:`height_above_ground`.
+    and widen as in :func:`height_above_ground`. A tile of ``k`` points or
+    fewer averages all others; a point alone in its tile has none.
     """
     spots = points.groupBy("tile", "x", "y", "z").agg(F.count("*").alias("m"))
+    others = points.groupBy("tile").agg((F.count("*") - 1).alias("_others"))
+    spots = cut(keyed_join(spots, others, ["tile"]))
     found, s = None, cell
     todo = spots
     while True:
-        near = _buckets(spots, s, True, "xyz").withColumnsRenamed({"x": "_x", "y": "_y", "z": "_z", "m": "_m"})
-        j = _buckets(todo, s, False, "xyz").join(near, ["tile", "bx", "by", "bz"], "left")
+        first = found is None
+        place = ["bx", "by", "bz"] if first else []
+        near = _buckets(spots.drop("_others"), s, first, "xyz").withColumnsRenamed({"x": "_x", "y": "_y", "z": "_z", "m": "_m"})
+        j = _buckets(todo, s, not first, "xyz").join(near, ["tile", "bx", "by", "bz"], "left")
         dx, dy, dz = (F.col(c) - F.col(f"_{c}") for c in ("x", "y", "z"))
         j = j.withColumn("_d", F.sqrt(dx * dx + dy * dy + dz * dz))
         j = j.withColumn("_m", F.when(F.col("_d") == 0, F.col("m") - 1).otherwise(F.col("_m")))
-        one = Window.partitionBy("tile", "bx", "by", "bz", "x", "y", "z").orderBy("_d", "_x", "_y", "_z")
+        one = Window.partitionBy("tile", *place, "x", "y", "z").orderBy(F.asc_nulls_last("_d"), "_x", "_y", "_z")
         j = j.withColumn("_rn", F.row_number().over(one)).where(F.col("_rn") <= k + 1)
         j = j.withColumn("_before", F.coalesce(F.sum("_m").over(one.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         take = F.least(F.col("_m"), F.greatest(F.lit(k) - F.col("_before"), F.lit(0)))
-        best = j.groupBy("tile", "bx", "by", "bz", "x", "y", "z", "m").agg(
-            F.try_divide(F.sum(F.col("_d") * take), F.sum(take)).alias("mean_dist"), F.sum(take).alias("_got"),
-            F.max(F.when(take > 0, F.col("_d"))).alias("_far")).drop("bx", "by", "bz")
-        last = s > reach
-        best = cut(best)
-        sure = (F.col("_got") == k) & (F.col("_far") <= s)
-        got = best if last else best.where(sure)
-        found = got if found is None else found.unionByName(got)
-        todo = best.where(~sure).select("tile", "x", "y", "z", "m")
-        if last or todo.isEmpty():
+        best = cut(j.groupBy("tile", *place, "x", "y", "z", "m", "_others").agg(
+            F.try_divide(F.sum(F.col("_d") * take), F.sum(take)).alias("mean_dist"), F.coalesce(F.sum(take), F.lit(0)).alias("_got"),
+            F.max(F.when(take > 0, F.col("_d"))).alias("_far")).drop(*place))
+        sure = F.coalesce((F.col("_got") == F.col("_others")) | ((F.col("_got") == k) & (F.col("_far") <= s)), F.lit(False))
+        got = best.where(sure)
+        found = got if first else found.unionByName(got)
+        todo = best.where(~sure).select("tile", "x", "y", "z", "m", "_others")
+        if todo.isEmpty():
             break
         s *= 2
-    return found.drop("_got", "_far")
+    return found.drop("_got", "_far", "_others")
+
 
+def drop_outliers(points: DataFrame, cell: float, k: int = 8, multiplier: float = 3.0) -> DataFrame:
+    """Drop points whose mean neighbour distance is far above the tile's own.
 
-def drop_outliers(points: DataFrame, cell: float, k: int = 8, multiplier: float = 3.0,
-                  reach: float = 2000.0) -> DataFrame:
-    """Drop points whose mean neighbour distance is far above the tile's own."""
-    dist = neighbour_distance(points, cell, k, reach)
+    The spread is summed around the mean in a second pass, so that large counts
+    do not cancel.
+    """
+    dist = neighbour_distance(points, cell, k)
     m, v = F.col("m"), F.col("mean_dist")
-    stats = dist.groupBy("tile").agg(
-        F.sum(m).alias("_n"), F.sum(m * v).alias("_s"), F.sum(m * v * v).alias("_q"))
-    mean = F.col("_s") / F.col("_n")
-    var = F.try_divide(F.col("_q") - F.col("_n") * mean * mean, F.col("_n") - 1)
-    limit = stats.select("tile", (mean + F.sqrt(F.greatest(F.coalesce(var, F.lit(0.0)), F.lit(0.0))) * multiplier).alias("_limit"))
-    far = salted_join(dist, limit, ["tile"], ["x", "y"]).where(F.col("mean_dist") > F.col("_limit"))
+    means = dist.where(v.isNotNull()).groupBy("tile").agg(F.sum(m).alias("_n"), (F.sum(m * v) / F.sum(m)).alias("_mean"))
+    dist = keyed_join(dist, means, ["tile"])
+    off = v - F.col("_mean")
+    spread = dist.groupBy("tile").agg(F.sqrt(F.try_divide(F.sum(m * off * off), F.max("_n") - 1)).alias("_sd"))
+    far = keyed_join(dist, spread, ["tile"]).where(off > F.coalesce("_sd", F.lit(0.0)) * multiplier)
     return points.join(far.select("tile", "x", "y", "z"), ["tile", "x", "y", "z"], "left_anti")
 
 

@@ -96,11 +96,11 @@ def find_project(aois: DataFrame, coverage: DataFrame, prefer: str | None = None
     })
 
 
-def view_samples(views: DataFrame) -> DataFrame:
-    """Inclusive sample grid of each view, 50 m apart, 16 to 128 per axis."""
+def view_samples(views: DataFrame, fewest: int = K.COVERAGE_MIN_SAMPLES, most: int = K.COVERAGE_MAX_SAMPLES) -> DataFrame:
+    """Inclusive sample grid of each view, 50 m apart, ``fewest`` to ``most`` per axis."""
     def across(span: Column) -> Column:
         n = F.ceil(span / K.COVERAGE_STEP_M)
-        return F.least(F.greatest(n, F.lit(K.COVERAGE_MIN_SAMPLES)), F.lit(K.COVERAGE_MAX_SAMPLES))
+        return F.least(F.greatest(n, F.lit(fewest)), F.lit(most))
 
     d = views.withColumns({"_w": F.col("x1") - F.col("x0"), "_h": F.col("y1") - F.col("y0")})
     d = d.withColumns({"_nx": across(F.col("_w")), "_ny": across(F.col("_h"))})
@@ -111,10 +111,15 @@ def view_samples(views: DataFrame) -> DataFrame:
                     (F.col("_nx") * F.col("_ny")).alias("_total"))
 
 
-def covered_fraction(views: DataFrame, footprints: DataFrame, cell: float = 1000.0) -> DataFrame:
-    """Share of each view's samples inside any fine footprint."""
+def covered_fraction(views: DataFrame, footprints: DataFrame, cell: float = 1000.0,
+                     fewest: int = K.COVERAGE_MIN_SAMPLES, most: int = K.COVERAGE_MAX_SAMPLES) -> DataFrame:
+    """Share of each view's samples inside any fine footprint.
+
+    ``most`` samples along an axis make the grid coarser than 50 m on a large
+    view, as the published rule has it.
+    """
     fine = footprints.where(F.col("low_ps") <= K.MAX_SOURCE_PIXEL_M).select("rings")
-    hit = point_in_polygon_join(view_samples(views), fine, cell, "left_semi")
+    hit = point_in_polygon_join(view_samples(views, fewest, most), fine, cell, "left_semi")
     share = hit.groupBy("view_id").agg((F.count("*") / F.max("_total")).alias("covered"))
     return views.select("view_id").join(share, "view_id", "left").withColumn(
         "covered", F.coalesce("covered", F.lit(0.0)))

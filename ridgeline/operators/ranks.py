@@ -38,18 +38,14 @@ def hashed_rank(df: DataFrame, keys: Sequence[str], id_cols: Sequence[str],
     return bucket_rank(d, keys, "_hb", id_cols, out).drop("_hb")
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str],
-                how: str = "inner", salts: int = 32) -> DataFrame:
+def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join of a big side with one row per key on the small side.
 
-    If the small side's measured size allows it the optimizer broadcasts it and
-    the salt costs nothing. Otherwise the salt spreads each key of the big side
-    over several tasks, so a key with a third of all rows is not one task.
+    The small side is joined as it is: its size is what the optimizer measures
+    when it considers a broadcast, and beyond that adaptive execution splits the
+    big side's hot keys, so neither side is ever multiplied.
     """
-    keys = list(keys)
-    b = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return b.join(s, [*keys, "_salt"], how).drop("_salt")
+    return big.join(small, list(keys), how)
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
@@ -71,7 +67,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     span = vals.groupBy(*keys).agg(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_total"))
     width = F.col("_hi") - F.col("_lo")
-    binned = salted_join(vals, span, keys, ["_v"]).withColumn(
+    binned = keyed_join(vals, span, keys).withColumn(
         "_bin",
         F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets),
                                   F.lit(buckets - 1))).otherwise(F.lit(0)).cast("bigint"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ridgeline import constants as K
 from ridgeline.functions.noise import below, normal, uniform
 from ridgeline.operators import grid as G
-from ridgeline.operators.ranks import bucket_rank, hashed_rank, salted_join
+from ridgeline.operators.ranks import bucket_rank, hashed_rank, keyed_join
 
 
 def add_noise(cells: DataFrame, sigma: float, seed: int, value: str = "z") -> DataFrame:
@@ -36,7 +36,7 @@ def add_band_noise(cells: DataFrame, meta: DataFrame, sigma: float, scale_px: fl
           + node(1, 0) * fr * (1 - fc) + node(1, 1) * fr * fc)
     d = d.withColumn("_up", up).drop("_fr", "_fc")
     sd = d.groupBy(*key).agg(F.stddev_pop("_up").alias("_sd"))
-    d = salted_join(d, sd, list(key), ["row", "col"])
+    d = keyed_join(d, sd, list(key))
     return d.withColumn(value, F.col(value) + F.col("_up") * (sigma / F.greatest(F.col("_sd"), F.lit(1e-9)))).drop(
         "_up", "_sd")
 
@@ -77,7 +77,7 @@ def split_bands(boundary: DataFrame, crop: int, split: str) -> DataFrame:
 def legal_centres(labels: DataFrame, bands: DataFrame, crop: int) -> DataFrame:
     """Labelled cells around which a whole crop stays inside the split band."""
     half = crop // 2
-    d = salted_join(labels.where(F.col("target") > 0).select("tile", "row", "col", "class"), bands, ["tile"], ["row", "col"])
+    d = keyed_join(labels.where(F.col("target") > 0).select("tile", "row", "col", "class"), bands, ["tile"])
     return d.where(
         (F.col("row") >= half) & (F.col("row") < F.col("height") - half)
         & (F.col("col") >= F.col("col0") + half) & (F.col("col") < F.col("col1") - half)
@@ -88,7 +88,7 @@ def cap_centres(centres: DataFrame, cap: int = K.MAX_CENTRES) -> DataFrame:
     """Every n-th centre in reading order where a (tile, class) has more than ``cap``."""
     n = centres.groupBy("tile", "class").agg(F.count("*").alias("_n"))
     d = bucket_rank(centres, ["tile", "class"], "row", ["col"], "_rank")
-    d = salted_join(d, n, ["tile", "class"], ["row", "col"])
+    d = keyed_join(d, n, ["tile", "class"])
     step = F.when(F.col("_n") > cap, F.floor(F.col("_n") / cap) + 1).otherwise(F.lit(1))
     return d.where((F.col("_rank") - 1) % step == 0).drop("_rank", "_n")
 
@@ -110,7 +110,7 @@ def draw_crops(centres: DataFrame, bands: DataFrame, n: int, crop: int, label_sc
 
     Every choice is a hash of the seed and the crop number, so the plan does
     not depend on how the data is partitioned. The other share is uniform over
-    the split bands.
+    the split bands, and so is every crop where no class has a centre.
     """
     spark = centres.sparkSession
     half = crop // 2
@@ -126,11 +126,12 @@ def draw_crops(centres: DataFrame, bands: DataFrame, n: int, crop: int, label_sc
     tiles = pools.groupBy("class").agg(F.count("*").alias("_nt"))
     ranked = bucket_rank(centres, ["tile", "class"], "row", ["col"], "_ci")
 
-    pos = d.where(F.col("_u0") < positive_frac)
     # one row holding at most one entry per class code
     pick = mix.join(tiles, "class").groupBy(F.lit(0).alias("_g")).agg(
         F.array_sort(F.collect_list(F.struct("class", "_hi", "_nt"))).alias("_mix"))
-    pos = pos.withColumn("_g", F.lit(0)).join(F.broadcast(pick), "_g")
+    d = d.withColumn("_g", F.lit(0)).join(F.broadcast(pick), "_g", "left")
+    by_class = (F.col("_u0") < positive_frac) & F.col("_mix").isNotNull()
+    pos = d.where(by_class)
     chosen = F.coalesce(F.get(F.filter("_mix", lambda m: F.col("_u1") < m["_hi"]), F.lit(0)), F.element_at("_mix", -1))
     pos = pos.withColumn("_m", chosen).withColumns({"class": F.col("_m.class"), "_nt": F.col("_m._nt")}).drop("_mix", "_m", "_g")
     pos = pos.withColumn("_ti", below(F.col("_u2"), F.col("_nt")) + 1)
@@ -146,7 +147,7 @@ def draw_crops(centres: DataFrame, bands: DataFrame, n: int, crop: int, label_sc
 
     numbered = hashed_rank(bands.withColumn("_g", F.lit(0)), ["_g"], ["tile"], "_ti")
     total = numbered.groupBy("_g").agg(F.count("*").alias("_nt"))
-    rest = d.where(F.col("_u0") >= positive_frac).withColumn("_g", F.lit(0)).join(F.broadcast(total), "_g")
+    rest = d.where(~by_class).drop("_mix").join(F.broadcast(total), "_g")
     rest = rest.withColumn("_ti", below(F.col("_u2"), F.col("_nt")) + 1).join(numbered, ["_g", "_ti"])
     rest = rest.select(
         "crop_id", "tile", F.lit(0).cast("bigint").alias("class"),

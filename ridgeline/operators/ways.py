@@ -148,16 +148,18 @@ def way_cells(ways: DataFrame, size_m: float = 1000.0, step: float = 20.0, min_l
 def score_cells(ways: DataFrame, size_m: float = 1000.0, step: float = 20.0) -> DataFrame:
     """Metres of faint and lifecycle evidence and distinct ways per grid cell.
 
-    Ways are reduced to one row per cell they cross before the only shuffle,
-    and partial sums are combined on the map side, so a cell that many ways
-    cross is no hot spot.
+    Ways are reduced to one row per cell they cross before any shuffle. Rows of
+    one id in a cell are then joined: an id that comes twice is one way, though
+    its metres add up. Partial sums are combined on the map side, so a cell
+    that many ways cross is no hot spot.
     """
-    tagged = pin(ways.select("geometry", T.evidence_kind(F.col("tags")).alias("evidence")), ["evidence"])
+    tagged = pin(ways.select("id", "geometry", T.evidence_kind(F.col("tags")).alias("evidence")), ["evidence"])
     tagged = tagged.where(F.col("evidence").isNotNull())
-    per_way = way_cells(tagged.select("evidence", "geometry"), size_m, step)
+    per_way = way_cells(tagged.select("id", "evidence", "geometry"), size_m, step)
+    per_way = per_way.groupBy("gx", "gy", "id").agg(
+        *[F.sum(F.when(F.col("evidence") == e, F.col("m"))).alias(e) for e in ("faint", "lifecycle")])
     cells = per_way.groupBy("gx", "gy").agg(
-        F.coalesce(F.sum(F.when(F.col("evidence") == "faint", F.col("m"))), F.lit(0.0)).alias("_f"),
-        F.coalesce(F.sum(F.when(F.col("evidence") == "lifecycle", F.col("m"))), F.lit(0.0)).alias("_l"),
+        F.coalesce(F.sum("faint"), F.lit(0.0)).alias("_f"), F.coalesce(F.sum("lifecycle"), F.lit(0.0)).alias("_l"),
         F.count("*").alias("n_ways"))
     return cells.select(
         F.col("gx").cast("bigint").alias("gx"), F.col("gy").cast("bigint").alias("gy"),

@@ -18,29 +18,28 @@ CANOPY_FILL_PX = 3
 COUNT_FILL_PX = 5
 
 
-def build_dtm(points: DataFrame, meta: DataFrame, res: float, knn_cell: float, reach: float = 2000.0,
+def build_dtm(points: DataFrame, meta: DataFrame, res: float, knn_cell: float,
               fill_px: int = DTM_FILL_PX) -> DataFrame:
     """Dense bare-earth elevation: ground returns, outliers out, gridded, small gaps filled."""
-    ground = P.drop_outliers(P.ground(points), knn_cell, reach=reach)
+    ground = P.drop_outliers(P.ground(points), knn_cell)
     dtm = G.densify(P.grid_idw(ground, meta, res), meta)
     return P.fill_window(dtm, meta, {"z": fill_px})
 
 
-def build_canopy(points: DataFrame, meta: DataFrame, res: float, hag_cell: float, reach: float = 2000.0) -> DataFrame:
+def build_canopy(points: DataFrame, meta: DataFrame, res: float, hag_cell: float) -> DataFrame:
     """Canopy height and vegetation counts, empty cells filled from close ones."""
-    hag = P.height_above_ground(points, hag_cell, reach)
+    hag = P.height_above_ground(points, hag_cell)
     d = G.densify(P.canopy_grids(hag, meta, res), meta)
     d = P.fill_window(d, meta, {"chm": CANOPY_FILL_PX, "low": COUNT_FILL_PX, "high": COUNT_FILL_PX})
     return d.withColumns({b: F.coalesce(b, F.lit(0.0)) for b in ("chm", "low", "high")})
 
 
-def build_features(points: DataFrame, res: float, knn_cell: float, hag_cell: float,
-                   reach: float = 2000.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def build_features(points: DataFrame, res: float, knn_cell: float, hag_cell: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Grid metadata, elevation with nodata, and the six-band feature stack."""
     clean = P.drop_noise(points)
     meta = P.grid_bounds(clean, res)
-    dtm = build_dtm(clean, meta, res, knn_cell, reach)
-    canopy = build_canopy(clean, meta, res, hag_cell, reach)
+    dtm = build_dtm(clean, meta, res, knn_cell)
+    canopy = build_canopy(clean, meta, res, hag_cell)
     filled = G.fill_median(dtm).where(F.col("error").isNull()).drop("error")
     return meta, dtm, FT.feature_stack(filled, canopy, meta, res)
 

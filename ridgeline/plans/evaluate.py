@@ -17,7 +17,8 @@ from ridgeline.operators.lineage import cut
 def evaluate(native: DataFrame, meta: DataFrame, scorers: dict[str, tuple[Callable, int, int]], label_scale: int,
              body_tile: int, overlap: float, advisories: DataFrame | None = None, tta: bool = False) -> DataFrame:
     """``scorers`` maps a variant to (scorer, elevation scale, stride to the body grid)."""
-    from ridgeline.constants import BODY_RES, window_step
+    from ridgeline.constants import BODY_RES
+    from ridgeline.operators.inference import window_step
 
     out = []
     for variant, (scorer, z_scale, stride) in scorers.items():

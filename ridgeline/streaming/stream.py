@@ -6,7 +6,6 @@ once by id for as long as the query lives.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +15,12 @@ from ridgeline import constants as K
 from ridgeline.functions import tags as T
 from ridgeline.operators import scoring as S
 from ridgeline.operators import ways as W
+from ridgeline.operators.lineage import shared_base
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stream_scores(near: DataFrame, thresholds=K.SELECTION_THRESHOLDS) -> DataFrame:

@@ -89,3 +89,10 @@ def test_augment_keeps_cells_and_unknown_labels_weigh_nothing(spark):
     assert gone.count() > 0 and gone.where(F.col("w") != 0).count() == 0
     per = [r[0] for r in a.groupBy("crop_id").agg(F.avg("chm")).select("avg(chm)").collect()]
     assert set(per) == {0.0, 1.0}
+
+
+def test_crops_without_centres_are_uniform(spark):
+    bands = spark.createDataFrame([(1, 64, 0, 64), (2, 64, 0, 64)], "tile bigint, height bigint, col0 bigint, col1 bigint")
+    none = spark.createDataFrame([], "tile bigint, row bigint, col bigint, class bigint")
+    got = S.draw_crops(none, bands, 100, 16).collect()
+    assert sorted(r["crop_id"] for r in got) == list(range(100)) and all(0 <= r["row0"] <= 48 and 0 <= r["col0"] <= 48 for r in got)

@@ -53,7 +53,7 @@ def test_height_above_ground_widens_for_lonely_points(spark):
     pts = [(float(x), float(y), float(z), 2) for x, y, z in rng.uniform(0, 20, (60, 3))]
     pts += [(float(x), float(y), 30.0, 1) for x, y in rng.uniform(0, 100, (80, 2))] + [(5.0, 5.0, 9.0, 1)] * 50
     d = spark.createDataFrame([(1, *p) for p in pts], "tile int, x double, y double, z double, cls int")
-    got = sorted(r["hag"] for r in P.height_above_ground(d, 2.0, 400.0).collect())
+    got = sorted(r["hag"] for r in P.height_above_ground(d, 2.0).collect())
     np.testing.assert_allclose(got, brute_hag(pts), rtol=1e-12)
 
 
@@ -61,7 +61,7 @@ def test_neighbour_distance_counts_copies(spark):
     rng = np.random.default_rng(2)
     pts = [tuple(map(float, p)) for p in rng.uniform(0, 30, (120, 3))] + [(1.0, 1.0, 1.0)] * 200 + [(90.0, 90.0, 5.0)]
     d = spark.createDataFrame([(1, *p) for p in pts], "tile int, x double, y double, z double")
-    got = {(r["x"], r["y"], r["z"]): r["mean_dist"] for r in P.neighbour_distance(d, 3.0, 8, 400.0).collect()}
+    got = {(r["x"], r["y"], r["z"]): r["mean_dist"] for r in P.neighbour_distance(d, 3.0, 8).collect()}
     a = np.array(pts)
     for i in list(range(0, 120, 17)) + [125, 320]:
         dist = np.sort(np.sqrt(((a - a[i]) ** 2).sum(1)))[1:9]
