@@ -337,11 +337,11 @@ select pid, s.tile, round(sum(wt*f.z), 6) as sampled from (
     (case when a.a=1 then rf-floor(rf) else 1-(rf-floor(rf)) end)*(case when b.b=1 then cf-floor(cf) else 1-(cf-floor(cf)) end) as wt
   from (select o_orderkey as pid, cast(t.tile as bigint) as tile,
           least(greatest((o_orderkey % 190)/1E1 - 1, 0), 15) as rf, least(greatest((o_custkey % 1640)/1E1 - 1, 0), 159) as cf
-        from orders join (select distinct tile from fx_cells) t on t.tile = o_custkey % 10), range(2) a(a), range(2) b(b)) s
+        from orders join fx_meta t on t.tile = o_custkey % (select count(*) from fx_meta)), range(2) a(a), range(2) b(b)) s
 join filled f on f.tile = s.tile and f.row = s.rr and f.col = s.cc group by pid, s.tile"""))
 def bilinear_sample(spark, sf):
     pts = I.table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("pid"), (F.col("o_custkey") % 10).cast("bigint").alias("tile"),
+        F.col("o_orderkey").alias("pid"), (F.col("o_custkey") % _meta(spark, sf).count()).cast("bigint").alias("tile"),
         ((F.col("o_orderkey") % 190) / 10.0 - 1).alias("row_f"), ((F.col("o_custkey") % 1640) / 10.0 - 1).alias("col_f"))
     got = G.bilinear_sample(_filled(spark, sf), _meta(spark, sf), pts)
     return got.select("pid", "tile", F.round("sampled", 6).alias("sampled"))

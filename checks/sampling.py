@@ -71,25 +71,29 @@ def legal_centres(spark, sf):
 
 
 @check("cap_centres", sampled("""
-select tile, row, col, class from (select *, row_number() over (partition by tile, class order by row, col) as rk, count(*) over (partition by tile, class) as n
-  from centres where split = 'train') where (rk-1) % case when n > 10 then n//10 + 1 else 1 end = 0"""))
+select tile, row, col, class, split from (select *, row_number() over (partition by split, tile, class order by row, col) as rk,
+  count(*) over (partition by split, tile, class) as n from centres) where (rk-1) % case when n > 10 then n//10 + 1 else 1 end = 0"""))
 def cap_centres(spark, sf):
-    return S.cap_centres(_centres(spark, sf, "train"), 10)
+    parts = [S.cap_centres(_centres(spark, sf, s), 10).withColumn("split", F.lit(s)) for s in ("train", "val")]
+    return parts[0].unionByName(parts[1])
 
 
 @check("class_mix", sampled("""
-select class, count(*) as centres, round(1.0::double/count(*) over (), 6) as share from centres where split = 'val' group by class"""))
+select split, class, count(*) as centres, round(1.0::double/count(*) over (partition by split), 6) as share from centres group by split, class"""))
 def class_mix(spark, sf):
-    return S.class_mix(_centres(spark, sf, "val")).withColumn("share", F.round("share", 6))
+    parts = [S.class_mix(_centres(spark, sf, s)).withColumn("split", F.lit(s)) for s in ("train", "val")]
+    return parts[0].unionByName(parts[1]).withColumn("share", F.round("share", 6))
 
 
 def _plan(spark, sf):
-    return S.draw_crops(_centres(spark, sf, "val"), _bands(spark, sf, "val"), 512, CROP, 2)
+    """As many crops as there are validation centres."""
+    centres = _centres(spark, sf, "val")
+    return S.draw_crops(centres, _bands(spark, sf, "val"), centres.count(), CROP, 2)
 
 
 @check("draw_crops")
 def draw_crops(spark, sf):
-    """A fixed seed gives this fixed plan of 512 validation crops."""
+    """A fixed seed gives this fixed plan of validation crops."""
     return _plan(spark, sf)
 
 
@@ -211,14 +215,17 @@ def crop_windows(spark, sf):
 HANN = "greatest((0.5-0.5*cos(2*pi()*(({r})+1)/17))*(0.5-0.5*cos(2*pi()*(({c})+1)/17)), 1e-3)"
 
 
-@check("hann_taper", I.oracle(f"select row, col, round({HANN.format(r='row', c='col')}, 9) as taper from (select distinct row, col from fx_cells where col < 16)", "fx_cells"))
-def hann_taper(spark, sf):
-    """The taper at the window cells that the raster tiles fill."""
-    cells = I.view(spark, sf, "fx_cells").select("row", "col").distinct().where(F.col("col") < 16)
-    return cells.join(N.hann_taper(spark, 16), ["row", "col"]).select("row", "col", F.round("taper", 9).alias("taper"))
+WIN16 = "(select unnest(range(0, 145, 8)) as o)"
 
+@check("hann_taper", I.oracle(f"""
+select c.tile, v.o as col0, round(sum(c.z*{HANN.format(r='c.row', c='c.col - v.o')}), 4) as tapered
+from fx_cells c join {WIN16} v on c.col >= v.o and c.col < v.o + 16 group by 1, 2""", "fx_cells"))
+def hann_taper(spark, sf):
+    """Elevation under the taper, summed over every window."""
+    d = N.crop_windows(I.view(spark, sf, "fx_cells"), _meta(spark, sf), 16, 8, 1, ["z"])
+    taper = N.hann_taper(spark, 16).select(F.col("row").alias("r"), F.col("col").alias("c"), "taper")
+    return d.join(taper, ["r", "c"]).groupBy("tile", "col0").agg(F.round(F.sum(F.col("z") * F.col("taper")), 4).alias("tapered"))
 
-WIN16 = "(select unnest(range(0, 145, 8)) as o)"
 
 BLEND_SQL = f"""
 select tile, row, col, round(sum(p*t)/greatest(sum(t), 1e-6), 6) as prob from (

@@ -321,15 +321,15 @@ def parity(spark, sf):
 
 
 @check("prob_at_ground", I.oracle("""
-select o.o_orderkey as pid, cast(o.o_custkey % 10 as bigint) as tile, c.prob_pct/1E2 as prob from orders o
-left join fx_cells c on c.tile = o.o_custkey % 10 and c.row = floor((5000 - (4980 + o.o_orderkey % 300/1E1))/1.0)
-  and c.col = floor((1000 + o.o_custkey % 2000/1E1 - 10 - 1000)/1.0)""", "fx_cells"))
+select o.o_orderkey as pid, cast(o.o_custkey % (select count(*) from fx_meta) as bigint) as tile, c.prob_pct/1E2 as prob from orders o
+left join fx_cells c on c.tile = o.o_custkey % (select count(*) from fx_meta) and c.row = floor((5000 - (4980 + o.o_orderkey % 300/1E1))/1.0)
+  and c.col = floor((1000 + o.o_custkey % 2000/1E1 - 10 - 1000)/1.0)""", "fx_cells", "fx_meta"))
 def prob_at_ground(spark, sf):
     """Nearest cell under each ground point; outside the raster is NULL."""
     from ridgeline.operators.overlay import prob_at_ground as op
 
     pts = I.table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("pid"), (F.col("o_custkey") % 10).cast("bigint").alias("tile"),
+        F.col("o_orderkey").alias("pid"), (F.col("o_custkey") % _meta(spark, sf).count()).cast("bigint").alias("tile"),
         (F.lit(1000.0) + (F.col("o_custkey") % 2000) / 10.0 - 10).alias("x"),
         (F.lit(4980.0) + (F.col("o_orderkey") % 300) / 10.0).alias("y"))
     meta = _meta(spark, sf).select("tile", F.lit(1000.0).alias("x0"), F.lit(5000.0).alias("y1"), F.lit(1.0).alias("res"))
