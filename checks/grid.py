@@ -480,7 +480,26 @@ def erode_cross(spark, sf):
     return op(d, _meta(spark, sf), "p", "eroded")
 
 
-@check("band_noise")
+def _u_sql(*parts: str) -> str:
+    text = " || '|' || ".join(f"cast({p} as varchar)" for p in parts)
+    return f"(('0x' || substr(md5({text}), 1, 13))::ubigint::double / 4503599627370496.0)"
+
+
+def _normal_sql(*parts: str) -> str:
+    seed, *key = parts
+    return f"(sqrt(ln(1.0 - {_u_sql(seed, chr(39) + 'a' + chr(39), *key)}) * -2.0) * cos({_u_sql(seed, chr(39) + 'b' + chr(39), *key)} * 6.283185307179586))"
+
+
+BAND_SQL = " + ".join(
+    f"{_normal_sql('7', 'tile', f'r0 + {i}', f'c0 + {j}')} * {'(1 - fr)' if i == 0 else 'fr'} * {'(1 - fc)' if j == 0 else 'fc'}" for i in (0, 1) for j in (0, 1))
+
+
+@check("band_noise", I.filled_oracle(f"""
+select tile, row, col, round(z + up * (0.05::double / greatest(sd, 1e-9)), 6) as z from (
+  select *, stddev_pop(up) over (partition by tile) as sd from (
+    select tile, row, col, z, {BAND_SQL} as up from (
+      select *, row/6.0::double - r0 as fr, col/6.0::double - c0 as fc from (
+        select *, cast(floor(row/6.0::double) as bigint) as r0, cast(floor(col/6.0::double) as bigint) as c0 from filled))))"""))
 def band_noise(spark, sf):
     from ridgeline.operators.sampling import add_band_noise
 
@@ -488,7 +507,8 @@ def band_noise(spark, sf):
     return d.select("tile", "row", "col", F.round("z", 6).alias("z"))
 
 
-@check("white_noise")
+@check("white_noise", I.filled_oracle(f"""
+select tile, row, col, round(z + {_normal_sql('7', 'tile', 'row', 'col')} * 0.05::double, 6) as z from filled"""))
 def white_noise(spark, sf):
     from ridgeline.operators.sampling import add_noise
 

@@ -141,7 +141,7 @@ def crop_arrays(spark, sf):
 
 @check("augment_crops")
 def augment_crops(spark, sf):
-    crops = S.body_crops(_plan(spark, sf), _native(spark, sf), CROP, 2)
+    crops = S.body_crops(_plan(spark, sf), _native(spark, sf), CROP, 2, noise_seed=11)
     d = S.augment(crops, CROP // 2, seed=11)
     return d.select("crop_id", "row", "col", F.round("z", 5).alias("z"), "y", "w", "class")
 

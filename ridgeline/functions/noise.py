@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_53 = float(1 << 53)
+TWO_52 = float(1 << 52)
 
 
 def uniform(seed: int, *key: Column | str) -> Column:
-    """Uniform in [0, 1) that depends only on the seed and the key."""
-    h = F.xxhash64(F.lit(seed), *[F.col(k) if isinstance(k, str) else k for k in key])
-    return F.shiftrightunsigned(h, 11).cast("double") / TWO_53
+    """Uniform in [0, 1) that depends only on the seed and the key.
+
+    The first 13 hex digits of the md5 of their texts, joined by bars, over
+    2**52: a rule that any SQL engine can repeat.
+    """
+    parts = [F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in key]]
+    digits = F.substring(F.md5(F.concat_ws("|", *parts).cast("binary")), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / TWO_52
 
 
 def normal(seed: int, *key: Column | str) -> Column:

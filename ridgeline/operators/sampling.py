@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline import constants as K
@@ -16,16 +16,16 @@ def add_noise(cells: DataFrame, sigma: float, seed: int, value: str = "z") -> Da
     return cells.withColumn(value, F.col(value) + normal(seed, "tile", "row", "col") * sigma)
 
 
-def add_band_noise(cells: DataFrame, meta: DataFrame, sigma: float, scale_px: float, seed: int,
+def add_band_noise(cells: DataFrame, meta: DataFrame | None, sigma: float | Column, scale_px: float | Column, seed: int,
                    value: str = "z", key: tuple[str, ...] = ("tile",)) -> DataFrame:
     """Spatially correlated noise: hashed normals on a coarse grid, bilinear between.
 
     A coarse node is a pure function of its key, so every cell computes its own
     four corners and nothing is joined. The field is then rescaled to ``sigma``
-    over each raster.
+    over each raster. ``sigma`` and ``scale_px`` may differ from key to key.
     """
-    k = max(scale_px, 2.0)
-    d = cells.withColumns({"_fr": F.col("row") / k, "_fc": F.col("col") / k})
+    k = F.greatest(scale_px if isinstance(scale_px, Column) else F.lit(float(scale_px)), F.lit(2.0))
+    d = cells.withColumn("_k", k).withColumns({"_fr": F.col("row") / F.col("_k"), "_fc": F.col("col") / F.col("_k")})
     r0, c0 = F.floor("_fr"), F.floor("_fc")
     fr, fc = F.col("_fr") - r0, F.col("_fc") - c0
 
@@ -34,13 +34,29 @@ def add_band_noise(cells: DataFrame, meta: DataFrame, sigma: float, scale_px: fl
 
     up = (node(0, 0) * (1 - fr) * (1 - fc) + node(0, 1) * (1 - fr) * fc
           + node(1, 0) * fr * (1 - fc) + node(1, 1) * fr * fc)
-    d = d.withColumn("_up", up).drop("_fr", "_fc")
+    d = d.withColumn("_up", up).drop("_fr", "_fc", "_k")
     sd = d.groupBy(*key).agg(F.stddev_pop("_up").alias("_sd"))
     d = keyed_join(d, sd, list(key))
     return d.withColumn(value, F.col(value) + F.col("_up") * (sigma / F.greatest(F.col("_sd"), F.lit(1e-9)))).drop(
         "_up", "_sd")
 
 
+def crop_noise(raw: DataFrame, seed: int, native_res: float, noise_m: float = 0.05, band_noise_m: float = 0.05) -> DataFrame:
+    """Noise on the native elevation of each crop, before anything is reduced.
+
+    White noise and band-limited noise, each of a strength drawn for the crop;
+    the band's scale is drawn between the published bounds, in metres.
+    """
+    i, (lo, hi) = F.col("crop_id"), K.BAND_NOISE_SCALE_M
+    u = {k: uniform(seed, i, F.lit(k)) for k in ("white", "band", "scale")}
+    d = raw
+    if noise_m:
+        d = d.withColumn("z", F.col("z") + normal(seed, i, "row", "col") * (u["white"] * noise_m))
+    if band_noise_m:
+        d = add_band_noise(d, None, u["band"] * band_noise_m, (u["scale"] * (hi - lo) + lo) / native_res, seed + 1, key=("crop_id",))
+    return d
+
+
 def split_boundary(labels: DataFrame, meta: DataFrame, crop: int) -> DataFrame:
     """Column of each tile that parts the training band from the validation band.
 
@@ -204,9 +220,15 @@ def extract_crops(plan: DataFrame, cells: DataFrame, crop: int, z_scale: int = 1
     return _reduce_both(raw, None, z_scale, label_scale, "crop_id", canopy)
 
 
-def body_crops(plan: DataFrame, cells: DataFrame, crop: int, scale: int = 1, canopy: tuple[str, ...] = ()) -> DataFrame:
-    """Crops whose elevation and labels share the body grid, in one aggregation."""
+def body_crops(plan: DataFrame, cells: DataFrame, crop: int, scale: int = 1, canopy: tuple[str, ...] = (),
+               noise_seed: int | None = None, native_res: float = K.BODY_RES) -> DataFrame:
+    """Crops whose elevation and labels share the body grid, in one aggregation.
+
+    With ``noise_seed`` the native elevation gets :func:`crop_noise` first.
+    """
     raw = crop_cells(plan, cells, crop, ["z", "target", "weight", "class", *canopy]).drop("tile")
+    if noise_seed is not None:
+        raw = crop_noise(raw, noise_seed, native_res)
     raw = raw.withColumn("_valid", F.col("z").isNotNull().cast("double"))
     rules = {"z": ("z", "nanmean"), **{c: (c, "mean") for c in canopy}, **LABEL_RULES}
     return _trainable(G.block_reduce(raw, None, scale, rules, "crop_id"))
@@ -219,17 +241,16 @@ def crop_arrays(crops: DataFrame, bands: list[str]) -> DataFrame:
     return d.select("crop_id", *[F.col("_p")[b].alias(b) for b in bands])
 
 
-def augment(crops: DataFrame, body: int, seed: int, noise_m: float = 0.05, band_noise_m: float = 0.05,
-            canopy_dropout: float = 0.15, jitter_m: float = 2.0, res: float = K.BODY_RES,
+def augment(crops: DataFrame, body: int, seed: int, canopy_dropout: float = 0.15, jitter_m: float = 2.0, res: float = K.BODY_RES,
             canopy: tuple[str, ...] = ()) -> DataFrame:
     """Random view of each crop, every choice a hash of the seed and the crop.
 
-    A dihedral transform, white and band-limited noise of random strength,
-    canopy withheld now and then, and one rigid shift of the labels. Cells the
-    shift exposes have no known label, so their weight is 0.
+    A dihedral transform, canopy withheld now and then, and one rigid shift of
+    the labels. Cells the shift exposes have no known label, so their weight is
+    0. Noise belongs on the native elevation: see :func:`crop_noise`.
     """
     i = F.col("crop_id")
-    u = {k: uniform(seed, i, F.lit(k)) for k in ("turn", "flip", "white", "band", "drop", "dr", "dc")}
+    u = {k: uniform(seed, i, F.lit(k)) for k in ("turn", "flip", "drop", "dr", "dc")}
     d = crops.withColumns({"_k": below(u["turn"], 4), "_f": u["flip"] < 0.5})
     n = body - 1
     c1 = F.when(F.col("_f"), F.lit(n) - F.col("col")).otherwise(F.col("col"))
@@ -241,15 +262,6 @@ def augment(crops: DataFrame, body: int, seed: int, noise_m: float = 0.05, band_
                 .when(F.col("_k") == 3, F.lit(n) - F.col("_r1")).otherwise(F.col("_c1")))
     d = d.withColumns({"row": turned_r.cast("bigint"), "col": turned_c.cast("bigint")}).drop("_r1", "_c1", "_k", "_f")
 
-    d = d.withColumn("z", F.col("z") + normal(seed, i, "row", "col") * (u["white"] * noise_m))
-    if band_noise_m:
-        k = 6.0 / res
-        fr, fc = F.col("row") / k, F.col("col") / k
-        r0, c0 = F.floor(fr), F.floor(fc)
-        a, b = fr - r0, fc - c0
-        node = lambda p, q: normal(seed + 1, i, r0 + p, c0 + q)
-        field = node(0, 0) * (1 - a) * (1 - b) + node(0, 1) * (1 - a) * b + node(1, 0) * a * (1 - b) + node(1, 1) * a * b
-        d = d.withColumn("z", F.col("z") + field * (u["band"] * band_noise_m))
     if canopy:
         keep = u["drop"] >= canopy_dropout
         d = d.withColumns({c: F.when(keep, F.col(c)).otherwise(F.lit(0.0)) for c in canopy})

@@ -96,3 +96,10 @@ def test_crops_without_centres_are_uniform(spark):
     none = spark.createDataFrame([], "tile bigint, row bigint, col bigint, class bigint")
     got = S.draw_crops(none, bands, 100, 16).collect()
     assert sorted(r["crop_id"] for r in got) == list(range(100)) and all(0 <= r["row0"] <= 48 and 0 <= r["col0"] <= 48 for r in got)
+
+
+def test_crop_noise_has_its_drawn_strength_on_the_native_grid(spark):
+    d = spark.range(6 * 1600).select(F.floor(F.col("id") / 1600).alias("crop_id"), (F.floor(F.col("id") / 40) % 40).alias("row"), (F.col("id") % 40).alias("col"), F.lit(0.0).alias("z"))
+    got = S.crop_noise(d, 4, 0.5, noise_m=0.0, band_noise_m=0.05).groupBy("crop_id").agg(F.stddev_pop("z").alias("sd"))
+    got = got.withColumn("want", S.uniform(4, F.col("crop_id"), F.lit("band")) * 0.05).collect()
+    assert len(got) == 6 and all(r["sd"] == pytest.approx(r["want"], rel=1e-9) for r in got)
