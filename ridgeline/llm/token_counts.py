@@ -31,7 +31,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import documents, only, shared_folder
+from ridgeline.llm.common import documents, only, shared_folder, stored
 from ridgeline.llm.registry import query
 
 CACHE_SCHEMA = "version string, digest binary, n_bytes bigint, n_tokens bigint"
@@ -128,7 +128,9 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, cache: str) -> DataFrame:
     texts = rows.join(missing.hint("shuffle_hash"), ["pick", "digest"], "left_semi")
     fresh = encode_texts(texts, version, tokenizer).select(F.lit(version).alias("version"), "digest", "n_bytes", "n_tokens")
     fresh.dropDuplicates(["digest"]).write.mode("append").parquet(cache)
-    return rows.select("doc_id", "digest").join(read_cache(spark, cache, version), "digest", "left").select(
+    # Written out, the counts join as they are read, so that a digest with many rows can be split.
+    counts = stored(read_cache(spark, cache, version), shared_folder(spark), "counts")
+    return rows.select("doc_id", "digest").join(counts, "digest", "left").select(
         "doc_id", "digest", "n_bytes", "n_tokens")
 
 
