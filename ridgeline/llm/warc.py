@@ -88,7 +88,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     found = near.join(carried, ["url_key", "span"], "left").withColumn("source_id", F.coalesce("near.record_id", "carried.record_id"))
 
     source = full.select(F.col("record_id").alias("source_id"), *[F.col(c).alias(f"source_{c}") for c in facts])
-    d = found.join(source, "source_id", "left")
+    facts_of = [c for c in source.columns if c != "source_id"]
+    none = found.where("source_id is null").withColumns({c: F.lit(None).cast(source.schema[c].dataType) for c in facts_of})
+    d = found.where("source_id is not null").join(source, "source_id").select(*none.columns).unionByName(none)
     agrees = F.lit(None).cast("boolean")
     for c in ("last_modified", "etag", "payload_digest"):
         mine, theirs = F.col(c), F.col(f"source_{c}")
@@ -105,8 +107,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         "record_id", "url_key", "captured_at", F.lit(None).cast(dict(d.dtypes)["source_id"]).alias("source_id"),
         F.when(F.col("url_key").isNull(), "no url").otherwise("no time").alias("reason"), F.lit(None).cast("map<string,string>").alias("headers"))
     bodies = records.where("kind = 'response'").select(F.col("record_id").alias("source_id"), "body").dropDuplicates(["source_id"])
-    return d.unionByName(lost).join(bodies, "source_id", "left").select(
-        "record_id", "url_key", "captured_at", "source_id", "reason", "headers", "body")
+    # Rows without a source stay out of the joins, where they would all meet in one task.
+    columns = ("record_id", "url_key", "captured_at", "source_id", "reason", "headers", "body")
+    bare = d.where("source_id is null").unionByName(lost).withColumn("body", F.lit(None).cast(records.schema["body"].dataType))
+    return d.where("source_id is not null").join(bodies, "source_id").select(*columns).unionByName(bare.select(*columns))
 
 
 def archive(pages: DataFrame) -> DataFrame:
