@@ -49,60 +49,65 @@ def sized_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """(item, words, first, length): every window of every item, ``first`` from 0."""
+def benchmark_items(items: DataFrame) -> DataFrame:
+    """(item, words) of the items that have words, each once."""
     d = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("words"))
-    d = d.where(F.size("words") > 0).distinct().withColumn("length", F.least(F.lit(window), F.size("words")))
-    return d.select("item", "words", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("length"))).alias("first"), "length")
+    return d.where(F.size("words") > 0).distinct()
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, key, pos) of the given terms in (key, text)."""
-    return docs.select("key", F.posexplode(words_of(F.col("text"))).alias("pos", "term")).join(sized_broadcast(terms), "term").select("term", "key", "pos")
+    """(t, key, pos) of the given (term, t) in (key, text)."""
+    d = docs.select("key", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
+    return d.join(sized_broadcast(terms), "term").select("t", "key", "pos")
 
 
-def rarest_terms(windows: DataFrame, counts: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """(item, words, length, terms): the searches that windows come down to.
+def rarest_terms(items: DataFrame, counts: DataFrame, window: int, rarest: int = RAREST) -> DataFrame:
+    """(row, terms): the searches that the windows of the items come down to.
 
     ``terms`` holds a window's rarest terms with their place in the item, the
     rarest first. A window with a term that the corpus lacks is dropped.
     """
-    each = windows.withColumn("i", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("length") - 1)))
+    length = F.least(F.lit(window), F.size("words"))
+    each = items.select("row", "words", length.alias("length"), F.explode(F.sequence(F.lit(0), F.size("words") - length)).alias("first"))
+    each = each.withColumn("i", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("length") - 1)))
     each = each.withColumn("term", F.element_at("words", F.col("i") + 1)).join(counts, "term", "left")
-    ordered = F.array_sort(F.collect_list(F.struct("n", "term", "i")))
-    d = each.groupBy("item", "words", "first", "length").agg(ordered.alias("terms"), F.count_if(F.col("n").isNull()).alias("lacking"))
-    return d.where("lacking = 0").select("item", "words", "length", F.slice("terms", 1, rarest).alias("terms")).distinct()
+    ordered = F.array_sort(F.collect_list(F.struct("n", "term", "t", "i")))
+    d = each.groupBy("row", "first").agg(ordered.alias("terms"), F.count_if(F.col("n").isNull()).alias("lacking"))
+    few = F.transform(F.slice("terms", 1, rarest), lambda x: F.struct(x["t"].alias("t"), x["i"].alias("i")))
+    return d.where("lacking = 0").select("row", few.alias("terms")).distinct()
 
 
-def intersect(found: DataFrame, index: DataFrame, nth: int, slop: int) -> DataFrame:
+def intersect(found: DataFrame, index: DataFrame, searches: DataFrame, nth: int, slop: int) -> DataFrame:
     """Keep the shifts at which the ``nth`` term has a posting, at most ``slop`` off its place.
 
     Positions meet by stretches of ``2 * slop + 1``, of which a range touches two at most.
     """
     width = 2 * slop + 1
-    term, place = F.col("terms")[nth]["term"], F.col("shift") + F.col("terms")[nth]["i"]
-    done = found.where(F.size("terms") <= nth)
-    asked = found.where(F.size("terms") > nth).withColumns({"term": term, "place": place})
+    further = searches.select("search", F.get("terms", F.lit(nth)).alias("x")).select("search", "x.t", "x.i")
+    asked = found.join(sized_broadcast(further), "search")
+    done = asked.where("t is null").select("key", "search", "shift")
+    asked = asked.where("t is not null").withColumn("place", F.col("shift") + F.col("i"))
     asked = asked.withColumn("stretch", F.explode(F.array_distinct(F.array(
         F.floor((F.col("place") - slop) / width), F.floor((F.col("place") + slop) / width)))))
     lists = index.withColumn("stretch", F.floor(F.col("pos") / width))
-    kept = asked.join(lists, ["key", "term", "stretch"]).where(F.abs(F.col("pos") - F.col("place")) <= slop)
-    return done.unionByName(kept.select(*found.columns)).distinct()
-
-
-def candidate_shifts(docs: DataFrame, windows: DataFrame, at: str, slop: int) -> DataFrame:
-    """(key, item, words, length, shift) where the rarest terms agree."""
-    vocabulary = windows.select(F.explode("words").alias("term")).distinct()
-    counts = stored(postings(docs, vocabulary).groupBy("term").agg(F.count("*").alias("n")), at, "counts")
-    searches = stored(rarest_terms(windows, counts), at, "searches")
-    needed = searches.select(F.explode("terms.term").alias("term")).distinct()
+    kept = asked.join(lists, ["key", "t", "stretch"]).where(F.abs(F.col("pos") - F.col("place")) <= slop)
+    return done.unionByName(kept.select("key", "search", "shift")).distinct()
+
+
+def candidate_shifts(docs: DataFrame, items: DataFrame, at: str, window: int, slop: int) -> DataFrame:
+    """(key, row, shift) where the rarest terms of some window of the item agree."""
+    number = F.monotonically_increasing_id()
+    vocabulary = stored(items.select(F.explode("words").alias("term")).distinct().withColumn("t", number), at, "vocabulary")
+    counts = postings(docs, vocabulary).groupBy("t").agg(F.count("*").alias("n"))
+    counts = stored(counts.join(vocabulary, "t"), at, "counts")
+    searches = stored(rarest_terms(items, counts, window).withColumn("search", number), at, "searches")
+    needed = vocabulary.join(searches.select(F.explode("terms.t").alias("t")).distinct(), "t", "left_semi")
     index = stored(postings(docs, needed), at, "index")
-    starts = searches.withColumns({"term": F.col("terms")[0]["term"], "place": F.col("terms")[0]["i"]})
-    found = index.join(sized_broadcast(starts), "term").select(
-        "key", "item", "words", "length", "terms", (F.col("pos") - F.col("place")).alias("shift"))
+    starts = searches.select("search", F.col("terms")[0]["t"].alias("t"), F.col("terms")[0]["i"].alias("i"))
+    found = index.join(sized_broadcast(starts), "t").select("key", "search", (F.col("pos") - F.col("i")).alias("shift"))
     for nth in range(1, RAREST):
-        found = intersect(found, index, nth, slop)
-    return found.select("key", "item", "words", "length", "shift").distinct()
+        found = intersect(found, index, searches, nth, slop)
+    return found.join(sized_broadcast(searches.select("search", "row")), "search").select("key", "row", "shift").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
@@ -115,8 +120,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
     """
     at = shared_folder(docs.sparkSession)
     keyed = docs.select("*", F.xxhash64("doc_id", "text").alias("_key"))
-    windows = item_windows(items, window)
-    shifts = candidate_shifts(keyed.select(F.col("_key").alias("key"), "text"), windows, at, slop)
+    rows = stored(benchmark_items(items).withColumn("row", F.monotonically_increasing_id()), at, "items")
+    shifts = candidate_shifts(keyed.select(F.col("_key").alias("key"), "text"), rows, at, window, slop)
+    shifts = shifts.join(sized_broadcast(rows.withColumn("length", F.least(F.lit(window), F.size("words")))), "row")
     shifts = shifts.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("item", "words", "length", "shift")).alias("_shifts"))
     shifts = stored(shifts, at, "shifts")
     d = keyed.join(shifts.hint("shuffle_hash"), "_key", "left").withColumn("_words", words_of(F.col("text")))
