@@ -30,6 +30,9 @@ def dem_agreement(ours: DataFrame, published: DataFrame, meta: DataFrame, k: int
     """
     body = G.block_reduce(ours, meta, k, {"z": ("z", "nanmean")})
     size = meta.select("tile", F.floor(F.col("height") / k).alias("height"), F.floor(F.col("width") / k).alias("width"))
+    # Margins and shares are those of the ground that both rasters cover.
+    theirs = published.groupBy("tile").agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w"))
+    size = size.join(theirs, "tile").select("tile", F.least("height", "_h").alias("height"), F.least("width", "_w").alias("width"))
     both = published.select("tile", "row", "col", F.col("z").alias("zp")).join(body, ["tile", "row", "col"])
     s = slope_clip(both, size, res, "z", "_so", keep=("zp",))
     s = slope_clip(s, size, res, "zp", "_sp", keep=("z", "_so"))

@@ -74,19 +74,24 @@ def profile_stats(profiles: DataFrame, keys: Sequence[str], transect: Sequence[s
     """Incision, noise and their ratio per group of transects.
 
     Incision compares the mean profile's crest with its centre; noise is the
-    population deviation of the same difference taken transect by transect.
+    population deviation of the same difference taken transect by transect. A
+    transect becomes one row with a column for each offset, from which both
+    follow in one further aggregation, so profiles are only computed once.
     """
-    keys = list(keys)
-    centre, span = offset_count(half, res) // 2, int(berm / res)
-    lo, hi = max(centre - span, 0), centre + span
-    inside = F.col("off").between(lo, hi)
-    mean = profiles.groupBy(*keys, "off").agg(F.avg("v").alias("v"))
-    shape = mean.groupBy(*keys).agg(
-        ((F.max(F.when(inside, F.col("v"))) - F.max(F.when(F.col("off") == centre, F.col("v")))) * 1000).alias("incision_mm"))
-    each = profiles.groupBy(*keys, *transect).agg(
-        (F.max(F.when(F.col("off") == centre, F.col("v"))) - F.max(F.when(inside, F.col("v")))).alias("_d"))
-    noise = each.groupBy(*keys).agg(F.count("*").alias("n_transects"), (F.stddev_pop("_d") * 1000).alias("noise_mm"))
-    d = noise.join(shape, keys)
+    keys, n = list(keys), offset_count(half, res)
+    centre, span = n // 2, int(berm / res)
+    inside = range(max(centre - span, 0), min(centre + span, n - 1) + 1)
+    wanted = sorted({centre, *inside})
+    each = profiles.groupBy(*keys, *transect).agg(*[F.max(F.when(F.col("off") == o, F.col("v"))).alias(f"_v{o}") for o in wanted])
+
+    def crest(prefix: str) -> Column:
+        own = [F.col(f"{prefix}{o}") for o in inside]
+        return F.greatest(*own) if len(own) > 1 else own[0]
+
+    each = each.withColumn("_d", F.col(f"_v{centre}") - crest("_v"))
+    d = each.groupBy(*keys).agg(F.count("*").alias("n_transects"), (F.stddev_pop("_d") * 1000).alias("noise_mm"),
+                                *[F.avg(f"_v{o}").alias(f"_m{o}") for o in wanted])
+    d = d.withColumn("incision_mm", (crest("_m") - F.col(f"_m{centre}")) * 1000)
     few = F.col("n_transects") < min_transects
     snr = F.when(F.col("noise_mm") > 0, F.col("incision_mm") / F.col("noise_mm") * F.sqrt("n_transects")).otherwise(F.lit(0.0))
     return d.select(
@@ -111,11 +116,17 @@ def sample_profiles(segments: DataFrame, relief: DataFrame, meta: DataFrame, hal
 def signal_by_class(segments: DataFrame, dtm: DataFrame, meta: DataFrame, res: float, half: float = K.HALF_WIDTH_M,
                     step: float = K.STEP_M, berm: float = K.BERM_M, min_part: float = K.MIN_PART_M,
                     relief_px: int | None = None, min_transects: int = K.MIN_TRANSECTS,
-                    margin: float = 2.0, ahead: float = 1.0) -> DataFrame:
-    """Signal per tile and class on elevation minus its 10 m median."""
+                    margin: float = 2.0, ahead: float = 1.0, min_valid: int = 100) -> DataFrame:
+    """Signal per tile and class on elevation minus its 10 m median.
+
+    A tile with fewer than ``min_valid`` real cells is not analysed: it is one
+    row without a class that says so.
+    """
     k = relief_px or K.window_px(10.0, res, 5)
-    filled = G.fill_median(dtm)
+    empty = dtm.groupBy("tile").agg(F.count("z").alias("_n")).where(F.col("_n") < min_valid).select("tile")
+    filled = G.fill_median(dtm.join(empty, "tile", "left_anti"))
     med = G.median_filter(filled, meta, k, "reflect", "z", "_m", keep=("z",))
     relief = med.select("tile", "row", "col", (F.col("z") - F.col("_m")).alias("relief"))
     p = sample_profiles(segments.where(F.col("kind") == "trail"), relief, meta, half, res, step, min_part, margin, ahead)
-    return profile_stats(p, ["tile", "vclass"], ["id", "part", "station"], half, res, berm, min_transects)
+    d = profile_stats(p, ["tile", "vclass"], ["id", "part", "station"], half, res, berm, min_transects)
+    return d.unionByName(empty.withColumn("note", F.lit("no valid DTM")), allowMissingColumns=True)
