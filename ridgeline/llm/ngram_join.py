@@ -416,7 +416,24 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, block_sets: int
         F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("n_links"))
 
 
-@query("op1_ngram_jaccard_join")
+OP1_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
+  from documents),
+s as (select distinct doc_id, array_to_string(words[i:i + 3], ' ') as g
+  from (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) as i from w where len(words) > 0)),
+sets as (select doc_id, count(*) as n, md5(string_agg(g, chr(10) order by g)) as k from s group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+linked as (select x, y, p.k as kx, q.k as ky from shared join sets p on p.doc_id = x join sets q on q.doc_id = y where 100 * i >= 85 * (p.n + q.n - i)),
+twoway as (select x, y, kx, ky from linked union all select y, x, ky, kx from linked),
+reach as (select x, y from twoway union select r.x, b.y from reach r join twoway b on b.x = r.y),
+least_ as (select x, min(y) as m from reach group by x),
+degree as (select x, count(distinct ky) filter (ky <> kx) as n_links from twoway group by x)
+select w.doc_id, coalesce(n, 0) as n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) as component_id, coalesce(n_links, 0) as n_links
+from w left join sets using (doc_id) left join least_ on least_.x = w.doc_id left join degree on degree.x = w.doc_id"""
+
+
+@query("op1_ngram_jaccard_join", OP1_SQL)
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the component of its links: four words, 85 per cent."""
     d = jaccard_join(only(documents(spark, sf_dir), id="doc_id", text="text"), 4, 85)

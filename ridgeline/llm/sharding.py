@@ -92,8 +92,29 @@ def assign_shards(rows: DataFrame, key: str, text: str, shards: int) -> DataFram
 
 SHARDS = 40
 
-
-@query("op4_sharding")
+# The checksum is the reflected CRC-32 with its usual polynomial, 3988292384.
+OP4_SQL = f"""
+with recursive crc_table as (
+  select list(c order by n) as t from (
+    select n, list_reduce(list_concat([n], range(8)), lambda c, i: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as c from range(256) r(n))),
+raw as (select doc_id, row_number() over () as rid, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as h from documents),
+sums as (
+  select rid, doc_id, cast(length(h) // 2 + {ROW_BYTES} as bigint) as size, xor(4294967295, list_reduce(
+    list_concat([4294967295::bigint], list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) as text_crc32
+  from raw, crc_table),
+walk(rid, k, b, j, grown) as (
+  select rid, case when coalesce(doc_id, -1) < 0 then coalesce(doc_id, -1)::hugeint + {WORD} else doc_id::hugeint end, 0::bigint, 0::bigint, 0::bigint from raw
+  union all
+  select rid, nk, case when j < {SHARDS} then j else b end, cast(floor((j + 1.0::double) * ({RANGE}.0::double / (cast(nk // {TOP_BITS} as double) + 1.0::double))) as bigint), j
+  from (select *, (k * {MULTIPLIER} + 1) % {WORD} as nk from walk where j <= {SHARDS})),
+placed as (select rid, max(b) as shard, max(grown) as grown_shard from walk group by rid)
+select doc_id, size, text_crc32, 'key' as law, cast(shard as int) as shard,
+  row_number() over (partition by shard order by coalesce(doc_id, -1), text_crc32, size) - 1 as slot, cast(grown_shard as int) as grown_shard
+from sums join placed using (rid)"""
+
+
+@query("op4_sharding", OP4_SQL)
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of forty shards, by its id and the shard count alone."""
     d = assign_shards(only(documents(spark, sf_dir), doc_id="doc_id", text="text"), "doc_id", "text", SHARDS)

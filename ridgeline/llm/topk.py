@@ -202,8 +202,19 @@ def quantised_vectors(table: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 TOP, QUERY_STEP = 5, 50
 
-
-@query("op8_bit_sliced_top_k")
+OP8_SQL = f"""
+with fine as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256.0::double * x::double) as bigint)) as v from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or abs(x) >= {LARGEST // 256})) = 0)
+select query_id, rank, vec_id, score from (
+  select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from (
+    select q.vec_id as query_id, c.vec_id, cast(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))), 0) as bigint) as score
+    from fine q join fine c on q.vec_id % {QUERY_STEP} = 0 and q.vec_id <> c.vec_id))
+where rank <= {TOP}"""
+
+
+@query("op8_bit_sliced_top_k", OP8_SQL)
 def op8_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best rows for every fiftieth vector, against all others."""
     rows = quantised_vectors(documents(spark, sf_dir, "embeddings"), "vec_id", "embedding")
