@@ -124,7 +124,10 @@ def draw_slots(targets: DataFrame, block: int = BLOCK_TOKENS, slots: int = SHARD
         drawn.select("src", "shard", F.floor(F.col("shard") / SHARD_SPAN).alias("span"), F.lit(1).cast("bigint").alias("n")))
     counts = counts.groupBy("src", "span", "shard").agg(F.sum("n").alias("n"))
     counts = running_totals(counts, ["src"], "span", ["shard"], {"upto": "n"}).where("n > 0")
-    rows = counts.join(t.select("src", "blocks"), "src").select(
+    # A row here becomes many slots, so rows are spread by number before: their own few bytes would be left in one task.
+    spread = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = counts.join(t.select("src", "blocks"), "src").repartition(spread, "src", "shard")
+    rows = counts.select(
         "src", "shard", "blocks", F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("i"))
     rows = rows.where(F.col("i") < cap * F.col("blocks"))
     turn = F.xxhash64(F.lit(seed), F.col("src"), F.floor(F.col("i") / F.col("blocks")))
