@@ -6,6 +6,16 @@ lines, writes equivalent spellings one way, and turns every run of marks and
 white space into one space. A whole document is looked up as one text, and so
 is each of its lines, since short notices stand alone on a line.
 
+The bare form serves texts as they are published: it also drops title lines at
+the head of a paragraph, and copyright lines behind comment marks, while lines
+of running text that happen to begin with "copyright" or "(c)" stay. A whole
+document that its first digest does not know is looked up again by its bare
+form. In longer documents, a paragraph that opens a known text is followed for
+as many words as that text has, whatever the wrapping and the paragraphs.
+
+The catalogue is ``KNOWN``, the short notices, and the files of
+``license_texts``, complete texts and standard headers named by their licence.
+
 Cases: null and empty texts, and texts that are nothing but copyright lines,
 match nothing and have a null digest; very long texts are digested whole;
 repeated rows get equal answers; ids may be null or repeat; a known text given
@@ -17,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +100,25 @@ COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
 #: Runs of marks and white space, line ends excepted.
 MARKS = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAPS = r"[ \n]+"
+#: A copyright line of the bare form, which may stand behind comment marks and does not go on a sentence.
+BARE_COPYRIGHT_LINE = (
+    r"(^|\n)[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*(?:©|\(c\)(?=[^\n]*[0-9]{4})|copyright(?!\W+(?:notices?|holders?|owners?|ownership|laws?|and|"
+    r"interest|license|permission|patent|statement|treaty|resulting|or|on|also|like|those|are|if|in|is|more|of|doctrines|including|line|"
+    r"disclaimer|then|the (?:software|library|program))\b))[^\n]*")
+#: Title lines of a paragraph's head, after marks have become spaces.
+TITLES = (
+    r"(?:the )?mit license(?: mit)?", r"(?:the )?isc license(?: isc)?", r"(?:the )?(?:(?:new|modified|simplified|revised|original) )?bsd(?: [0-9] clause)?(?: license)?",
+    r"(?:the )?(?:bsd )?[23] clause(?: bsd)? license", r"bsd [23] clause (?:new or revised |simplified )?license", r"(?:bsd zero clause license|zero clause bsd|0bsd)",
+    r"(?:the )?unlicense", r"apache license(?: version 2 0)?(?: january 2004)?", r"version 2 0 january 2004", r"https? www apache org licenses",
+    r"gnu (?:lesser |library |affero )?general public license", r"gnu free documentation license", r"version [0-9][0-9. ]* ?[0-9]* [a-z]+ [0-9]{4}",
+    r"mozilla public license(?: version)?(?: [12] [01])?", r"version [0-9] [0-9]", r"creative commons legal code", r"cc0 1 0 universal",
+    r"(?:creative commons )?attribution sharealike 4 0 international(?: public license)?", r"sil open font license(?: version 1 1 26 february 2007)?",
+    r"unicode license v3", r"spdx license identifier [^\n]*", r"all rights reserved", r"licen[cs]e")
+TITLE_LINES = r"(^[ \n]*|\n *\n[ \n]*)(?:(?:" + "|".join(TITLES) + r") *(?:\n[ \n]*|(?![\s\S])))+"
+PARAGRAPH = r"\n *\n[ \n]*"
+#: Every known text of the catalogue holds one of these; nothing else is searched for paragraphs.
+CUES = r"licen[cs]e|permission|redistribution|redistribute|public domain|copyright|rights reserved"
+TEXTS_END = r"(?m)^\W*END OF TERMS AND CONDITIONS\W*$"
 
 
 def folded(text: Column) -> Column:
@@ -118,30 +148,98 @@ def digest(form: Column) -> Column:
     return F.sha2(form.cast("binary"), 256)
 
 
+def bare(text: str) -> str:
+    """The bare form, line ends kept, on the driver."""
+    c = re.sub(BARE_COPYRIGHT_LINE, r"\1", text.translate(str.maketrans(UPPER, LOWER)))
+    return re.sub(TITLE_LINES, r"\1", re.sub(MARKS, " ", c))
+
+
+def bare_form(text: Column) -> Column:
+    c = F.regexp_replace(F.translate(text, UPPER, LOWER), BARE_COPYRIGHT_LINE, "$1")
+    return F.regexp_replace(F.regexp_replace(c, MARKS, " "), TITLE_LINES, "$1")
+
+
+def paragraphs(form: str) -> list[str]:
+    return [c for p in re.split(PARAGRAPH, form) if (c := canonical(p))]
+
+
 def known_digests(known: tuple[tuple[str, str], ...] = KNOWN) -> dict[str, str]:
     """Digest to licence of the catalogue; the first name in order wins a shared text."""
     rows = sorted(((hashlib.sha256(canonical(text).encode()).hexdigest(), name) for name, text in known), reverse=True)
     return dict(rows)
 
 
-def scan_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+def published(folder: Path = Path(__file__).parent / "license_texts") -> tuple[tuple[str, str], ...]:
+    """(licence, text) of every file NAME.txt or NAME~VARIANT.txt, and of the ways in which such texts are cut and numbered.
+
+    Texts with an appendix also go without it, and short ones also without the numbers of their list.
+    """
+    out = []
+    for path in sorted(folder.glob("*.txt")):
+        name, text = path.stem.split("~")[0], path.read_text(encoding="utf-8")
+        forms = [text]
+        if end := re.search(TEXTS_END, text):
+            forms += [text[:end.end()], text[:end.start()]]
+        if name.startswith("BSD-"):
+            forms.append(re.sub(r"(?m)^(\s*)[0-9]\.", r"\1", text))
+        out += [(name, form) for form in forms]
+    return tuple(out)
+
+
+def catalogue(known: tuple[tuple[str, str], ...]) -> tuple[dict[str, str], dict[str, list[int]]]:
+    """Digest to licence of all forms of the known texts, and digest of an opening paragraph to the numbers of words that may follow from it."""
+    sha = lambda c: hashlib.sha256(c.encode()).hexdigest()
+    names: dict[str, str] = {}
+    openings: dict[str, set[int]] = {}
+    for name, text in known:
+        parts = paragraphs(bare(text))
+        if not parts:                   # a notice that is nothing but a title is looked up by lines only
+            names.setdefault(sha(canonical(text)), name)
+            continue
+        whole = " ".join(parts)
+        if not re.search(CUES, whole):
+            raise ValueError(f"no cue in a text of {name}")
+        for form in (canonical(text), canonical(bare(text)), whole):
+            names.setdefault(sha(form), name)
+        for opening in (parts[0], whole):
+            openings.setdefault(sha(opening), set()).add(whole.count(" ") + 1)
+    return names | known_digests(tuple(x for x in known if x in KNOWN)), {k: sorted(v) for k, v in openings.items()}
+
+
+def scan_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """(doc_id, text) to (doc_id, digest, license, notices, n_notice_lines).
 
     ``license`` is that of the whole text, ``notices`` the sorted distinct names
-    of the licences whose notice is one of its lines. The catalogue is a short
-    fixed list, so it goes to every task and no document is shuffled: whole
-    texts meet it in a hash join, a document's lines in one row of the same list.
+    of the licences whose notice or text is one of its lines, or runs on from
+    one of its paragraphs. ``n_notice_lines`` counts such lines, and one for
+    every text that runs over several lines. The catalogue is a fixed list, so
+    it goes to every task and no document is shuffled: whole texts, lines and
+    paragraphs meet it in one row.
     """
-    table = known_digests(known)
-    spark = docs.sparkSession
-    names = F.broadcast(spark.createDataFrame(sorted(table.items()), "digest string, license string"))
-    by_line = F.broadcast(spark.createDataFrame([(1, table)], "one int, names map<string, string>"))
-    d = docs.select("doc_id", F.lit(1).alias("one"), F.explode(F.array(folded(F.coalesce("text", F.lit(""))))).alias("form"))
-    d = d.withColumn("digest", digest(spelled(F.regexp_replace("form", GAPS, " "))))
-    d = d.join(names, "digest", "left").join(by_line, "one")
-    hits = F.filter(F.transform(F.split("form", "\n"), lambda line: F.element_at("names", F.coalesce(digest(spelled(line)), F.lit("")))),
-                    lambda name: name.isNotNull())
-    d = d.withColumn("hits", hits)
+    names, openings = catalogue(KNOWN + published() if known is None else known)
+    one = F.broadcast(docs.sparkSession.createDataFrame([(1, names, openings)], "one int, names map<string, string>, openings map<string, array<int>>"))
+    name_of = lambda d: F.when(d.isin(list(names)), F.element_at("names", d))
+    text = F.coalesce("text", F.lit(""))
+    d = docs.select("doc_id", F.lit(1).alias("one"), F.explode(F.array(F.struct(folded(text).alias("form"), text.alias("text")))).alias("t"))
+    d = d.select("doc_id", "one", "t.form", F.when(F.col("t.form").rlike(CUES) | F.col("t.text").rlike("(?i)copyright"), bare_form(F.col("t.text"))).alias("bare"))
+    d = d.withColumn("digest", digest(spelled(F.regexp_replace("form", GAPS, " ")))).join(one, "one")
+    d = d.withColumn("license", F.coalesce(name_of(F.col("digest")), name_of(digest(spelled(F.regexp_replace("bare", GAPS, " "))))))
+    lines = F.filter(F.transform(F.split("form", "\n"), lambda line: name_of(digest(spelled(line)))), lambda name: name.isNotNull())
+    parts = F.filter(F.transform(F.split("bare", PARAGRAPH), lambda p: F.struct(
+        F.trim(p, F.lit(" \n")).contains("\n").alias("wrapped"), spelled(F.regexp_replace(p, GAPS, " ")).alias("words"))), lambda p: p["words"].isNotNull())
+    d = d.withColumn("lines", lines).withColumn("parts", parts)
+    opened = F.filter(F.transform("parts", lambda p, i: F.struct(i.alias("at"), p["wrapped"].alias("wrapped"), digest(p["words"]).alias("opening"),
+                                                                 F.size(F.split(p["words"], " ")).alias("size"))),
+                      lambda p: p["opening"].isin(list(openings)))
+
+    def runs(p: Column) -> Column:
+        """Names of the texts that run on from the paragraph; one that is a single line is found among the lines."""
+        lengths = F.filter(F.element_at("openings", p["opening"]), lambda n: p["wrapped"] | (n != p["size"]))
+        rest = lambda n: F.concat_ws(" ", F.slice(F.col("parts")["words"], p["at"] + 1, n))
+        return F.transform(lengths, lambda n: name_of(digest(F.call_function("substring_index", rest(n), F.lit(" "), n))))
+
+    over = F.filter(F.flatten(F.transform(opened, runs)), lambda name: name.isNotNull())
+    d = d.withColumn("hits", F.concat("lines", F.coalesce(over, F.array().cast("array<string>"))))
     return d.select("doc_id", "digest", "license", F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias("notices"),
                     F.size("hits").cast("bigint").alias("n_notice_lines"))
 

@@ -2,8 +2,10 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -289,6 +291,29 @@ def test_licenses(spark, docs, empty):
     assert LI.scan_licenses(pick(empty, doc_id="doc_id", text="text")).count() == 0
 
 
+def test_licenses_as_published(spark):
+    mit = next(t for n, t in LI.published() if n == "MIT")
+    full = {n: t for n, t in reversed(LI.published())}
+    wrap = lambda t, mark="": "\n".join(mark + x for p in t.split("\n") for x in textwrap.wrap(p, 61) or [""])
+    texts = {
+        "MIT": "MIT License\n\nCopyright (c) 2024 Somebody\n\n" + wrap(mit.split("holders>\n\n")[1]),
+        "BSD-3-Clause": "// Copyright 2015 The X Authors. All rights reserved.\n\n" + wrap(full["BSD-3-Clause"].split("<owner>")[1], "// ").replace("1.", "*").replace("2.", "*").replace("3.", "*"),
+        "ISC": "The ISC License\n\nCopyright X\n" + wrap(full["ISC"].split("ISC License")[1]),
+        **{n: full[n] for n in ("Apache-2.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "CC0-1.0", "Unlicense", "CC-BY-SA-4.0")}}
+    texts |= {n + "/cut": full[n].split("END OF TERMS AND CONDITIONS")[0] for n in ("Apache-2.0", "GPL-3.0-only")}
+    code = lambda n: (Path(LI.__file__).parent / "license_texts" / f"{n}~header.txt").read_text()
+    longer = {
+        "Apache-2.0": "#!/bin/sh\n#\n# Copyright 2020 X\n#\n" + "\n".join("# " + x for x in code("Apache-2.0").splitlines()) + "\n\nset -e\n",
+        "GPL-3.0-or-later": "/* a.c\n *\n" + wrap(code("GPL-3.0-or-later"), " * ") + "\n */\nint main;\n",
+        "MPL-2.0": "words before\n\n" + wrap(next(t for n, t in LI.KNOWN if n == "MPL-2.0" and len(t) > 99)) + "\n\nwords after",
+        "MIT": "A project.\n\n" + texts["MIT"] + "\n\nmore words"}
+    rows = [(f"{n}|", t) for n, t in texts.items()] + [(f"{n}|longer", t) for n, t in longer.items()] + [("none", wrap(mit)[:-20] + " other words")]
+    got = {r.doc_id: r for r in LI.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {n: got[f"{n}|"].license for n in texts} == {n: n.split("/")[0] for n in texts}
+    assert {n: (got[f"{n}|longer"].license, got[f"{n}|longer"].notices, got[f"{n}|longer"].n_notice_lines) for n in longer} == {n: (None, n, 1) for n in longer}
+    assert got["none"].license is None and got["none"].notices == ""
+
+
 RECORD = "record_id bigint, url string, captured_at bigint, kind string, etag string, last_modified string, payload_digest string, headers map<string,string>, body string, latest int"
 
 
