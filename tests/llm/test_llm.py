@@ -1,10 +1,12 @@
 """Every operator against brute force, over rows that are awkward in every way."""
 
 import hashlib
+import math
 import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
@@ -364,3 +366,25 @@ def test_top_k_awkward_vectors(spark):
     got = [tuple(r) for r in K.top_k(d, F.col("id") % 50 == 0, 5).collect()]
     assert sorted(got) == [(0, 1, 5, 32256), (0, 2, 5, 32256), (0, 3, 7, 0)]
     assert K.top_k(d.limit(0), F.col("id") % 50 == 0, 5).count() == 0 and K.top_k(d.where("id > 0"), F.col("id") % 50 == 0, 5).count() == 0
+
+
+def test_top_k_wide_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-9, 9, 5)]) for i in range(120)]
+    rows += [(200, [6e5, -1.0, 2.0]), (201, [-6e5, 0.5]), (250, [0.0, 1e12, -3e12, 0.25]), (202, [1e7, 1e11, 1e11, 1.0]), (203, [-1e300, 0.0, 0.0]), (204, [0.0, 0.0, 0.0, 0.0, -1e30])]
+    vectors = [(i, [math.floor(Fraction(x) * 256) for x in v]) for i, v in rows]
+    d = K.finite_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "vec_id", "embedding").where("id not in (203, 204)")
+    for block in (1000, 17):
+        got = [(r.query_id, r["rank"], r.id, r.score) for r in K.top_k(d, F.col("id") == 50, 5, block, 2).collect()]
+        assert sorted(got) == sorted(x for x in brute_top([v for v in vectors if v[0] < 203 or v[0] == 250], 50, 5) if x[0] == 50)
+    every = K.finite_vectors(spark.createDataFrame([(i, [1.0, *v[1:]]) if i == 50 else (i, v) for i, v in rows if i != 204], "vec_id bigint, embedding array<double>"), "vec_id", "embedding")
+    assert 203 not in {r.id for r in K.top_k(every, F.col("id") == 50, 5).collect()}        # its score fits no long, but is not among the best
+    with pytest.raises(Exception, match="does not fit a long"):
+        K.top_k(every.where("id in (50, 203)"), F.col("id") == 50, 5).collect()
+
+
+def test_top_k_sums_beyond_64_bits(spark):
+    big = (1 << 27) - 1
+    rows = [(0, [big] * 1200), (1, [big] * 1100 + [-big] * 100), (2, [-big] * 1200), (3, [1] * 600 + [0] * 600), (4, [big] * 700 + [-big] * 500)]
+    found = K.SlicedBlock(np.array([i for i, _ in rows]), np.array([v for _, v in rows]).T).search(0, np.array(rows[0][1]), 3)
+    assert [(int(i), int(s)) for i, s in zip(*found, strict=True)] == [(1, 1000 * big * big), (4, 200 * big * big), (3, 600 * big)]
