@@ -24,7 +24,9 @@ a score among the k best that does not fit a long is an error.
 Cases: vectors that are null, or have a null or non-finite component, take no
 part; a shorter vector counts as ending in zeros; a query's own row is
 every row of its id; rows without an id take no part; repeated rows are
-separate candidates; fewer candidates than k are all returned; without queries
+separate candidates, while query rows that repeat id and vector are one query;
+different vectors under one id are queries of their own, each with its k ranks,
+and such a query's rows stand under the one id; fewer candidates than k are all returned; without queries
 or candidates there are no rows; further columns play no part.
 """
 
@@ -229,27 +231,31 @@ def top_k(rows: DataFrame, is_query: Column, k: int, block_rows: int = BLOCK_ROW
     sizes = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     blocks, asks = ceil_div(sizes["n"], block_rows), ceil_div(sizes["q"], query_rows)
     index = stored(pack(rows.repartition(blocks)).withColumn("block", F.spark_partition_id()), at, "index")
-    asked = stored(pack(rows.where(is_query).repartition(asks)).withColumn("ask", F.spark_partition_id()), at, "queries")
+    queries = rows.where(is_query).select("id", "v", *(["raw"] if "raw" in rows.columns else [])).dropDuplicates()
+    asked = stored(pack(queries.repartition(asks)).withColumn("ask", F.spark_partition_id()), at, "queries")
     # Each block of rows is copied for every so many blocks of queries, and at least often enough to employ all cores.
     copies = max(ceil_div(asks, ASKS_A_TASK), min(asks, ceil_div(2 * spark.sparkContext.defaultParallelism, blocks)))
     index = index.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     asked = asked.withColumn("copy", F.col("ask") % copies).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int, int]] = []
+        out: list[tuple[int, ...]] = []
         for b in range(left.num_rows if right.num_rows else 0):
             ids, values = unpacked(left.slice(b, 1))
             block = (WideBlock if values.dtype == object else SlicedBlock)(ids, values)
             for i in range(right.num_rows):
                 ids, values = unpacked(right.slice(i, 1))
-                for q, weights in zip(ids.tolist(), values.T, strict=True):
+                ask, wide = right["ask"][i].as_py(), right["wide"][i].as_py()
+                for at, (q, weights) in enumerate(zip(ids.tolist(), values.T, strict=True)):
                     found, scores = block.search(q, weights, k)
-                    out += [(q, i, 0, s) if -LONG <= s < LONG else (q, i, 1 if s > 0 else -1, 0) for i, s in zip(found.tolist(), map(int, scores), strict=True)]
-        columns = zip(*out, strict=True) if out else ([], [], [], [])
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "id", "beyond", "score"])
-
-    found = index.groupBy("block", "copy").cogroup(asked.groupBy("block", "copy")).applyInArrow(search, "query_id bigint, id bigint, beyond bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.desc("beyond"), F.desc("score"), "id")
+                    own = (q, ask, 2 * at + wide)   # a query's place, since ids may repeat
+                    out += [(*own, i, 0, s) if -LONG <= s < LONG else (*own, i, 1 if s > 0 else -1, 0) for i, s in zip(found.tolist(), map(int, scores), strict=True)]
+        columns = zip(*out, strict=True) if out else [[]] * 6
+        return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "ask", "place", "id", "beyond", "score"])
+
+    schema = "query_id bigint, ask bigint, place bigint, id bigint, beyond bigint, score bigint"
+    found = index.groupBy("block", "copy").cogroup(asked.groupBy("block", "copy")).applyInArrow(search, schema)
+    best = Window.partitionBy("query_id", "ask", "place").orderBy(F.desc("beyond"), F.desc("score"), "id")
     score = F.when(F.col("beyond") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score among the best does not fit a long")).cast("bigint"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", score.alias("score"))
 

@@ -388,3 +388,17 @@ def test_top_k_sums_beyond_64_bits(spark):
     rows = [(0, [big] * 1200), (1, [big] * 1100 + [-big] * 100), (2, [-big] * 1200), (3, [1] * 600 + [0] * 600), (4, [big] * 700 + [-big] * 500)]
     found = K.SlicedBlock(np.array([i for i, _ in rows]), np.array([v for _, v in rows]).T).search(0, np.array(rows[0][1]), 3)
     assert [(int(i), int(s)) for i, s in zip(*found, strict=True)] == [(1, 1000 * big * big), (4, 200 * big * big), (3, 600 * big)]
+
+
+def test_top_k_repeated_queries(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [int(x) for x in rng.integers(-9, 9, 4)]) for i in range(90)]
+    again = [*rows, rows[0], rows[0], (50, [9, -9, 9, -9]), (50, [1 << 40, 0, 0, 1])]
+    d = spark.createDataFrame(again, "id bigint, v array<bigint>")
+    got = [(r.query_id, r["rank"], r.id, r.score) for r in K.top_k(d, F.col("id") % 50 == 0, 5, 40, 2).collect()]
+    queries = [q for n, q in enumerate(again) if q[0] % 50 == 0 and q not in again[:n]]
+    expected = []
+    for q, v in queries:
+        score = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in again if i != q)
+        expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(score[:5])]
+    assert len(queries) == 4 and sorted(got) == sorted(expected)
