@@ -1,7 +1,9 @@
 """Mixing sources to target weights, in column expressions alone.
 
 Each source's documents are laid end to end as one stream of tokens, cut into
-blocks of fixed length. Output shards hold equally many slots; a shard's slots
+blocks of fixed length, of which the last may be shorter. A source gets as many
+slots as its target has of its own mean block. Output shards hold equally many
+slots; a shard's slots
 are drawn over the sources multinomially in residual form: every source gets
 the whole part of its expectation, and what is left is drawn by the fractions,
 which keeps a source near its target. The i-th slot of a source takes block
@@ -93,8 +95,11 @@ def draw_slots(targets: DataFrame, block: int = BLOCK_TOKENS, slots: int = SHARD
 
     A source never gives a block more than ``cap`` times.
     """
-    t = targets.where("source_size > 0").withColumns({
-        "blocks": F.ceil(F.col("source_size") / block), "all_slots": F.round(F.col("total") / block).cast("bigint")})
+    t = targets.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block))
+    t = t.withColumn("own_slots", F.col("target") / (F.col("source_size") / F.col("blocks")))
+    # In order, so that the sum of doubles does not hang on the plan.
+    every = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    t = t.withColumn("wanted", F.sum("own_slots").over(every)).withColumn("all_slots", F.round("wanted").cast("bigint"))
     t = t.withColumn("shards", F.greatest(F.ceil(F.col("all_slots") / slots), F.lit(1)))
     # Each source meets each shard by unrolling its own shard numbers, span by span.
     span = t.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("shards") - 1) / SHARD_SPAN))).alias("span"))
@@ -102,7 +107,7 @@ def draw_slots(targets: DataFrame, block: int = BLOCK_TOKENS, slots: int = SHARD
     first = F.col("span") * SHARD_SPAN
     each = span.select("*", F.explode(F.sequence(first, F.least(first + SHARD_SPAN, F.col("shards")) - 1)).alias("shard"))
     held = F.least(F.lit(slots).cast("bigint"), F.col("all_slots") - F.col("shard") * slots)
-    expected = held * (F.col("target") / F.col("total"))
+    expected = held * (F.col("own_slots") / F.col("wanted"))
     each = each.withColumns({"whole": F.floor(expected), "held": held})
     each = each.withColumn("part", expected - F.col("whole"))
     by_shard = Window.partitionBy("shard").orderBy("src")

@@ -119,6 +119,18 @@ def test_mixing(docs, rows, empty, spark):
         assert sorted(r.p for r in d.collect()) == list(range(n))
 
 
+def test_mixing_small_sources(spark):
+    sizes = {f"s{n:03}": n for n in range(5, 201, 3)} | {"z": 6400}
+    d = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes.items())], "doc_id bigint, text string, source string")
+    got = {r.source: r for r in M.mix(d).collect()}
+    assert all(got[s].taken <= 3 * n for s, n in sizes.items())
+    for low, high in ((5, 30), (30, 64), (64, 128), (128, 201)):
+        some = [got[s] for s, n in sizes.items() if low <= n < high]
+        assert sum(r.taken for r in some) == pytest.approx(sum(r.target for r in some), rel=0.1)
+    alone = M.mix(d.where("source = 's011'")).collect()
+    assert [(r.taken, r.target) for r in alone] == [(11, 11.0)]
+
+
 def test_token_counts(docs, rows, empty, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
