@@ -1,6 +1,18 @@
 """Every query of the subpackage; importing the modules registers them."""
 
-from ridgeline.llm import decontamination, language, licenses, mixing, ngram_join, quality, sharding, token_counts, topk, warc  # noqa: F401
+from ridgeline.llm import (  # noqa: F401
+    decontamination,
+    divergence,
+    language,
+    licenses,
+    mixing,
+    ngram_join,
+    quality,
+    sharding,
+    token_counts,
+    topk,
+    warc,
+)
 from ridgeline.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

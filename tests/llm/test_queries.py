@@ -23,8 +23,8 @@ def test_matches_sql(spark, name):
     assert _norm([tuple(r) for r in df.collect()], df.columns) == _norm(cur.fetchall(), cols)
 
 
-def test_ten_operators_are_registered():
-    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))
+def test_all_operators_are_registered():
+    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14))
 
 
 def test_pipeline_stages(spark, sf):
