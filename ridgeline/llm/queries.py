@@ -12,6 +12,7 @@ from ridgeline.llm import (  # noqa: F401
     token_counts,
     topk,
     warc,
+    whitening,
 )
 from ridgeline.llm.registry import ORACLES, QUERIES
 
