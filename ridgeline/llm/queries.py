@@ -9,6 +9,7 @@ from ridgeline.llm import (  # noqa: F401
     ngram_join,
     quality,
     sharding,
+    suffix_dedup,
     token_counts,
     topk,
     warc,
