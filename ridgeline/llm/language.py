@@ -6,19 +6,19 @@ Filters of several widths slide over byte embeddings, each keeps its maximum
 over the window, and a softmax over those maxima gives the window's language.
 A text's probabilities are the mean over its windows, weighed by their bytes.
 
-Training is plain numpy on a bounded sample (``TRAIN_DOCS`` rows, at most
-``DOC_WINDOWS`` windows each). A filter over embeddings is a sum of one term
+Training is plain numpy on all windows of a bounded sample of labelled rows
+(``TRAIN_DOCS``). A filter over embeddings is a sum of one term
 per byte, so a trained network is applied through tables of byte pairs.
 
 Cases: null text, and text without a letter, is ``und`` with score 0; short
 texts are padded with spaces to one window; very long texts are windowed whole;
-repeated rows get equal answers; with no labelled row at all everything is
+repeated rows get equal answers; of languages with equal means the first in
+code point order is taken; with no labelled row at all everything is
 ``und``; an empty table gives no rows; further columns play no part.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,12 +38,15 @@ EMBEDDING = 8
 STRIDE = WINDOW - max(WIDTHS) + 1
 PAD = 0x20
 TRAIN_DOCS = 1600
-DOC_WINDOWS = 6
-EPOCHS = 4
+EPOCHS = 2
 BATCH = 64
 RATE = 0.01
 BLOCK = 2048
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Fractions, superscripts and numerals in letters' clothes are no letters."""
+    return any(map(str.isalpha, text))
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,17 +142,14 @@ class ByteNetwork:
 
 
 def train(texts: list[str], labels: list[str], seed: int = 1) -> ByteNetwork | None:
-    """Adam over shuffled windows; None without a single labelled text."""
-    pairs = [(t.lower().encode(), y) for t, y in zip(texts, labels, strict=True) if t and y is not None and LETTER.search(t)]
+    """Adam over all windows of the texts, shuffled; None without a single labelled text."""
+    pairs = [(t.lower().encode(), y) for t, y in zip(texts, labels, strict=True) if t and y is not None and has_letter(t)]
     if not pairs:
         return None
     languages = sorted({y for _, y in pairs})
     data, owner, _ = windows([t for t, _ in pairs])
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(data))
-    order = order[np.argsort(owner[order], kind="stable")]
-    first = np.searchsorted(owner[order], np.arange(len(pairs)))
-    order = order[np.arange(len(order)) - first[owner[order]] < DOC_WINDOWS]
+    order = np.arange(len(data))
     target = np.array([languages.index(y) for _, y in pairs])[owner]
     net = ByteNetwork.fresh(languages, rng)
     mean, square, step = [np.zeros_like(p) for p in net.parameters()], [np.zeros_like(p) for p in net.parameters()], 0
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             best, score = np.full(len(texts), -1), np.zeros(len(texts))
-            some = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+            some = [i for i, t in enumerate(texts) if t and has_letter(t)]
             for at in range(0, len(some), 256):
                 own = some[at:at + 256]
                 data, owner, fill = windows([texts[i].lower().encode() for i in own])

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.common import documents, only, shared_folder, stored, uniform
 from ridgeline.llm.registry import query
-from ridgeline.operators.ranks import running_totals
+from ridgeline.operators.ranks import hashed_rank, running_totals
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_TOKENS = 64
@@ -93,7 +93,10 @@ def draw_slots(targets: DataFrame, block: int = BLOCK_TOKENS, slots: int = SHARD
                seed: int = SEED) -> DataFrame:
     """The mixture: (src, shard, block), one row for each output slot.
 
-    A source never gives a block more than ``cap`` times.
+    Slots that draws gave a source beyond its own, in shards in hashed order, are
+    drawn again for the sources that got fewer, by what each still lacks. So a
+    source ends within two blocks of its target, and none gives a block more than
+    ``cap`` times.
     """
     t = targets.where("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block))
     t = t.withColumn("own_slots", F.col("target") / (F.col("source_size") / F.col("blocks")))
@@ -127,18 +130,48 @@ def draw_slots(targets: DataFrame, block: int = BLOCK_TOKENS, slots: int = SHARD
     drawn = draws.join(ranges, ["shard", "cell"]).where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
     counts = each.select("src", "shard", "span", F.col("whole").alias("n")).unionByName(
         drawn.select("src", "shard", F.floor(F.col("shard") / SHARD_SPAN).alias("span"), F.lit(1).cast("bigint").alias("n")))
-    counts = counts.groupBy("src", "span", "shard").agg(F.sum("n").alias("n"))
-    counts = running_totals(counts, ["src"], "span", ["shard"], {"upto": "n"}).where("n > 0")
+    counts = counts.groupBy("src", "span", "shard").agg(F.sum("n").alias("n")).join(t.select("src", "blocks", "own_slots", "shards"), "src")
+    counts = counts.withColumn("order", uniform(F.lit(seed), F.lit("order"), F.col("shard")))
+    counts = counts.withColumn("span", F.floor(F.col("order") * F.ceil(F.col("shards") / SHARD_SPAN)))
+    at = shared_folder(targets.sparkSession)
+    counts = stored(running_totals(counts, ["src"], "span", ["order", "shard"], {"upto": "n"}).where("n > 0"), at, "counts")
     # A row here becomes many slots, so rows are spread by number before: their own few bytes would be left in one task.
     spread = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = counts.join(t.select("src", "blocks"), "src").repartition(spread, "src", "shard")
-    rows = counts.select(
-        "src", "shard", "blocks", F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("i"))
-    rows = rows.where(F.col("i") < cap * F.col("blocks"))
+    most = F.least(F.ceil("own_slots"), cap * F.col("blocks"))
+    counts = counts.withColumn("over", F.greatest(F.lit(0).cast("bigint"), F.least("n", F.col("upto") - most)))
+    again = redrawn(counts, t, at, seed)
+    counts = counts.select("src", "shard", "blocks", (F.col("upto") - F.col("n")).alias("first"), (F.col("upto") - F.col("over")).alias("end")).where("first < end")
+    counts = counts.unionByName(again).repartition(spread, "src", "shard")
+    rows = counts.select("src", "shard", "blocks", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("i"))
     turn = F.xxhash64(F.lit(seed), F.col("src"), F.floor(F.col("i") / F.col("blocks")))
     return rows.select("src", "shard", permuted(F.col("i") % F.col("blocks"), F.col("blocks"), turn).alias("block"))
 
 
+def redrawn(counts: DataFrame, t: DataFrame, at: str, seed: int) -> DataFrame:
+    """Slots (src, shard, blocks, first, end) in place of those that ``counts`` marks ``over``.
+
+    What a source lacks, its own slots less what it kept, never takes it past its
+    cap. The shares of what is free are rounded by one systematic draw, so each
+    is taken whole, up or down, and they add up. Free slots and takers are
+    numbered alike and meet by number.
+    """
+    got = counts.groupBy("src").agg(F.sum(F.col("n") - F.col("over")).alias("kept"), F.sum("over").alias("over"))
+    s = t.select("src", "blocks", "own_slots").join(got, "src", "left").na.fill(0, ["kept", "over"])
+    s = s.withColumn("lack", F.greatest(F.col("own_slots") - F.col("kept"), F.lit(0.0)))
+    order = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    share = F.col("lack") * F.least(F.lit(1.0), F.try_divide(F.sum("over").over(every), F.sum("lack").over(every)))
+    s = s.withColumn("share", F.coalesce(share, F.lit(0.0)))
+    draw = uniform(F.lit(seed), F.lit("again"))
+    s = s.withColumn("upto", F.floor(F.sum("share").over(order) + draw)).withColumn("gain", F.col("upto") - F.coalesce(F.lag("upto").over(Window.orderBy("src")), F.lit(0).cast("bigint")))
+    s = stored(s.where("gain > 0").select("src", "blocks", "kept", "gain", "upto"), at, "redrawn")
+    free = stored(counts.where("over > 0").select("src", "shard", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("over"))).alias("k")), at, "free")
+    free = hashed_rank(free.withColumn("all", F.lit(1)), ["all"], ["shard", "src", "k"], "number").select("number", "shard")
+    takers = s.select("src", "blocks", F.explode(F.sequence(F.col("upto") - F.col("gain") + 1, F.col("upto"))).alias("number"), (F.col("kept") - F.col("upto") + F.col("gain") - 1).alias("base"))
+    first = F.col("base") + F.col("number")
+    return takers.join(free, "number").select("src", "shard", "blocks", first.alias("first"), (first + 1).alias("end"))
+
+
 def packed(rows: DataFrame) -> DataFrame:
     """Rows with ``start``: their first token's place in the stream of their source."""
     d = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "crc"), F.lit(RUNS)))

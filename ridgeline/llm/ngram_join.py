@@ -24,7 +24,8 @@ gathers in one task.
 
 Cases: null and empty texts and texts of white space have an empty set and
 link with nothing; a text with fewer words than an n-gram is one n-gram; very
-long texts are read whole; repeated rows are copies; a row without an id has a
+long texts are read whole; repeated rows are copies; an id on several texts has the
+links of all of them; a row without an id has a
 set but no links and a null component; an empty table gives no rows; further
 columns play no part.
 """
@@ -173,7 +174,7 @@ def shared_firsts(rows: DataFrame, bits: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """(id, text, digest) to (batch, id, n, ngrams): the sets that have the given digest, once a task."""
+    """(class, text, digest) to (batch, id, n, ngrams): the sets that have the given digest, once a task; ``id`` is the class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, done = TaskContext.get().partitionId() << 32, set()
@@ -192,7 +193,7 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
                     ["batch", "id", "n", "ngrams"])
                 made += 1
 
-    return docs.select("id", "text", "digest").mapInArrow(run, "batch bigint, id bigint, n bigint, ngrams binary")
+    return docs.select("class", "text", "digest").mapInArrow(run, "batch bigint, id bigint, n bigint, ngrams binary")
 
 
 def ordered_sets(sets: DataFrame, bits: int, percent: int) -> DataFrame:
@@ -214,8 +215,8 @@ def ordered_sets(sets: DataFrame, bits: int, percent: int) -> DataFrame:
         every, where = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(where, np.frombuffer(b"".join(t["counts"].to_pylist()), np.int64)).astype(np.int64)
         keep = total[where] > 1
-        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        out = [(t["batch"][i].as_py(), p[keep[owner == i]], total[where[owner == i]][keep[owner == i]]) for i, p in enumerate(parts)]
+        ends = np.cumsum([len(p) for p in parts])
+        out = [(t["batch"][i].as_py(), p[keep[e - len(p):e]], total[where[e - len(p):e]][keep[e - len(p):e]]) for i, (p, e) in enumerate(zip(parts, ends, strict=True))]
         return pa.table({"batch": pa.array([b for b, _, _ in out], pa.int64()), "keys": _blobs([k for _, k, _ in out]), "counts": _blobs([c for _, _, c in out])})
 
     def order(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -379,17 +380,29 @@ def neighbourhood_links(sets: DataFrame, at: str, percent: int, block_sets: int)
         links, "a bigint, b bigint, n bigint")
 
 
+def _ties(marks: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): every class of an id that stands on several texts, with the first of them."""
+    held = marks.where("id is not null and n_shingles > 0").select("id", "digest")
+    several = held.groupBy("id").agg(F.min("digest").alias("home"), F.max("digest").alias("far")).where("home <> far")
+    pairs = held.join(several.select("id", "home"), "id").where(F.col("digest") != F.col("home")).select("digest", "home").distinct()
+    number = classes.select("digest", "class")
+    return pairs.join(number.withColumnRenamed("class", "a"), "digest").join(
+        number.select(F.col("digest").alias("home"), F.col("class").alias("b")), "home").select("a", "b")
+
+
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, block_sets: int = BLOCK_SETS) -> DataFrame:
     """(id, text) to (id, n_shingles, component_id, n_links).
 
     ``component_id`` is the smallest id reachable by links; ``n_links`` counts
-    the other distinct sets that a document links to.
+    the other distinct sets that a document links to. Classes have numbers of
+    their own, so an id on several texts is in all their classes; the links of
+    any of its texts are links of the id, which ties those classes together.
     """
     at = shared_folder(docs.sparkSession)
     marks = stored(signatures(docs.select(F.col("id").cast("bigint").alias("id"), "text"), n, percent), at, "marks")
     classes = marks.where("id is not null and n_shingles > 0").groupBy("digest").agg(
         F.min("id").alias("rep"), F.min("sid").alias("sid"), F.min("n_shingles").alias("n"))
-    classes = stored(classes, at, "classes")
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), at, "classes")
 
     def bits(total: int | None) -> int:
         return max(8, int(total or 0) // RANGE_NGRAMS).bit_length()
@@ -399,17 +412,21 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, block_sets: int
     hits = shared_firsts(firsts, bits(size))
     least = F.ceil(F.col("n") * percent / 100)
     left = classes.join(hits, "sid").where(F.col("hits") >= F.greatest(F.lit(1), F.floor(least / SPARE)))
-    left = left.select(F.col("rep").alias("id"), "digest", "n")
+    left = left.select(F.col("rep").alias("id"), "class", "digest", "n")
     left = stored(left, at, "left")
-    texts = docs.select(F.col("id").cast("bigint").alias("id"), "text").join(left.select("id", "digest").hint("shuffle_hash"), "id")
+    texts = docs.select(F.col("id").cast("bigint").alias("id"), "text").join(left.select("id", "class", "digest").hint("shuffle_hash"), "id")
     sets = stored(sets_of(texts, n), at, "sets")
     size = left.agg(F.sum("n")).first()[0]
     ordered = stored(ordered_sets(sets, bits(size), percent), at, "ordered")
     links = stored(neighbourhood_links(ordered, at, percent, block_sets), at, "links")
-    linked = components(links.where("b is not null").select("a", "b"), at, "linked").withColumnRenamed("node", "rep")
-    degree = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
-    known = classes.join(linked, "rep", "left").join(degree, "rep", "left").select(
-        "digest", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("links"))
+    edges = links.where("b is not null").select("a", "b").unionByName(_ties(marks, classes))
+    linked = components(edges, at, "linked").withColumnRenamed("node", "class")
+    linked = classes.select("class", "rep").join(linked, "class")
+    least_id = linked.groupBy("component").agg(F.min("rep").alias("least_id"))
+    linked = linked.join(least_id, "component").select("class", "least_id")
+    degree = links.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n_links"))
+    known = classes.join(linked, "class", "left").join(degree, "class", "left").select(
+        "digest", F.coalesce("least_id", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("links"))
     lonely = F.coalesce("component", "id")
     return marks.select("id", "n_shingles", "digest").join(known, "digest", "left").select(
         "id", "n_shingles", F.when(F.col("id").isNotNull(), lonely).alias("component_id"),

@@ -9,7 +9,7 @@ which keep most of them at exactly zero; a score is a sparse dot product.
 Cases: null and empty texts have no features and get the score of the bias;
 very long texts are read whole; repeated rows get equal scores; without any
 label all scores are 0.5; an empty table gives no rows; conflicting labels of
-one id count as the lower one; further columns play no part.
+one id count as the lower one, and of several texts of one id the smallest is learned from; further columns play no part.
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ def learn(docs: DataFrame, labels: DataFrame, eligible: Column, bound: int = TRA
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & eligible).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     # at most ``bound`` ids, so they may be sent to every task
     some = training_sample(marks, F.lit(True), bound, "quality")
-    seen = docs.where(eligible).join(F.broadcast(some), "doc_id").select("doc_id", "text", "quality").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    seen = docs.where(eligible).join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return train([r["text"] for r in seen], [int(r["quality"]) for r in seen])
 
 

@@ -12,12 +12,13 @@ length; an empty table gives no rows; further columns are carried along.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import documents, only
+from ridgeline.llm.common import ceil_div, documents, only
 from ridgeline.llm.registry import query
 from ridgeline.operators.ranks import bucket_rank
 
@@ -29,8 +30,8 @@ RANGE = 1 << 31
 
 #: Bytes that a row takes beside its text.
 ROW_BYTES = 16
-#: Ids so many apart are ranked by different tasks.
-ID_SPAN = 4096
+#: Rows that one task ranks, on average, and spans of keys at most.
+SPAN_ROWS, SPANS = 65536, 1024
 STATE = "struct<shard: bigint, grown: bigint, j: bigint, k: decimal(20,0)>"
 
 
@@ -76,18 +77,46 @@ def assign_shards(rows: DataFrame, key: str, text: str, shards: int) -> DataFram
     """Rows with ``size``, ``text_crc32``, ``shard``, ``slot`` and ``grown_shard``.
 
     ``key`` is an integer column. Slots count from 0 inside a shard in the order
-    of the key; ranks are taken over short spans of keys and then shifted, so no
-    task orders a whole shard. Columns of those names are replaced.
+    of the key, the checksum and the size; ranks are taken over spans of keys,
+    measured to hold about as many rows each, and then shifted, so no task orders
+    a whole shard. Input columns of those names are replaced, all others kept.
     """
     made = ("size", "text_crc32", "shard", "slot", "grown_shard")
-    d = rows.drop(*made)
+    kept = [c for c in rows.columns if c not in made]
     at, body = F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(-1).cast("bigint")), F.col(f"`{text}`")
-    d = d.withColumns({
-        "size": text_bytes(body) + ROW_BYTES, "text_crc32": F.coalesce(F.crc32(body.cast("binary")), F.lit(0).cast("bigint")),
-        "_key": at, "_span": F.floor(at / ID_SPAN), "_jump": jump(at, shards)})
-    d = d.withColumns({"shard": F.col("_jump.shard"), "grown_shard": F.col("_jump.grown")}).drop("_jump")
-    d = bucket_rank(d, ["shard"], "_span", ["_key", "text_crc32", "size"], "_rank")
-    return d.withColumn("slot", F.col("_rank") - 1).drop("_rank", "_span", "_key")
+    span = key_span(F.col("key"), F.col("text_crc32"), *span_edges(rows.select(at.alias("key"))))
+    d = rows.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), at.alias("key"), (text_bytes(body) + ROW_BYTES).alias("size"),
+        F.coalesce(F.crc32(body.cast("binary")), F.lit(0).cast("bigint")).alias("text_crc32"), jump(at, shards).alias("jump"))
+    d = d.withColumns({"shard": F.col("jump.shard"), "grown_shard": F.col("jump.grown"), "span": span}).drop("jump")
+    d = bucket_rank(d, ["shard"], "span", ["key", "text_crc32", "size"], "rank")
+    return d.select(*[F.col("row")[c].alias(c) for c in kept], "size", "text_crc32", "shard", (F.col("rank") - 1).alias("slot"), "grown_shard")
+
+
+def span_edges(keys: DataFrame) -> tuple[list[int], set[int]]:
+    """Quantiles of the keys, at most ``SPANS`` of them, and the keys that fill spans alone."""
+    count = min(SPANS, ceil_div(keys.count(), SPAN_ROWS))
+    if count == 1:
+        return [], set()
+    edges = keys.agg(F.percentile_approx("key", [i / count for i in range(1, count)], 10 * SPANS).alias("q")).first().q or []
+    return sorted(set(edges)), {e for e in edges if edges.count(e) > 1}
+
+
+def key_span(key: Column, crc: Column, edges: list[int], heavy: set[int]) -> Column:
+    """A number that sorts as (key, crc) does: the key's span, cut by checksums where one key fills spans.
+
+    Edges are looked up in two steps of about the root of their number.
+    """
+    if not edges:
+        return F.lit(0).cast("bigint")
+    # A heavy key is a span of its own: it begins at the key and ends with it.
+    cuts = sorted(set(edges) | {h + 1 for h in heavy})
+    step = math.isqrt(len(cuts)) + 1
+    long = lambda v: F.array(*[F.lit(x).cast("bigint") for x in v])
+    coarse = F.size(F.filter(long(cuts[step - 1::step]), lambda c: c <= key)) * step
+    at = coarse + F.size(F.filter(F.slice(long(cuts), coarse + 1, step), lambda c: c <= key))
+    inner = F.when(key.isin(*heavy), F.shiftright(crc, 20)).otherwise(0) if heavy else F.lit(0)
+    return (at * 4096 + inner).cast("bigint")
 
 
 SHARDS = 40

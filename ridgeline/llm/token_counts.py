@@ -87,14 +87,19 @@ def encoder(version: str, text: str) -> Encoder:
 
 
 def encode_texts(rows: DataFrame, version: str, tokenizer: str) -> DataFrame:
-    """(digest, text) to (digest, n_bytes, n_tokens)."""
+    """(digest, text) to (digest, n_bytes, n_tokens), once for each digest of a task.
+
+    Rows of one digest come to one task, unless adaptive execution splits them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc = encoder(version, tokenizer)
+        enc, seen = encoder(version, tokenizer), set()
         for b in batches:
+            fresh = [i for i, d in enumerate(b.column(0).to_pylist()) if not (d in seen or seen.add(d))]
+            b = b.take(pa.array(fresh, pa.int64()))
             texts = b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()),
