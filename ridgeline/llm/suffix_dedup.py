@@ -302,10 +302,9 @@ def merged_buckets(transforms: DataFrame, length: int) -> DataFrame:
 
 
 def _with_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts that units are wanted of, with those units; the units are broadcast where they are few."""
+    """Texts that units are wanted of, with those units."""
     per_text = wanted.groupBy("text_key", "size").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c not in ("text_key", "size")])).alias("wanted"))
-    rows, n = wanted.count(), len(wanted.columns)
-    return texts.join(F.broadcast(per_text) if rows * n * 8 <= BROADCAST_BYTES else per_text.hint("shuffle_hash"), ["text_key", "size"])
+    return texts.join(per_text.hint("shuffle_hash"), ["text_key", "size"])
 
 
 def repeated_runs(texts: DataFrame, at: str, length: int = LENGTH) -> DataFrame:
