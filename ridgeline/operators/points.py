@@ -154,75 +154,96 @@ def _buckets(df: DataFrame, s: float, around: bool, axes: str = "xy") -> DataFra
 def height_above_ground(points: DataFrame, cell: float) -> DataFrame:
     """Adds ``hag``: z minus the z of the nearest ground point in plan.
 
-    Candidates come from the 3x3 buckets around a point. A hit no farther than
-    one bucket side is certainly the nearest; points without one look again
-    with buckets twice the size, until none is left. Ground points at one
-    position are collapsed first, so a pile of copies is one candidate. Only a
-    tile without any ground point leaves ``hag`` empty.
+    Blocks with a halo of ``cell`` answer all points that have ground within
+    it. The few that have none look again in buckets of twice the size, until
+    none is left. Ground points at one position are collapsed first, so a pile
+    of copies is one candidate. Only a tile without any ground point leaves
+    ``hag`` empty.
     """
-    cand = ground(points).groupBy("tile", "x", "y").agg(F.min("z").alias("_gz")).withColumnsRenamed(
-        {"x": "_gx", "y": "_gy"})
-    spots = points.select("tile", "x", "y").distinct()
-    todo = spots.join(cand.select("tile").distinct(), "tile", "left_semi")
-    found, s = None, cell
-    while True:
-        first = found is None
-        place = ["bx", "by"] if first else []
-        near = cand.withColumnsRenamed({"_gx": "x", "_gy": "y"})
-        # The first round spreads the candidates; later ones the few points still looking.
-        near = _buckets(near, s, first).withColumnsRenamed({"x": "_gx", "y": "_gy"})
-        j = _buckets(todo, s, not first).join(near, ["tile", "bx", "by"], "left")
+    import numpy as np
+    import pandas as pd
+
+    from ridgeline.operators import neighbours as NB
+
+    cand = ground(points).where("z is not null").groupBy("tile", "x", "y").agg(F.min("z").alias("_gz"))
+    spots = points.select("tile", "x", "y").distinct().join(cand.select("tile").distinct(), "tile", "left_semi")
+    both = NB.into_blocks(cand, cell).drop("home").unionByName(
+        NB.into_blocks(spots, cell).where("home").drop("home").withColumn("_gz", F.lit(None).cast("double")))
+    tile = points.schema["tile"]
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = pdf["_gz"].notna().to_numpy()
+        own, low = pdf[~g], pdf[g]
+        d, z, sure = NB.nearest_below(*(low[c].to_numpy() for c in ("x", "y", "_gz")), own["x"].to_numpy(), own["y"].to_numpy(), cell)
+        return pd.DataFrame({"tile": own["tile"], "x": own["x"], "y": own["y"], "_d": d, "_gz": np.where(np.isinf(d), np.nan, z), "sure": sure})
+
+    best = cut(both.groupBy("tile", "bx", "by").applyInPandas(nearest, T.StructType([tile, *_doubles("x", "y", "_d", "_gz"), T.StructField("sure", T.BooleanType())])))
+    found, todo, s = best.where("sure").select("tile", "x", "y", "_gz"), best.where("not sure").select("tile", "x", "y"), cell
+    while not todo.isEmpty():
+        s *= 2
+        near = _buckets(cand, s, False).withColumnsRenamed({"x": "_gx", "y": "_gy"})
+        j = _buckets(todo, s, True).join(near, ["tile", "bx", "by"], "left")
         dx, dy = F.col("x") - F.col("_gx"), F.col("y") - F.col("_gy")
         j = j.withColumn("_d", dx * dx + dy * dy)
-        best = j.groupBy("tile", *place, "x", "y").agg(F.min(F.when(F.col("_d").isNotNull(), F.struct("_d", "_gz"))).alias("_b"))
+        best = j.groupBy("tile", "x", "y").agg(F.min(F.when(F.col("_d").isNotNull(), F.struct("_d", "_gz"))).alias("_b"))
         best = cut(best.select("tile", "x", "y", F.col("_b._d").alias("_d"), F.col("_b._gz").alias("_gz")))
         sure = F.col("_d").isNotNull() & (F.col("_d") <= s * s)
-        got = best.where(sure)
-        found = got if first else found.unionByName(got)
+        found = found.unionByName(best.where(sure).select("tile", "x", "y", "_gz"))
         todo = best.where(~sure).select("tile", "x", "y")
-        if todo.isEmpty():
-            break
-        s *= 2
-    return points.join(found.select("tile", "x", "y", "_gz"), ["tile", "x", "y"], "left").withColumn(
-        "hag", F.col("z") - F.col("_gz")).drop("_gz")
+    return points.join(found, ["tile", "x", "y"], "left").withColumn("hag", F.col("z") - F.col("_gz")).drop("_gz")
+
+
+def _doubles(*names: str) -> list[T.StructField]:
+    return [T.StructField(n, T.DoubleType()) for n in names]
 
 
 def neighbour_distance(points: DataFrame, cell: float, k: int = 8) -> DataFrame:
     """Mean distance in space to the ``k`` nearest other points, per position.
 
     Points at one position are one row with a multiplicity ``m``, so copies
-    never multiply into pairs. Buckets are cubes, since distance is in space,
-    and widen as in :func:`height_above_ground`. A tile of ``k`` points or
-    fewer averages all others; a point alone in its tile has none.
+    never multiply into pairs. Blocks with a halo of ``cell`` answer the points
+    that have enough neighbours within it; the rest look in cubes of twice the
+    size, and so on. A tile of ``k`` points or fewer averages all others; a
+    point alone in its tile has none.
     """
+    import pandas as pd
+
+    from ridgeline.operators import neighbours as NB
+
     spots = points.groupBy("tile", "x", "y", "z").agg(F.count("*").alias("m"))
     others = points.groupBy("tile").agg((F.count("*") - 1).alias("_others"))
     spots = cut(keyed_join(spots, others, ["tile"]))
-    found, s = None, cell
-    todo = spots
-    while True:
-        first = found is None
-        place = ["bx", "by", "bz"] if first else []
-        near = _buckets(spots.drop("_others"), s, first, "xyz").withColumnsRenamed({"x": "_x", "y": "_y", "z": "_z", "m": "_m"})
-        j = _buckets(todo, s, not first, "xyz").join(near, ["tile", "bx", "by", "bz"], "left")
+    tile = points.schema["tile"]
+
+    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
+        home = pdf["home"].to_numpy()
+        mean, sure = NB.mean_of_nearest(*(pdf[c].to_numpy() for c in ("x", "y", "z", "m", "home", "_others")), k, cell)
+        return pdf.loc[home, ["tile", "x", "y", "z", "m", "_others"]].assign(mean_dist=mean, sure=sure)
+
+    counts = [T.StructField(n, T.LongType()) for n in ("m", "_others")]
+    schema = T.StructType([tile, *_doubles("x", "y", "z"), *counts, *_doubles("mean_dist"), T.StructField("sure", T.BooleanType())])
+    best = cut(NB.into_blocks(spots, cell).groupBy("tile", "bx", "by").applyInPandas(nearest, schema))
+    answer = ["tile", "x", "y", "z", "m", "mean_dist"]
+    found, todo, s = best.where("sure").select(*answer), best.where("not sure").drop("sure", "mean_dist"), cell
+    while not todo.isEmpty():
+        s *= 2
+        near = _buckets(spots.drop("_others"), s, False, "xyz").withColumnsRenamed({"x": "_x", "y": "_y", "z": "_z", "m": "_m"})
+        j = _buckets(todo, s, True, "xyz").join(near, ["tile", "bx", "by", "bz"], "left")
         dx, dy, dz = (F.col(c) - F.col(f"_{c}") for c in ("x", "y", "z"))
         j = j.withColumn("_d", F.sqrt(dx * dx + dy * dy + dz * dz))
-        j = j.withColumn("_m", F.when(F.col("_d") == 0, F.col("m") - 1).otherwise(F.col("_m")))
-        one = Window.partitionBy("tile", *place, "x", "y", "z").orderBy(F.asc_nulls_last("_d"), "_x", "_y", "_z")
+        # A bucket without points joins as an empty row: no distance and nobody at it.
+        j = j.withColumn("_m", F.when(F.col("_d").isNull(), 0).when(F.col("_d") == 0, F.col("m") - 1).otherwise(F.col("_m")))
+        one = Window.partitionBy("tile", "x", "y", "z").orderBy(F.asc_nulls_last("_d"), "_x", "_y", "_z")
         j = j.withColumn("_rn", F.row_number().over(one)).where(F.col("_rn") <= k + 1)
         j = j.withColumn("_before", F.coalesce(F.sum("_m").over(one.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         take = F.least(F.col("_m"), F.greatest(F.lit(k) - F.col("_before"), F.lit(0)))
-        best = cut(j.groupBy("tile", *place, "x", "y", "z", "m", "_others").agg(
-            F.try_divide(F.sum(F.col("_d") * take), F.sum(take)).alias("mean_dist"), F.coalesce(F.sum(take), F.lit(0)).alias("_got"),
-            F.max(F.when(take > 0, F.col("_d"))).alias("_far")).drop(*place))
+        best = cut(j.groupBy("tile", "x", "y", "z", "m", "_others").agg(
+            F.try_divide(F.sum(F.col("_d") * take), F.sum(take)).alias("mean_dist"), F.sum(take).alias("_got"),
+            F.max(F.when(take > 0, F.col("_d"))).alias("_far")))
         sure = F.coalesce((F.col("_got") == F.col("_others")) | ((F.col("_got") == k) & (F.col("_far") <= s)), F.lit(False))
-        got = best.where(sure)
-        found = got if first else found.unionByName(got)
+        found = found.unionByName(best.where(sure).select(*answer))
         todo = best.where(~sure).select("tile", "x", "y", "z", "m", "_others")
-        if todo.isEmpty():
-            break
-        s *= 2
-    return found.drop("_got", "_far", "_others")
+    return found
 
 
 def drop_outliers(points: DataFrame, cell: float, k: int = 8, multiplier: float = 3.0) -> DataFrame:
