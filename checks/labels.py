@@ -243,7 +243,7 @@ from two d left join two l on l.tile=d.tile and l.row=d.row and l.col=d.col-1 le
 
 @check("dem_agreement", I.dense_oracle("""
 select tile, case when n >= 200 then round(r, 3) end as slope_corr, case when n >= 200 then round(m, 3) end as median_offset_m, nan_frac,
-  case when n < 200 then 'too little overlap to validate' when r < 0.7 then 'slopes do not agree' end as error
+  case when n < 200 then 'too few cells in common' when r < 0.7 then 'slopes do not agree' end as error
 from (select tile, count(*) filter (inner_ and z is not null and zp is not null) as n, round(avg(case when zp is null then 1.0 else 0.0 end), 4) as nan_frac,
   corr(so, sp) filter (inner_ and z is not null and zp is not null and so is not null and sp is not null) as r,
   median(zp - z) filter (inner_ and z is not null and zp is not null and so is not null and sp is not null) as m

@@ -266,7 +266,7 @@ def predict_stride2(spark, sf):
     return d.withColumn("prob", F.round("prob", 6))
 
 
-def _tta_sql() -> str:
+def _tta_sql(more: str = "0", join: str = "") -> str:
     """Turning the view and turning the answer back is turning the kernel."""
     cols = []
     for flip in (False, True):
@@ -278,10 +278,10 @@ def _tta_sql() -> str:
                 m = [r[::-1] for r in m]
             terms = " + ".join(f"case when o.a = {i - 1} and o.b = {j - 1} then {m[i][j]}::double * coalesce(s.z, 0)/50 else 0 end"
                                for i in range(3) for j in range(3))
-            cols.append(f"1/(1+exp(-(sum({terms}) + ({K.STUB_BIAS})::double)))")
+            cols.append(f"1/(1+exp(-(sum({terms}) + ({K.STUB_BIAS})::double + {more})))")
     return (f"select d.tile, v.o as o, d.row, d.col, ({' + '.join(cols)})/8 as p from dense d join {WIN16} v on d.col >= v.o and d.col < v.o + 16, "
             "(select a.a, b.b from range(-1,2) a(a), range(-1,2) b(b)) o join dense s on s.tile=d.tile and s.row=d.row+o.a and s.col=d.col+o.b "
-            "and s.col >= v.o and s.col < v.o + 16 group by 1,2,3,4")
+            "and s.col >= v.o and s.col < v.o + 16" + join + " group by 1,2,3,4")
 
 
 @check("predict_tta", I.dense_oracle(f"""
@@ -294,6 +294,28 @@ def predict_tta(spark, sf):
     return d.withColumn("prob", F.round("prob", 6))
 
 
+@check("predict_canopy", I.dense_oracle(f"""
+select tile, row, col, round(sum(t/(1+exp(-v)))/greatest(sum(t), 1e-6), 6) as prob from (
+ select k.tile, k.row, k.col, k.v + 0.125::double*(coalesce(f.n, 0) + coalesce(f.code, 0)) as v, {HANN.format(r='k.row', c='k.col - k.o')} as t
+ from wconv k left join fx_cells f on f.tile = k.tile and f.row = k.row and f.col = k.col) group by 1, 2, 3""", wconv=WCONV_SQL))
+def predict_canopy(spark, sf):
+    """Two canopy bands go to the scorer with the elevation."""
+    scorer = N.stub_scorer(K.STUB_KERNEL, K.STUB_BIAS, 1, 1 / 50, 0.125)
+    d = N.predict(I.view(spark, sf, "fx_cells"), _meta(spark, sf), scorer, 16, 8, canopy=("n", "code"))
+    return d.withColumn("prob", F.round("prob", 6))
+
+
+@check("predict_canopy_tta", I.dense_oracle(f"""
+select tile, row, col, round(sum(t*p)/greatest(sum(t), 1e-6), 6) as prob
+from (select *, {HANN.format(r='row', c='col - o')} as t from wtta) group by 1, 2, 3""",
+    wtta=_tta_sql("0.125::double*max(coalesce(f.n, 0) + coalesce(f.code, 0))", " left join fx_cells f on f.tile = d.tile and f.row = d.row and f.col = d.col")))
+def predict_canopy_tta(spark, sf):
+    """The same with all bands turned together."""
+    scorer = N.stub_scorer(K.STUB_KERNEL, K.STUB_BIAS, 1, 1 / 50, 0.125)
+    d = N.predict(I.view(spark, sf, "fx_cells"), _meta(spark, sf), scorer, 16, 8, tta=True, canopy=("n", "code"))
+    return d.withColumn("prob", F.round("prob", 6))
+
+
 @check("preview_layers", I.filled_oracle("""
 select h.tile, h.row, h.col, h.shade, round(least(greatest(least(greatest(f.z - m3.v, -0.5), 0.5)/0.5, -0.6), 0.6), 6) + 0.0 as relief,
   case when d.y > 0 then 0.75 else 0 end::double as positive_alpha, case when coalesce(d.w, 0) = 0 then 0.3 else 0 end::double as ignore_alpha

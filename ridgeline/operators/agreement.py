@@ -52,5 +52,5 @@ def dem_agreement(ours: DataFrame, published: DataFrame, meta: DataFrame, k: int
     return d.select(
         "tile", F.when(~few, F.round("_r", 3)).alias("slope_corr"), F.when(~few, F.round("_med", 3)).alias("median_offset_m"),
         F.round("_nan", 4).alias("nan_frac"),
-        F.when(few, "too little overlap to validate").when(
+        F.when(few, "too few cells in common").when(
             F.coalesce(F.col("_r") < min_corr, F.lit(True)), "slopes do not agree").alias("error"))

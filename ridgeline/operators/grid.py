@@ -240,7 +240,7 @@ def fill_median(cells: DataFrame, value: str = "z") -> DataFrame:
     return keyed_join(cells, med, ["tile"], "left").withColumns({
         "valid": F.col(value).isNotNull(),
         value: F.coalesce(F.col(value), F.col("_median")),
-        "error": F.when(F.col("_median").isNull(), F.lit("raster is entirely nodata")),
+        "error": F.when(F.col("_median").isNull(), F.lit("no cell has a value")),
     }).drop("_median")
 
 
