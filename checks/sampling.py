@@ -169,6 +169,54 @@ def full_tile_published(spark, sf):
     return z.join(lab, ["tile", "row", "col"])
 
 
+#: a published body raster two columns short, which every third tile lacks
+PUBLISHED_SQL = "select tile, row, col, case when prob_pct is not null then prob_pct/1E1 end as z from dense where row < 8 and col < 78 and tile % 3 <> 0"
+
+
+def _published(spark, sf):
+    meta = _meta(spark, sf)
+    d = G.densify(I.view(spark, sf, "fx_cells").select("tile", "row", "col", "prob_pct"), meta)
+    d = d.where((F.col("row") < 8) & (F.col("col") < 78) & (F.col("tile") % 3 != 0))
+    size = meta.where("tile % 3 <> 0").select("tile", F.lit(8).cast("bigint").alias("height"), F.lit(78).cast("bigint").alias("width"))
+    return d.select("tile", "row", "col", (F.col("prob_pct") / 10.0).alias("z")), size
+
+
+def _canopied(spark, sf):
+    """Native cells with two canopy bands, 0 where empty."""
+    more = I.view(spark, sf, "fx_cells").select("tile", "row", "col", F.col("n").cast("double").alias("low"), F.col("code").cast("double").alias("high"))
+    return _native(spark, sf).join(more, ["tile", "row", "col"], "left").na.fill(0.0, ["low", "high"])
+
+
+BODY_SQL = """
+select d.tile, d.row//2 as row, d.col//2 as col, max(coalesce(d.y, 0)) as y, avg(coalesce(d.w, 0)) as w, count(d.z) as nz, avg(d.z) as own,
+  coalesce(min(case when d.code > 0 then d.code end), 0) as class, avg(coalesce(k.n, 0)) as low, avg(coalesce(d.code, 0)) as high
+from dense d left join fx_cells k on k.tile = d.tile and k.row = d.row and k.col = d.col group by 1, 2, 3"""
+
+
+@check("extract_crops_published", I.dense_oracle("""
+select c.tile*1000000 + c.row*1000 + c.col as crop_id, b.row - c.row//2 as row, b.col - c.col//2 as col, p.z, round(b.low, 5) as low, round(b.high, 5) as high,
+  b.y, case when p.z is null then 0 else b.w end::double as w, b.class
+from fx_cells c join bodies b on b.tile = c.tile and b.row >= c.row//2 and b.row < c.row//2 + 4 and b.col >= c.col//2 and b.col < c.col//2 + 4
+left join pub p on p.tile = b.tile and p.row = b.row and p.col = b.col
+where c.y = 1 and c.row <= 8 and c.col <= 152 and c.row % 2 = 0 and c.col % 2 = 0 and c.tile % 3 <> 0""", bodies=BODY_SQL, pub=PUBLISHED_SQL))
+def extract_crops_published(spark, sf):
+    """Elevation of the published raster beside our own canopy and labels; tiles without it have no crops."""
+    c = I.view(spark, sf, "fx_cells").where("y = 1 and row <= 8 and col <= 152 and row % 2 = 0 and col % 2 = 0")
+    plan = c.select((F.col("tile") * 1000000 + F.col("row") * 1000 + F.col("col")).alias("crop_id"), "tile", F.col("row").alias("row0"), F.col("col").alias("col0"))
+    z, lab = S.extract_crops(plan, _canopied(spark, sf), 8, 2, 2, ("low", "high"), _published(spark, sf)[0])
+    return z.join(lab, ["crop_id", "row", "col"]).withColumns({b: F.round(b, 5) for b in ("low", "high")})
+
+
+@check("full_tile_published_canopy", I.dense_oracle("""
+select b.tile, b.row, b.col, p.z, round(b.low, 5) as low, round(b.high, 5) as high, b.y, case when p.z is null then 0 else b.w end::double as w, b.class
+from bodies b join pub p on p.tile = b.tile and p.row = b.row and p.col = b.col""", bodies=BODY_SQL, pub=PUBLISHED_SQL))
+def full_tile_published_canopy(spark, sf):
+    """Elevation, canopy and labels trimmed to the ground that all cover."""
+    pub, size = _published(spark, sf)
+    z, lab = S.full_tile(_canopied(spark, sf), _meta(spark, sf), 2, 2, ("low", "high"), pub, size)
+    return z.join(lab, ["tile", "row", "col"]).withColumns({b: F.round(b, 5) for b in ("low", "high")})
+
+
 @check("full_tile_fine", I.dense_oracle("""
 select * from (select tile, count(*) as cells, count(z) as filled from dense where row < 15 and col < 159 group by tile)
 join (select tile, count(*) as body, count(*) filter (n < 9) as holed from (

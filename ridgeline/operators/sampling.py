@@ -190,6 +190,8 @@ def crop_cells(plan: DataFrame, cells: DataFrame, crop: int, bands: list[str]) -
 
 
 LABEL_RULES = {"y": ("target", "max"), "w": ("weight", "mean"), "class": ("class", "min_nonzero"), "cover": ("_valid", "mean")}
+#: The same where elevation is read from elsewhere, so that its own grid says where there is ground.
+READ_RULES = {k: v for k, v in LABEL_RULES.items() if k != "cover"}
 
 
 def _trainable(lab: DataFrame) -> DataFrame:
@@ -210,14 +212,37 @@ def _reduce_both(d: DataFrame, meta: DataFrame | None, z_scale: int, label_scale
 
 
 def extract_crops(plan: DataFrame, cells: DataFrame, crop: int, z_scale: int = 1, label_scale: int = 1,
-                  canopy: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Elevation and label tables per crop, each at its own resolution.
+                  canopy: tuple[str, ...] = (), published: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Elevation (with canopy) and label tables per crop, each at its own resolution.
 
     ``cells`` carries ``z`` (NULL nodata), ``target``, ``weight`` and ``class``
-    on the native grid; ``crop`` is a multiple of both scales.
+    on the native grid; ``crop`` is a multiple of both scales. With a
+    ``published`` raster ``(tile, row, col, z)`` on the body grid, elevation is
+    read from it, and a body cell counts where that raster has ground; crops of
+    tiles it lacks are left out. See :func:`tiles_without`.
     """
-    raw = crop_cells(plan, cells, crop, ["z", "target", "weight", "class", *canopy]).drop("tile")
-    return _reduce_both(raw, None, z_scale, label_scale, "crop_id", canopy)
+    if published is None:
+        raw = crop_cells(plan, cells, crop, ["z", "target", "weight", "class", *canopy]).drop("tile")
+        return _reduce_both(raw, None, z_scale, label_scale, "crop_id", canopy)
+    have = plan.join(published.select("tile").distinct(), "tile", "left_semi")
+    body = have.select("crop_id", "tile", F.floor(F.col("row0") / label_scale).alias("row0"), F.floor(F.col("col0") / label_scale).alias("col0"))
+    read = crop_cells(body, published, crop // label_scale, ["z"]).drop("tile")
+    raw = crop_cells(have, cells, crop, ["target", "weight", "class", *canopy]).drop("tile")
+    rest = G.block_reduce(raw, None, label_scale, {**{c: (c, "mean") for c in canopy}, **READ_RULES}, "crop_id")
+    return _read_beside(read, rest, "crop_id", canopy)
+
+
+def _read_beside(read: DataFrame, rest: DataFrame, key: str, canopy: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Elevation as it was read, with canopy, and labels that count only where it has ground."""
+    both = rest.join(read.select(key, "row", "col", "z"), [key, "row", "col"], "left")
+    both = both.withColumn("w", F.when(F.col("z").isNotNull(), F.col("w")).otherwise(F.lit(0.0)))
+    return both.select(key, "row", "col", "z", *canopy), both.select(key, "row", "col", "y", "w", "class")
+
+
+def tiles_without(tiles: DataFrame, published: DataFrame) -> DataFrame:
+    """Tiles that a variant of published elevation cannot use, with the reason."""
+    lack = tiles.select("tile").join(published.select("tile").distinct(), "tile", "left_anti")
+    return lack.withColumn("reason", F.lit("skipped: no published elevation"))
 
 
 def body_crops(plan: DataFrame, cells: DataFrame, crop: int, scale: int = 1, canopy: tuple[str, ...] = (),
@@ -280,8 +305,9 @@ def full_tile(cells: DataFrame, meta: DataFrame, z_scale: int, label_scale: int,
     """Elevation and labels of whole tiles for evaluation.
 
     Elevation is the published raster where one is given (already on the body
-    grid), else our own grid reduced. Both come back trimmed to the ground they
-    share, counted in body pixels.
+    grid; tiles it lacks are left out), else our own grid reduced. Elevation,
+    canopy and labels come back trimmed to the ground they share, counted in
+    body pixels.
     """
     body = meta.select("tile", F.floor(F.col("height") / label_scale).alias("height"), F.floor(F.col("width") / label_scale).alias("width"))
     if published is None:
@@ -290,9 +316,6 @@ def full_tile(cells: DataFrame, meta: DataFrame, z_scale: int, label_scale: int,
             return z, lab
         fine = meta.select("tile", F.floor(F.col("height") / z_scale).alias("height"), F.floor(F.col("width") / z_scale).alias("width"))
         return G.common_extent(z, lab, fine, body, label_scale // z_scale, 1)
-    lab = G.block_reduce(cells, meta, label_scale, {k: v for k, v in LABEL_RULES.items() if k != "cover"})
-    z, lab = G.common_extent(published.select("tile", "row", "col", "z"), lab, published_meta, body, 1, 1)
-    real = z.select("tile", "row", "col", F.col("z").isNotNull().alias("_real"))
-    lab = lab.join(real, ["tile", "row", "col"], "left")
-    lab = lab.withColumn("w", F.when(F.coalesce("_real", F.lit(False)), F.col("w")).otherwise(F.lit(0.0))).drop("_real")
-    return z, lab
+    rest = G.block_reduce(cells, meta, label_scale, {**{c: (c, "mean") for c in canopy}, **READ_RULES})
+    z, rest = G.common_extent(published.select("tile", "row", "col", "z"), rest, published_meta, body, 1, 1)
+    return _read_beside(z, rest, "tile", canopy)
