@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline import constants as K
-from ridgeline.operators.plans import pin
+from ridgeline.operators.lineage import cut
 
 
 def rect_ring(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -29,52 +29,78 @@ def ring_edges(rings: Column) -> Column:
     return F.flatten(F.transform(usable, edges))
 
 
-def contains(edges: Column, x: Column, y: Column) -> Column:
-    """Even-odd test over all rings, so an inner ring is a hole."""
-    crossed = F.filter(edges, lambda e: (y >= e["lo"]) & (y < e["hi"]) & (x < e["x"] + (y - e["y"]) * e["run"]))
-    return F.size(crossed) % 2 == 1
+def _slices(edges: DataFrame, cell: float) -> DataFrame:
+    """Edges once per bucket they meet, in the row band they meet it in."""
+    band = F.sequence(F.floor(F.col("e.lo") / cell), F.floor(F.col("e.hi") / cell))
+    d = edges.withColumn("_gy", F.explode(band))
+    y0, run = F.col("_gy") * cell, F.col("e.run")
+    at = lambda y: F.col("e.x") + (y - F.col("e.y")) * run
+    a, b = at(F.greatest(F.col("e.lo"), y0)), at(F.least(F.col("e.hi"), y0 + cell))
+    # A horizontal edge has no run and lies in its band at full length. The slack only adds buckets.
+    slack = cell * 1e-9
+    low = F.coalesce(F.least(a, b), F.col("e.left")) - slack
+    high = F.coalesce(F.greatest(a, b), F.col("e.right")) + slack
+    return d.withColumn("_gx", F.explode(F.sequence(F.ceil(low / cell) - 1, F.floor(high / cell))))
 
 
-def _bbox(rings: Column) -> dict[str, Column]:
-    xs = F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p["x"])))
-    ys = F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p["y"])))
-    return {"_bx0": F.array_min(xs), "_bx1": F.array_max(xs), "_by0": F.array_min(ys), "_by1": F.array_max(ys)}
+def _poly_buckets(polys: DataFrame, cell: float) -> DataFrame:
+    """Polygons once per bucket that is not wholly outside.
 
+    ``_edges`` are those that meet the bucket (NULL where it is wholly inside)
+    and ``_odd`` is the side on which the bucket's lower right corner lies: how
+    many edges cross its row line to the right of it.
+    """
+    d = cut(polys.withColumn("_pid", F.monotonically_increasing_id()))
+    edges = d.select("_pid", F.explode(ring_edges(F.col("rings"))).alias("e"))
+    touched = _slices(edges, cell).groupBy("_pid", "_gy", "_gx").agg(F.collect_list("e").alias("_edges"))
+    lines = edges.withColumn("_gy", F.explode(F.sequence(F.ceil(F.col("e.lo") / cell), F.ceil(F.col("e.hi") / cell))))
+    line = F.col("_gy") * cell
+    crossed = lines.where((F.col("e.lo") <= line) & (line < F.col("e.hi"))).select(
+        "_pid", "_gy", (F.col("e.x") + (line - F.col("e.y")) * F.col("e.run")).alias("_at"), F.lit(1).alias("_n"),
+        F.lit(None).cast("bigint").alias("_gx"), F.lit(None).cast(touched.schema["_edges"].dataType).alias("_edges"))
+    corners = touched.select("_pid", "_gy", ((F.col("_gx") + 1) * cell).alias("_at"), F.lit(0).alias("_n"), "_gx", "_edges")
+    along = Window.partitionBy("_pid", "_gy").orderBy(F.desc("_at"), "_n").rowsBetween(Window.unboundedPreceding, 0)
+    corners = corners.unionByName(crossed).withColumn("_odd", F.sum("_n").over(along) % 2 == 1).where("_n = 0")
+    following = F.lead("_gx").over(Window.partitionBy("_pid", "_gy").orderBy("_gx"))
+    corners = corners.withColumn("_next", following)
+    # Between two touched buckets of a row all are on the side of the first one's corner.
+    inner = corners.where(F.col("_odd") & (F.col("_next") > F.col("_gx") + 1)).select(
+        "_pid", "_gy", F.explode(F.sequence(F.col("_gx") + 1, F.col("_next") - 1)).alias("_gx"),
+        F.lit(None).cast(touched.schema["_edges"].dataType).alias("_edges"), F.lit(True).alias("_odd"))
+    return corners.select("_pid", "_gy", "_gx", "_edges", "_odd").unionByName(inner).join(d.drop("rings"), "_pid")
+
+
+def contains(edges: Column, odd: Column, x: Column, y: Column, right: Column, bottom: Column) -> Column:
+    """Even-odd test of a point in a bucket over the edges that meet the bucket.
+
+    From the point the way leads right to the bucket's side and down that side
+    to the corner, whose side is known; every edge on the way changes sides. Both
+    legs run a hair past their coordinates, the hair along x being by far the
+    longer, so no vertex lies on them; where an edge meets the end of a leg
+    exactly, whether it rises tells on which side of the end it passes.
+    """
+    across = F.filter(edges, lambda e: (y >= e["lo"]) & (y < e["hi"]) & (x < e["x"] + (y - e["y"]) * e["run"]) & (e["x"] + (y - e["y"]) * e["run"] <= right))
+    height = lambda e: F.when(e["lo"] == e["hi"], e["lo"]).otherwise(e["y"] + F.try_divide(right - e["x"], e["run"]))
 
-def _poly_buckets(polys: DataFrame, cell: float, salts: int) -> DataFrame:
-    """Polygons once per bucket they meet, and once per salt.
+    def passes(e: Column) -> Column:
+        at, rises = height(e), F.coalesce(e["run"] > 0, F.lit(False))
+        return ((at > bottom) | ((at == bottom) & rises)) & ((at < y) | ((at == y) & ~rises))
 
-    ``_cut`` marks buckets that an edge may cross; only points there need the
-    exact test.
-    """
-    d = polys.withColumns({**_bbox(F.col("rings")), "_edges": ring_edges(F.col("rings"))}).drop("rings")
-    d = d.where(F.col("_bx0").isNotNull())
-    d = d.withColumn("_gx", F.explode(F.sequence(F.floor(F.col("_bx0") / cell), F.floor(F.col("_bx1") / cell))))
-    d = d.withColumn("_gy", F.explode(F.sequence(F.floor(F.col("_by0") / cell), F.floor(F.col("_by1") / cell))))
-    x, y = F.col("_gx") * cell, F.col("_gy") * cell
-    cut = F.exists("_edges", lambda e: (e["left"] <= x + cell) & (e["right"] >= x) & (e["lo"] <= y + cell) & (e["hi"] >= y))
-    d = pin(d.withColumns({"_cut": cut, "_mid": contains(F.col("_edges"), x + cell / 2, y + cell / 2)}), ["_cut", "_mid"])
-    # no edge near the bucket: it is inside or outside as a whole
-    d = d.where(F.col("_cut") | F.col("_mid")).withColumn("_edges", F.when(F.col("_cut"), F.col("_edges"))).drop("_mid")
-    return d.withColumn("_gs", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-
-def point_in_polygon_join(points: DataFrame, polys: DataFrame, cell: float, how: str = "inner",
-                          salts: int = 8) -> DataFrame:
+    down = F.filter(edges, lambda e: (e["left"] <= right) & (right < e["right"]) & passes(e))
+    return ((F.size(across) + F.size(down)) % 2 == 1) != odd
+
+
+def point_in_polygon_join(points: DataFrame, polys: DataFrame, cell: float, how: str = "inner") -> DataFrame:
     """Points with the polygons that contain them (``inner`` or ``left_semi``).
 
     Both sides meet by equality on a bucket key, and only then is the exact
-    test made. Points of one bucket are spread over ``salts`` tasks.
+    test made, over the few edges that meet the bucket. A polygon makes rows in
+    proportion to its edges and to the buckets inside it.
     """
-    p = points.withColumns({
-        "_gx": F.floor(F.col("x") / cell), "_gy": F.floor(F.col("y") / cell),
-        "_gs": F.pmod(F.xxhash64("x", "y"), F.lit(salts)).cast("int")})
-    q = _poly_buckets(polys, cell, salts)
-    inside = (
-        (F.col("p._gx") == F.col("q._gx")) & (F.col("p._gy") == F.col("q._gy")) & (F.col("p._gs") == F.col("q._gs"))
-        & (~F.col("q._cut") | (
-            F.col("p.x").between(F.col("q._bx0"), F.col("q._bx1")) & F.col("p.y").between(F.col("q._by0"), F.col("q._by1"))
-            & contains(F.col("q._edges"), F.col("p.x"), F.col("p.y")))))
+    p = points.withColumns({"_gx": F.floor(F.col("x") / cell), "_gy": F.floor(F.col("y") / cell)})
+    q = _poly_buckets(polys, cell)
+    inside = (F.col("p._gx") == F.col("q._gx")) & (F.col("p._gy") == F.col("q._gy")) & (F.col("q._edges").isNull() | contains(
+        F.col("q._edges"), F.col("q._odd"), F.col("p.x"), F.col("p.y"), (F.col("q._gx") + 1) * cell, F.col("q._gy") * cell))
     j = p.alias("p").join(q.alias("q"), inside, how)
     cols = [F.col(f"p.{c}") for c in points.columns]
     if how != "left_semi":
