@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from ridgeline import constants as K
 from ridgeline.operators import grid as G
+from ridgeline.operators.lineage import cut
 from ridgeline.operators.ranks import exact_quantiles
 
 CLIP = math.tan(math.radians(K.SLOPE_CLIP_DEG))
 
 
-def slope_clip(cells: DataFrame, meta: DataFrame, res: float, value: str, out: str, keep=()) -> DataFrame:
-    """Gradient magnitude clipped at tan 60 degrees; NULL beside a hole."""
-    g = G.gradients(cells, meta, res, "one_sided", value, keep)
-    return g.withColumn(out, G._clamp(F.hypot("gx", "gy"), 0.0, CLIP)).drop("gx", "gy")
+def slope_clip(cells: DataFrame, meta: DataFrame, res: float, values: dict[str, str]) -> DataFrame:
+    """Gradient magnitudes clipped at tan 60 degrees, of several rasters at once; NULL beside a hole."""
+    names = {v: (f"_gx_{v}", f"_gy_{v}") for v in values}
+    g = G.gradients_of(cells, meta, res, names)
+    return g.withColumns({out: G._clamp(F.hypot(*names[v]), 0.0, CLIP) for v, out in values.items()}).drop(*[n for pair in names.values() for n in pair])
 
 
 def dem_agreement(ours: DataFrame, published: DataFrame, meta: DataFrame, k: int, res: float = K.BODY_RES,
@@ -34,9 +36,8 @@ def dem_agreement(ours: DataFrame, published: DataFrame, meta: DataFrame, k: int
     theirs = published.groupBy("tile").agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w"))
     size = size.join(theirs, "tile").select("tile", F.least("height", "_h").alias("height"), F.least("width", "_w").alias("width"))
     both = published.select("tile", "row", "col", F.col("z").alias("zp")).join(body, ["tile", "row", "col"])
-    s = slope_clip(both, size, res, "z", "_so", keep=("zp",))
-    s = slope_clip(s, size, res, "zp", "_sp", keep=("z", "_so"))
-    s = G.with_size(s, size)
+    # One exchange of halo blocks for both rasters; what follows reads its result four times.
+    s = cut(G.with_size(slope_clip(both, size, res, {"z": "_so", "zp": "_sp"}), size))
     inner = (F.col("row").between(F.lit(margin), F.col("height") - 1 - margin)
              & F.col("col").between(F.lit(margin), F.col("width") - 1 - margin))
     real = inner & F.col("z").isNotNull() & F.col("zp").isNotNull()

@@ -205,23 +205,25 @@ def gradients(cells: DataFrame, meta: DataFrame, res: float, edge: str = "one_si
     ``one_sided`` switches to a one-sided difference on the outermost row and
     column; ``replicate`` repeats the border cell and so halves it there.
     """
-    src = sorted({value, *keep})
+    return gradients_of(cells, meta, res, {value: ("gx", "gy")}, edge, keep, block, dense)
+
+
+def gradients_of(cells: DataFrame, meta: DataFrame, res: float, values: dict[str, tuple[str, str]], edge: str = "one_sided",
+                 keep: Sequence[str] = (), block: int = BLOCK, dense: bool = True) -> DataFrame:
+    """Gradients of several rasters of a tile, from one exchange of halo blocks."""
+    src = sorted({*values, *keep})
     border = "replicate" if edge == "replicate" else "truncate"
     d = haloed(cells, meta, src, 1, 1, border, block, fill=not dense)
-    for axis, w, name in (
-        ("col", Window.partitionBy(*KEY, "row").orderBy("col"), "gx"),
-        ("row", Window.partitionBy(*KEY, "col").orderBy("row"), "gy"),
-    ):
-        prev_at, next_at = F.lag(axis).over(w), F.lead(axis).over(w)
-        prev, nxt = F.lag(value).over(w), F.lead(value).over(w)
-        has_prev, has_next = prev_at.isNotNull(), next_at.isNotNull()
-        d = d.withColumn(
-            name,
-            F.when(has_prev & has_next, (nxt - prev) / (2.0 * res))
-            .when(has_next, (nxt - F.col(value)) / res)
-            .when(has_prev, (F.col(value) - prev) / res),
-        )
-    return d.where("home").select("tile", "row", "col", *sorted({value, *keep}), "gx", "gy")
+    for which, axis, w in ((0, "col", Window.partitionBy(*KEY, "row").orderBy("col")), (1, "row", Window.partitionBy(*KEY, "col").orderBy("row"))):
+        has_prev, has_next = F.lag(axis).over(w).isNotNull(), F.lead(axis).over(w).isNotNull()
+
+        def along(value: str) -> Column:
+            prev, nxt, own = F.lag(value).over(w), F.lead(value).over(w), F.col(value)  # noqa: B023
+            return (F.when(has_prev & has_next, (nxt - prev) / (2.0 * res))  # noqa: B023
+                    .when(has_next, (nxt - own) / res).when(has_prev, (own - prev) / res))  # noqa: B023
+
+        d = d.withColumns({names[which]: along(value) for value, names in values.items()})
+    return d.where("home").select("tile", "row", "col", *src, *[n for names in values.values() for n in names])
 
 
 def slope(cells: DataFrame, meta: DataFrame, res: float, edge: str = "one_sided",

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ridgeline import constants as K
 from ridgeline.operators import grid as G
-from ridgeline.operators.ranks import exact_quantiles, running_totals
+from ridgeline.operators.lineage import cut
+from ridgeline.operators.ranks import SPAN_ROWS, exact_quantiles, measured_edges, running_totals, span_of
 
 EPS = K.EPS
 
@@ -134,16 +135,17 @@ def stratified_score(result: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return result.groupBy(*keys).agg(F.round(F.avg("f1"), 4).alias("score"), F.count("*").alias("classes"))
 
 
-def average_precision(cells: DataFrame, keys: Sequence[str] = ("tile",), buckets: int = 65536) -> DataFrame:
+def average_precision(cells: DataFrame, keys: Sequence[str] = ("tile",), rows_each: int = SPAN_ROWS) -> DataFrame:
     """Exact pixel AP over unignored cells, NULL where only one class is present.
 
-    Equal probabilities are collapsed first; running counts then go bucket by
-    bucket of quantised probability, so no ranking holds all cells of a tile.
+    Equal probabilities are collapsed first; running counts then go span by span
+    of measured quantiles, so no ranking holds all cells of a tile, even where
+    nearly all its probabilities lie close together.
     """
     keys = list(keys)
-    ties = cells.where(F.col("w") > 0).groupBy(*keys, "prob").agg(
-        F.count("*").alias("_n"), F.sum(_flag(F.col("y") > 0.5)).alias("_pos"))
-    ties = ties.withColumn("_bucket", -F.floor(F.col("prob") * buckets))
+    ties = cut(cells.where(F.col("w") > 0).groupBy(*keys, F.col("prob").cast("double").alias("prob")).agg(
+        F.count("*").alias("_n"), F.sum(_flag(F.col("y") > 0.5)).alias("_pos")))
+    ties = ties.withColumn("_bucket", -span_of(F.col("prob"), measured_edges(ties, "prob", rows_each)))
     run = running_totals(ties, keys, "_bucket", [F.desc("prob")], {"_cn": "_n", "_cp": "_pos"})
     out = run.groupBy(*keys).agg(
         F.sum(F.col("_pos") * F.col("_cp") / F.col("_cn")).alias("_s"), F.sum("_pos").alias("_t"), F.sum("_n").alias("_all"))
