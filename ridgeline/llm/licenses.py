@@ -212,18 +212,23 @@ def scan_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] | None = N
     ``license`` is that of the whole text, ``notices`` the sorted distinct names
     of the licences whose notice or text is one of its lines, or runs on from
     one of its paragraphs. ``n_notice_lines`` counts such lines, and one for
-    every text that runs over several lines. The catalogue is a fixed list, so
-    it goes to every task and no document is shuffled: whole texts, lines and
-    paragraphs meet it in one row.
+    every text that runs over several lines. Whole texts meet the catalogue in a
+    hash join on their digests; it is a table of some hundred rows, a list fixed
+    in the package, so it is the side that is broadcast and no document moves.
+    Lines and paragraphs are looked up where they are.
     """
     names, openings = catalogue(KNOWN + published() if known is None else known)
-    one = F.broadcast(docs.sparkSession.createDataFrame([(1, names, openings)], "one int, names map<string, string>, openings map<string, array<int>>"))
-    name_of = lambda d: F.when(d.isin(list(names)), F.element_at("names", d))
+    known_texts = docs.sparkSession.createDataFrame(list(names.items()), "known string, name string")
+    literal = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.create_map().cast("map<string, string>")
+    name_of = lambda d: F.when(d.isin(list(names)), F.element_at(literal, d))
+    lengths_of = F.create_map(*[x for k, v in openings.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]) if openings else F.create_map().cast("map<string, array<int>>")
     text = F.coalesce("text", F.lit(""))
-    d = docs.select("doc_id", F.lit(1).alias("one"), F.explode(F.array(F.struct(folded(text).alias("form"), text.alias("text")))).alias("t"))
-    d = d.select("doc_id", "one", "t.form", F.when(F.col("t.form").rlike(CUES) | F.col("t.text").rlike("(?i)copyright"), bare_form(F.col("t.text"))).alias("bare"))
-    d = d.withColumn("digest", digest(spelled(F.regexp_replace("form", GAPS, " ")))).join(one, "one")
-    d = d.withColumn("license", F.coalesce(name_of(F.col("digest")), name_of(digest(spelled(F.regexp_replace("bare", GAPS, " "))))))
+    d = docs.select("doc_id", F.explode(F.array(F.struct(folded(text).alias("form"), text.alias("text")))).alias("t"))
+    d = d.select("doc_id", "t.form", F.when(F.col("t.form").rlike(CUES) | F.col("t.text").rlike("(?i)copyright"), bare_form(F.col("t.text"))).alias("bare"))
+    d = d.withColumns({"digest": digest(spelled(F.regexp_replace("form", GAPS, " "))), "bare_digest": digest(spelled(F.regexp_replace("bare", GAPS, " ")))})
+    for of, found in (("digest", "license_as_is"), ("bare_digest", "license_bare")):
+        d = d.join(F.broadcast(known_texts.select(F.col("known").alias(of), F.col("name").alias(found))), of, "left")
+    d = d.withColumn("license", F.coalesce("license_as_is", "license_bare"))
     lines = F.filter(F.transform(F.split("form", "\n"), lambda line: name_of(digest(spelled(line)))), lambda name: name.isNotNull())
     parts = F.filter(F.transform(F.split("bare", PARAGRAPH), lambda p: F.struct(
         F.trim(p, F.lit(" \n")).contains("\n").alias("wrapped"), spelled(F.regexp_replace(p, GAPS, " ")).alias("words"))), lambda p: p["words"].isNotNull())
@@ -234,7 +239,7 @@ def scan_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] | None = N
 
     def runs(p: Column) -> Column:
         """Names of the texts that run on from the paragraph; one that is a single line is found among the lines."""
-        lengths = F.filter(F.element_at("openings", p["opening"]), lambda n: p["wrapped"] | (n != p["size"]))
+        lengths = F.filter(F.element_at(lengths_of, p["opening"]), lambda n: p["wrapped"] | (n != p["size"]))
         rest = lambda n: F.concat_ws(" ", F.slice(F.col("parts")["words"], p["at"] + 1, n))
         return F.transform(lengths, lambda n: name_of(digest(F.call_function("substring_index", rest(n), F.lit(" "), n))))
 

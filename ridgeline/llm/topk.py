@@ -291,13 +291,13 @@ TOP, QUERY_STEP = 5, 50
 
 OP8_SQL = f"""
 with fine as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(256.0::double * x::double) as bigint)) as v from embeddings
-  where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, lambda x: x is null or isnan(x) or abs(x) >= {WIDE // 256})) = 0)
-select query_id, rank, vec_id, score from (
-  select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from (
-    select q.vec_id as query_id, c.vec_id, cast(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))), 0) as bigint) as score
-    from fine q join fine c on q.vec_id % {QUERY_STEP} = 0 and q.vec_id <> c.vec_id))
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256.0::double * x::double) as hugeint)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+queries as (select distinct vec_id, v from fine where vec_id % {QUERY_STEP} = 0)
+select query_id, rank, vec_id, score::bigint as score from (
+  select query_id, vec_id, score, row_number() over (partition by query_id, v order by score desc, vec_id) as rank from (
+    select q.vec_id as query_id, q.v, c.vec_id, list_sum(list_concat([0::hugeint], list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0::hugeint)))) as score
+    from queries q join fine c on q.vec_id <> c.vec_id))
 where rank <= {TOP}"""
 
 
