@@ -391,7 +391,23 @@ def kept_bytes(body: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, body).otherwise(F.unhex(F.array_join(F.transform(gaps, F.hex), "")))
 
 
-@query("op13_suffix_dedup")
+# Two hexadecimal digits are a byte, so 400 of them are a string of 200.
+OP13_SQL = """
+with docs as (select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+starts as (select rid, unnest(range(len(h) // 2 - 199)) as i, h from docs where len(h) >= 400),
+marked as (select rid, i, md5(substr(h, 2 * i + 1, 400)) as k from starts),
+again as (select rid, i from marked where k in (select k from marked group by k having count(*) > 1)),
+edges as (select rid, i, case when i - lag(i) over (partition by rid order by i) <= 200 then 0 else 1 end as fresh from again),
+runs as (select rid, sum(fresh) over (partition by rid order by i) as run, i from edges),
+spans as (select rid, min(i) as a, max(i) + 200 as b from runs group by rid, run),
+cuts as (select rid, a, b, coalesce(lag(b) over (partition by rid order by a), 0) as before, lead(a) over (partition by rid order by a) as following from spans),
+kept as (select rid, sum(b - a) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a)
+    || max(case when following is null then substr(h, 2 * b + 1) else '' end) as h from cuts join docs using (rid) group by rid)
+select doc_id, cast(len(d.h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+  sha256(unhex(coalesce(k.h, d.h))) as kept_sha256 from docs d left join kept k using (rid)"""
+
+
+@query("op13_suffix_dedup", OP13_SQL)
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that do not lie in a 200-byte string which also starts elsewhere."""
     d = removal(only(documents(spark, sf_dir), doc_id="doc_id", text="text"), "text", shared_folder(spark))
