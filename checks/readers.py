@@ -15,7 +15,8 @@ from ridgeline.operators.lineage import shared_base
 from ridgeline.sources import rasters as SR
 from ridgeline.sources import readers as RD
 
-DUMPS = 16
+#: Elements that a dump holds, on average.
+DUMP_ELEMENTS = 2000
 
 
 def _folder(spark, name: str) -> str:
@@ -23,8 +24,9 @@ def _folder(spark, name: str) -> str:
 
 
 def _dumps(rows: DataFrame, key: str, field: str, path: str) -> str:
-    """One JSON document per sixteenth of the keys, each in a file of its own."""
-    d = rows.groupBy((F.hash(key) % DUMPS).alias("part")).agg(F.collect_list(F.struct(*[c for c in rows.columns if c != key])).alias(field))
+    """JSON documents of about ``DUMP_ELEMENTS`` rows each, at least four, each in a file of its own."""
+    dumps = max(4, -(-rows.count() // DUMP_ELEMENTS))
+    d = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(dumps)).alias("part")).agg(F.collect_list(F.struct(*[c for c in rows.columns if c != key])).alias(field))
     d = d.select("part", F.to_json(F.struct(field)).alias("value"))
     d.repartition("part").write.partitionBy("part").text(path)
     return f"{path}/*/*.txt"
@@ -75,15 +77,14 @@ def read_catalog(spark, sf):
     return d.select("object_id", "low_ps", "title", "acquired", F.array_min(xs).alias("west"), F.array_max(ys).alias("north"))
 
 
-@check("read_points", I.oracle("select cast(tile as varchar) as tile, x, y, z, cls from fx_points where tile % 2 = 1", "fx_points"))
+@check("read_points", I.oracle("select cast(tile as varchar) as tile, x, y, z, cls from fx_points", "fx_points"))
 def read_points(spark, sf):
-    """The odd tiles of a point table partitioned by tile."""
+    """All tiles of a point table partitioned by tile."""
     p = I.view(spark, sf, "fx_points").select(
         F.col("tile").cast("string").alias("tile"), "x", "y", "z", F.col("cls").cast("int").alias("cls"), F.lit(None).cast("float").alias("hag"))
     path = _folder(spark, "points")
     p.repartition("tile").write.partitionBy("tile").parquet(path)
-    odd = [r["tile"] for r in p.select("tile").distinct().collect() if int(r["tile"]) % 2]
-    return RD.read_points(spark, path, odd).select("tile", "x", "y", "z", F.col("cls").cast("bigint").alias("cls"))
+    return RD.read_points(spark, path).select("tile", "x", "y", "z", F.col("cls").cast("bigint").alias("cls"))
 
 
 TILE = T.StructType([T.StructField(c, t) for c, t in (("row", T.LongType()), ("col", T.LongType()), ("z", T.DoubleType()), ("tile", T.LongType()))])

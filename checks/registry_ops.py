@@ -220,7 +220,7 @@ def select_cells_covered(spark, sf):
 def stream_scores(spark, sf):
     from checks.scoring import _cells
     from ridgeline.operators.scoring import near_planes
-    from ridgeline.streaming.stream import run_scores
+    from checks.streams import run_scores
 
     near = near_planes(_cells(spark, sf), I.view(spark, sf, "fx_meta"), 5, ["code"])
     return run_scores(spark, near).withColumn("code", F.col("code").cast("bigint"))
@@ -228,6 +228,6 @@ def stream_scores(spark, sf):
 
 @check("stream_evidence", ranked_oracle("select * from scored"))
 def stream_evidence(spark, sf):
-    from ridgeline.streaming.stream import run_evidence
+    from checks.streams import run_evidence
 
     return run_evidence(spark, I.ways(spark, sf))

@@ -1,7 +1,8 @@
 """Incremental accumulators as Structured Streaming queries.
 
-Neither has event time: scores are plain sums, and evidence counts each way
-once by id for as long as the query lives.
+Scores are plain sums. Evidence counts each way once by its id: for as long as
+the query lives, or, with a horizon of arrival times, among the copies that
+arrive within it, so that only the ids of that long are kept.
 """
 
 from __future__ import annotations
@@ -45,21 +46,25 @@ def result_of(wide: DataFrame, thresholds=K.SELECTION_THRESHOLDS) -> DataFrame:
     return S.stratified_result(S.pool_counts(long, []).where(F.col("code") > 0))
 
 
-def stream_evidence(ways: DataFrame, size_m: float = 1000.0) -> DataFrame:
+def stream_evidence(ways: DataFrame, size_m: float = 1000.0, horizon: str | None = None, arrived: str = "arrived") -> DataFrame:
     """Running evidence per grid cell; a way that arrives twice counts once.
 
-    A way reaches each cell as one row, so distinct ways are a plain count and
-    a cell's state is three numbers.
+    With ``horizon``, such as "2 days", a copy counts once with the first if it
+    arrives (column ``arrived``) within that time; ids expire after it and the
+    state stays as large as what arrives in one horizon. Copies that may come
+    later need a longer horizon, or none. A way reaches each cell as one row, so
+    distinct ways are a plain count and a cell's state is three numbers.
     """
     d = ways.withColumn("evidence", T.evidence_kind(F.col("tags"))).where(F.col("evidence").isNotNull())
-    d = d.dropDuplicates(["id"]).select("evidence", "geometry")
+    d = d.dropDuplicates(["id"]) if horizon is None else d.withWatermark(arrived, horizon).dropDuplicatesWithinWatermark(["id"])
+    d = d.select("evidence", "geometry")
     return W.way_cells(d, size_m).groupBy("gx", "gy").agg(
         F.sum(F.when(F.col("evidence") == "faint", F.col("m"))).alias("faint"),
         F.sum(F.when(F.col("evidence") == "lifecycle", F.col("m"))).alias("lifecycle"),
         F.count("*").alias("n_ways"))
 
 
-def _drain(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
+def drain(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
     """Run a complete-mode query over what has arrived, into a written table."""
     out = f"{folder}/out"
 
@@ -70,26 +75,3 @@ def _drain(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
          .trigger(availableNow=True).foreachBatch(keep).start())
     q.awaitTermination()
     return spark.read.parquet(out)
-
-
-def run_scores(spark: SparkSession, near: DataFrame) -> DataFrame:
-    """Write dilated cells as files, stream them in, and report the result."""
-    folder = shared_folder(spark, "scores")
-    near.select("tile", "prob", "y", "code", "y_near", "p_near").write.parquet(f"{folder}/in")
-    src = spark.read.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
-    return result_of(_drain(spark, stream_scores(stream), folder))
-
-
-def run_evidence(spark: SparkSession, ways: DataFrame) -> DataFrame:
-    """Write ways as files, some of them twice, and stream them in."""
-    folder = shared_folder(spark, "evidence")
-    ways.select("id", "tags", "geometry").write.parquet(f"{folder}/in")
-    src = spark.read.parquet(f"{folder}/in")
-    src.where(F.col("id") % 5 == 0).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(src.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
-    d = _drain(spark, stream_evidence(stream), folder)
-    return d.select("gx", "gy", F.rint(F.coalesce("faint", F.lit(0.0))).cast("bigint").alias("faint_m"),
-                    F.rint(F.coalesce("lifecycle", F.lit(0.0))).cast("bigint").alias("lifecycle_m"),
-                    F.rint(F.coalesce("faint", F.lit(0.0)) + F.coalesce("lifecycle", F.lit(0.0))).cast("bigint").alias("total_m"),
-                    F.col("n_ways").cast("bigint").alias("n_ways"))
