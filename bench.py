@@ -28,6 +28,8 @@ HEADLINE = [
     "terrain_bands",         # the four terrain bands
     "grid_idw",              # points to elevation
     "height_above_ground",   # nearest ground point
+    "height_above_ground_survey",  # the same over every line item
+    "neighbour_distance",    # eight nearest in space
     "label_planes",          # burning ways into labels
     "signal_by_class",       # transects
     "predict",               # windowed inference and blending

@@ -54,6 +54,12 @@ select cast(event_id as bigint) as event_id, cast(user_id % 20 as bigint) as til
        cast(case event_type when 'view' then 2 when 'click' then 2 when 'signup' then 1
             when 'purchase' then 7 else 18 end as bigint) as cls
 from {events}""",
+    # a survey: every line of an order is a point, 100 m x 100 m a tile, a third of them ground
+    "fx_survey": """
+select cast(l_orderkey*10 + l_linenumber as bigint) as event_id, cast(floor(min(l_suppkey)/10) as bigint) as tile,
+       cast(l_orderkey*37 % 10000 as double)/1E2 as x, cast(min(l_partkey)*91 % 10000 as double)/1E2 as y,
+       cast(min(l_quantity) as double) as z, cast(case when l_linenumber % 3 = 0 then 2 else 1 end as bigint) as cls
+from {lineitem} group by l_orderkey, l_linenumber""",
     "fx_zones": """
 select cast(n_nationkey as bigint) as key,
        cast((n_nationkey*97 % 100)*100 + 50 as double) as x,

@@ -124,6 +124,13 @@ select event_id, tile, x, y, z, avg(d) as md from (
   from clean p join clean q on p.tile = q.tile and p.event_id <> q.event_id) where rn <= 8 group by all"""
 
 
+@check("height_above_ground_survey", I.oracle("select event_id, round(hag, 6) as hag from hag", "fx_survey", clean="select * from fx_survey", hag=HAG_SQL))
+def height_above_ground_survey(spark, sf):
+    """Ten times the points of the other checks, all searched in blocks."""
+    d = P.height_above_ground(I.view(spark, sf, "fx_survey"), cell=8.0)
+    return d.select("event_id", F.round("hag", 6).alias("hag"))
+
+
 @check("neighbour_distance", pts("select event_id, round(md, 5) as mean_dist from nd", nd=NEIGHBOUR_SQL))
 def neighbour_distance(spark, sf):
     c = _clean(spark, sf)
