@@ -13,7 +13,8 @@ from tests.test_oracles import _norm
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, name):
-    sf = "/root/testdata/sf0.01"
+    # The SQL of repeated strings hashes every window of 200 bytes, so it gets the smallest tables.
+    sf = "/root/testdata/sf0.001" if name == "op13_suffix_dedup" else "/root/testdata/sf0.01"
     con = duckdb.connect()
     for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
