@@ -380,10 +380,13 @@ def neighbourhood_links(sets: DataFrame, at: str, percent: int, block_sets: int)
         links, "a bigint, b bigint, n bigint")
 
 
-def _ties(marks: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): every class of an id that stands on several texts, with the first of them."""
+def _ties(marks: DataFrame, classes: DataFrame, at: str) -> DataFrame | None:
+    """(a, b): every class of an id that stands on several texts, with the first of them; None where no id does."""
     held = marks.where("id is not null and n_shingles > 0").select("id", "digest")
     several = held.groupBy("id").agg(F.min("digest").alias("home"), F.max("digest").alias("far")).where("home <> far")
+    several = stored(several, at, "several")
+    if several.isEmpty():
+        return None
     pairs = held.join(several.select("id", "home"), "id").where(F.col("digest") != F.col("home")).select("digest", "home").distinct()
     number = classes.select("digest", "class")
     return pairs.join(number.withColumnRenamed("class", "a"), "digest").join(
@@ -419,7 +422,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, block_sets: int
     size = left.agg(F.sum("n")).first()[0]
     ordered = stored(ordered_sets(sets, bits(size), percent), at, "ordered")
     links = stored(neighbourhood_links(ordered, at, percent, block_sets), at, "links")
-    edges = links.where("b is not null").select("a", "b").unionByName(_ties(marks, classes))
+    edges, ties = links.where("b is not null").select("a", "b"), _ties(marks, classes, at)
+    edges = edges if ties is None else edges.unionByName(ties)
     linked = components(edges, at, "linked").withColumnRenamed("node", "class")
     linked = classes.select("class", "rep").join(linked, "class")
     least_id = linked.groupBy("component").agg(F.min("rep").alias("least_id"))
